@@ -27,6 +27,7 @@ from riskloom.config import (
     CleaningSettings, DEVICE_CONNECT_ID, STARTUP_LABEL, USB_DEVICE_PATTERN,
 )
 from riskloom.functions.calendar import micros
+from riskloom.plans.materialise import checkpointed, stored
 from riskloom.operators.cells import (
     CELL, cell_window, with_cell, with_neighbour_row, without_copies,
 )
@@ -72,12 +73,12 @@ def _with_bursts(rows: DataFrame, keys: Sequence[str], gap: int, cell_seconds: f
         rows.withColumn("__head", before.isNull() | (F.col("__t") - before > gap))
     )
     # The last head of earlier cells serves rows that precede their cell's first head.
-    heads = rows.where("__head").groupBy(*keys, CELL).agg(
-        F.max_by("id", F.struct(*_POSITION)).alias("__from")
+    is_head = F.col("__head")
+    cells = rows.groupBy(*keys, CELL).agg(
+        F.max_by(F.when(is_head, F.col("id")), F.when(is_head, F.struct(*_POSITION))).alias("__from")
     )
-    cells = rows.groupBy(*keys, CELL).agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
-    carried = cells.join(heads, [*keys, CELL], "left").select(
+    carried = cells.select(
         *keys, CELL, F.last("__from", ignorenulls=True).over(earlier).alias("__carried")
     )
     own = F.last(F.when(F.col("__head"), F.col("id")), ignorenulls=True).over(upto)
@@ -240,23 +241,30 @@ def keep_spaced(
         *keys, "id", "ts", micros(F.col("ts")).alias("__t"),
         F.when(connect, _CONNECT).otherwise(_OTHER).alias("__c"),
     )
-    marked = _with_bursts(rows, keys, reach, cell_seconds)
+    # Read by every branch below: written once.
+    marked = checkpointed(_with_bursts(rows, keys, reach, cell_seconds))
     group = [*keys, "__burst"]
     sizes = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    # A plain left join: AQE splits the side of a burst that fills a partition.
     long_bursts = sizes.where(F.col("__n") > settings.burst_rows).select(*group, F.lit(True).alias("__long"))
-    routed = marked.join(long_bursts, group, "left")
     position = F.struct(F.col("__t"), F.col("id"), F.col("__c"))
-    folded = (
-        routed.where(F.col("__long").isNull())
-        .groupBy(*group)
-        .agg(F.sort_array(F.collect_list(position)).alias("rows"))
-        .select(*keys, F.explode(_fold(F.col("rows"), duplicate, bounce)).alias("id"))
-    )
-    solved = _fold_blocks(
-        routed.where("__long"), keys, duplicate, bounce, int(cell_seconds * 1e6)
-    )
-    kept = events.join(folded.unionByName(solved), [*keys, "id"], "left_semi")
+
+    def folded(bounded: DataFrame) -> DataFrame:
+        return (
+            bounded.groupBy(*group)
+            .agg(F.sort_array(F.collect_list(position)).alias("rows"))
+            .select(*keys, F.explode(_fold(F.col("rows"), duplicate, bounce)).alias("id"))
+        )
+
+    if long_bursts.isEmpty():
+        ids = folded(marked)
+    else:
+        # A plain left join: AQE splits the side of a burst that fills a partition.
+        routed = marked.join(long_bursts, group, "left")
+        solved = _fold_blocks(
+            routed.where("__long"), keys, duplicate, bounce, int(cell_seconds * 1e6)
+        )
+        ids = folded(routed.where(F.col("__long").isNull())).unionByName(solved)
+    kept = events.join(ids, [*keys, "id"], "left_semi")
     return kept.unionByName(unordered)
 
 
@@ -326,6 +334,6 @@ def clean_host_log(
     events: DataFrame, pattern: str = USB_DEVICE_PATTERN,
     settings: CleaningSettings = CleaningSettings(),
 ) -> DataFrame:
-    """Boot noise, then foreign devices, then device bursts."""
+    """Boot noise, then foreign devices, then device bursts; the result is written once."""
     events = without_boot_logons(startup_dedup(events, settings=settings), settings=settings)
-    return usb_dedup(usb_only(events, pattern), settings=settings)
+    return stored(usb_dedup(usb_only(events, pattern), settings=settings), "clean-host-log")

@@ -1,16 +1,18 @@
 """Robust-covariance envelope: concentration steps as Spark aggregates.
 
-Each step is one aggregate over the rows (means and products of d features) and a
-d x d inverse on the driver. Rows are never collected.
+A step adds up counts, sums and products of the d features: tasks reduce their Arrow
+batches to d x d sums, Spark adds those up, and the driver inverts one d x d matrix.
+Rows are never collected. Scoring is a plain column expression.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,18 +80,35 @@ def chi2_quantile(p: float, d: int) -> float:
 
 
 def moments(rows: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean, population covariance and row count from one aggregate."""
+    """Mean, population covariance and row count of the columns."""
     d = len(names)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    got = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(n) for n in names]).alias("mean"),
-        F.array(*[F.covar_pop(names[i], names[j]) for i, j in pairs]).alias("cov"),
-    ).first()
-    covariance = np.zeros((d, d))
-    for (i, j), value in zip(pairs, got["cov"]):
-        covariance[i, j] = covariance[j, i] = value
-    return np.array(got["mean"], dtype=float), covariance, got["n"]
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count, total, products = 0, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            count, total, products = count + len(x), total + x.sum(axis=0), products + x.T @ x
+        sums = np.concatenate([[count], total, products.ravel()])
+        yield pd.DataFrame({"place": np.arange(len(sums)), "value": sums})
+
+    added = (
+        rows.select(*names).mapInPandas(add_up, "place int, value double")
+        .groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").collect()
+    )  # 1 + d + d * d rows
+    sums = np.array([row["value"] for row in added])
+    count = int(sums[0])
+    mean = sums[1:d + 1] / count
+    return mean, sums[d + 1:].reshape(d, d) / count - np.outer(mean, mean), count
+
+
+def batch_distance(names: Sequence[str], mean: np.ndarray, precision: np.ndarray) -> Column:
+    """The squared distance over Arrow batches, for steps whose constants change each time."""
+    @F.pandas_udf("double")
+    def distance(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype=float) for c in columns]) - mean
+        return pd.Series(((x @ precision) * x).sum(axis=1))
+
+    return distance(*[F.col(n) for n in names])
 
 
 def _spectrum(covariance: np.ndarray):
@@ -124,10 +143,9 @@ def squared_distance(columns: Sequence[Column], mean: np.ndarray, precision: np.
 
 def _concentrate(rows, names, mean, covariance, support: float, steps: int):
     """Repeat "keep the nearest share, refit" until the volume stops shrinking."""
-    columns = [F.col(n) for n in names]
     best = log_volume(covariance)
     for _ in range(steps):
-        placed = rows.withColumn(DISTANCE, squared_distance(columns, mean, inverse(covariance)))
+        placed = rows.withColumn(DISTANCE, batch_distance(names, mean, inverse(covariance)))
         # The cut of a step may be approximate; the final estimates do not use it.
         cut = placed.agg(F.percentile_approx(DISTANCE, support, 100_000)).first()[0]
         mean, covariance, _ = moments(placed.where(F.col(DISTANCE) <= cut), names)
@@ -186,14 +204,13 @@ def fit_envelope(
     mean, covariance, _ = min(runs, key=lambda run: run[2])
     mean, covariance, _ = _concentrate(rows, names, mean, covariance, settings.support, 10)
 
-    columns = [F.col(n) for n in names]
     rank = log_volume(covariance)[0]
-    placed = rows.withColumn(DISTANCE, squared_distance(columns, mean, inverse(covariance)))
+    placed = rows.withColumn(DISTANCE, batch_distance(names, mean, inverse(covariance)))
     median = exact_quantiles(placed, {"d": DISTANCE}, {"m": ("d", 0.5)}).first()["m"]
     correction = median / chi2_quantile(0.5, rank)
     near = placed.where(F.col(DISTANCE) < correction * chi2_quantile(0.975, rank))
     mean, covariance, _ = moments(near, names)
     model = EnvelopeModel(scaler, mean, inverse(covariance))
-    final = rows.select((-squared_distance(columns, mean, model.precision)).alias("s"))
+    final = rows.select((-batch_distance(names, mean, model.precision)).alias("s"))
     model.offset = exact_quantiles(final, {"s": "s"}, {"q": ("s", settings.contamination)}).first()["q"]
     return model

@@ -34,8 +34,8 @@ def forest_nodes(table: DataFrame, model: PipelineModel) -> DataFrame:
         F.col("treeID").alias("tree"), node["id"].alias("node"),
         node["leftChild"].alias("left"), node["rightChild"].alias("right"),
         node["split"]["featureIndex"].alias("feature"),
-        node["split"]["leftCategoriesOrThreshold"][0].alias("threshold"),
-        weight.alias("cover"), (node["impurityStats"][1] / weight).alias("value"),
+        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+        weight.alias("cover"), (F.get(node["impurityStats"], F.lit(1)) / weight).alias("value"),
     )
 
 

@@ -40,7 +40,7 @@ def keyed_samples(
     trees x sample rows however large the table is.
     """
     share = min(1.0, 1.5 * settings.isolation_sample / max(rows, 1))
-    limit = F.lit(int(-(2**63) + min(share, 1.0) * (2**64 - 1)))
+    limit = F.lit(min(int(-(2**63) + share * 2**64), 2**63 - 1))
 
     def draw(tree):
         return F.xxhash64(*[F.col(k) for k in key], tree, F.lit(settings.seed))
@@ -77,6 +77,8 @@ def _grow(x: np.ndarray, seed: int) -> list[tuple]:
             continue
         feature = int(rng.choice(open_features))
         cut = float(rng.uniform(low[feature], high[feature]))
+        if cut >= high[feature]:  # neighbouring doubles
+            cut = float(low[feature])
         nodes.append([here, feature, cut, -1, -1, 0.0])
         goes_left = part[:, feature] <= cut
         pending.append((rows[~goes_left], depth + 1, here, 1))

@@ -38,7 +38,7 @@ def _report(lines: list[str], source: str = "corpus") -> str:
 
 
 @query(_report([
-    _line("shape", "", "rows", "sum(n)"), _line("shape", "", "columns", "16 - 1"),
+    _line("shape", "", "rows", "sum(n)"), _line("shape", "", "columns", "max(15)"),
     _line("shape", "user", "users", "count(*)"),
     _line("shape", "user", "rows_per_user_min", "min(n)", _bad("min(n) < 3", "WARN")),
     _line("shape", "user", "rows_per_user_median", "median(n)"),
@@ -49,7 +49,10 @@ def quality_shape(spark, sf):
     return rounded(quality.check_shape(corpus(spark, sf)))
 
 
-@query()
+@query(_report([
+    _line("columns", c, "filled_rows", f"count({c})", "'PASS'") if c in (*ZSCORES, *FLAGS)
+    else _line("columns", c, "filled_rows", "max(0)", "'FAIL'") for c in REQUIRED
+]))
 def quality_required_columns(spark, sf):
     """Columns a validator expects and the table may lack."""
     return quality.check_columns(corpus(spark, sf), REQUIRED)
