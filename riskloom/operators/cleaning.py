@@ -334,6 +334,12 @@ def clean_host_log(
     events: DataFrame, pattern: str = USB_DEVICE_PATTERN,
     settings: CleaningSettings = CleaningSettings(),
 ) -> DataFrame:
-    """Boot noise, then foreign devices, then device bursts; the result is written once."""
-    events = without_boot_logons(startup_dedup(events, settings=settings), settings=settings)
-    return stored(usb_dedup(usb_only(events, pattern), settings=settings), "clean-host-log")
+    """Boot noise, then foreign devices, then device bursts; the result is written once.
+
+    Device rows carry no activity, so the boot rules and the device rules each read
+    only their own rows.
+    """
+    devices = usb_dedup(usb_only(by_source(events, "UMDF"), pattern), settings=settings)
+    others = startup_dedup(events.where(~F.col("source").eqNullSafe("UMDF")), settings=settings)
+    quiet = without_boot_logons(others, settings=settings)
+    return stored(devices.unionByName(quiet, allowMissingColumns=True), "clean-host-log")

@@ -106,7 +106,7 @@ def adjacent_sessions(spark, sf):
 
 
 @query(with_steps(f"""select {U}, day, count(*) as n,
-    round(sum((epoch_us(last_ts) - epoch_us(ts)) / 60000000.0), 6) as minutes
+    round(sum((epoch_us(last_ts) - epoch_us(ts)) / 60000000.0), 8) as minutes
     from (select usr, cast(ts as date) as day, ts, max(ts) over (partition by usr, cast(ts as date)) as last_ts from v_logon)
     group by usr, day""", "v_logon"))
 def minutes_to_last_row(spark, sf):

@@ -85,7 +85,7 @@ def boot_logon_noise(spark, sf):
 
 
 @query(with_steps(f"""select {U}, day, id, activity,
-    round((epoch_us(close_ts) - epoch_us(open_ts)) / 60000000.0, 6) as minutes from host_all_session""",
+    round((epoch_us(close_ts) - epoch_us(open_ts)) / 60000000.0, 8) as minutes from host_all_session""",
                   "host_all_session"))
 def open_close_sessions(spark, sf):
     """Sessions of the open/close rule with their length, null while open."""

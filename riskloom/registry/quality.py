@@ -138,11 +138,11 @@ def quality_padding(spark, sf):
 @query(with_steps(" union all ".join(
     f"""select 'constant' as "check", '{c}' as "column", 'top_value_percent' as metric,
     round(100.0 * max(n) / sum(n), 6) as value, case when 1.0 * max(n) / sum(n) > 0.95 then 'WARN' else 'PASS' end as status
-    from (select {c}, count(*) as n from corpus where {c} is not null group by 1)""" for c in [*ZSCORES, *FLAGS, *COUNTS]
+    from (select round({c}, {8 if 'minutes' in c else 6}), count(*) as n from corpus where {c} is not null group by 1)""" for c in [*ZSCORES, *FLAGS, *COUNTS]
 ), "corpus"))
 def quality_constant_columns(spark, sf):
     """Columns dominated by one value."""
-    return rounded(quality.check_constant(corpus(spark, sf), [*ZSCORES, *FLAGS, *COUNTS]))
+    return rounded(quality.check_constant(rounded(corpus(spark, sf)), [*ZSCORES, *FLAGS, *COUNTS]))
 
 
 @query(with_steps("""select c.usr as "user", cast(row_number() over (partition by c.usr order by c.day) as integer) as row,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from riskloom.registry.core import MINUTES
+
 _EVENTS = """select event_id as id, 'u' || cast(user_id as varchar) as usr, ts, event_type, value,
   cast(json_extract_string(props, '$.k') as integer) as k from events"""
 
@@ -310,4 +312,4 @@ def with_steps(select: str, *needs: str) -> str:
 
 def rounded(columns: str, places: int = 6) -> str:
     """``round(c, 6) as c`` for each named column."""
-    return ", ".join(f"round({c}, {places}) as {c}" for c in columns.split())
+    return ", ".join(f"round({c}, {MINUTES.get(c, places)}) as {c}" for c in columns.split())
