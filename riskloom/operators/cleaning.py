@@ -149,7 +149,7 @@ def _fold_blocks(
 
     Pass 1 sums up each block: for every row that could be its first kept row, the
     row kept last. Only rows within one window of the block's start, and one more,
-    can be first. Pass 2 walks those summaries along the burst. Pass 3 replays each
+    can be first, and most of them lead to the same last row. Pass 2 walks those summaries along the burst. Pass 3 replays each
     block from its known start.
     """
     reach = max(duplicate, bounce)
@@ -174,10 +174,12 @@ def _fold_blocks(
             if after[i] < len(t):
                 last[i] = last[after[i]]
         count = int(np.searchsorted(t, pdf["__block"].iloc[0] * block + reach, side="right")) + 1
-        head = pdf.iloc[:count]
-        return head[[*group, "__block", "__t", "__c", "id"]].assign(
+        head = pdf.iloc[:count][[*group, "__block", "__t", "__c", "id"]].assign(
             last_t=t[last[:count]], last_c=c[last[:count]].astype("int32")
         )
+        # Of neighbours that lead to the same last row, the latest of each kind answers for all.
+        run = (head["last_t"].diff().ne(0) | head["last_c"].diff().ne(0)).cumsum()
+        return head[~pd.DataFrame({"run": run, "kind": head["__c"]}).duplicated(keep="last")]
 
     summary = rows.groupBy(*group, "__block").applyInPandas(
         summarise,

@@ -161,7 +161,7 @@ def holdout_runs(
     parts = []
     for seed in seeds:
         split = holdout_users(users, seed).select("user", "is_test")
-        rows = stored(table.join(split, "user"), "holdout")
+        rows = stored(table.join(split, "user"), "holdout", spread=True)
         sides = rows.where(F.col("insider_label") == 1).groupBy("is_test").count().collect()  # <= 2 rows
         if len(sides) < 2:
             continue
@@ -185,7 +185,7 @@ def cross_validation_runs(
 ) -> DataFrame:
     """One row per fold: precision, recall, F1 and AUC on the days left out."""
     keyed = table.withColumn("__key", F.concat_ws("|", "user", F.col("day").cast("string")))
-    rows = stored(stratified_folds(keyed, "__key", folds, settings.seed), "folds")
+    rows = stored(stratified_folds(keyed, "__key", folds, settings.seed), "folds", spread=True)
     parts = []
     for fold in range(folds):
         model = fit_forest(rows.where(F.col("fold") != fold), features, settings)

@@ -32,11 +32,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write the rows as parquet in the shared folder and read them back.
 
-    Later passes prune columns and push filters into the written table.
+    Later passes prune columns and push filters into the written table. ``spread``
+    cuts it into one part per core, for tables that fits go through many times:
+    adaptive execution would merge a narrow table into few large parts.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    rows = df.repartition(spark.sparkContext.defaultParallelism) if spread else df
+    rows.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -49,7 +49,7 @@ def train(
 ) -> TrainingResult:
     """Label, fit, score, fuse, explain and report. Tables are written between the fits."""
     features = list(MODEL_FEATURES)
-    table = stored(with_labels(days, incidents, version, label_shift_days), "labelled")
+    table = stored(with_labels(days, incidents, version, label_shift_days), "labelled", spread=True)
     supervised = fit_forest(table, features, forest)
     isolation, envelope, scored = unsupervised(with_forest_score(table, supervised), features, detectors)
     result = stored(fused(scored), "scored")
@@ -73,7 +73,7 @@ def deploy(
     cohort = F.col("is_synthetic") if "is_synthetic" in days.columns else F.lit(0)
     days = days.withColumn("is_synthetic", cohort)
     keys = ["user", "day", "is_synthetic"]
-    table = stored(score_without_labels(days, models.forest, keys), "aligned")
+    table = stored(score_without_labels(days, models.forest, keys), "aligned", spread=True)
     scored = models.envelope.transform(models.isolation.transform(table))
     result = stored(fused_for_deployment(scored, iso_range, threshold), "deployed")
     features = models.isolation.features

@@ -21,7 +21,7 @@ FEATURES = list(MODEL_FEATURES)
 
 
 def _stored_days(spark, sf):
-    return stored(labelled(spark, sf), "labelled")
+    return stored(labelled(spark, sf), "labelled", spread=True)
 
 
 @query()
