@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.config import CORPUS, FeatureSettings
@@ -115,14 +115,20 @@ _DAILY = {
 }
 
 
-def daily_activity(rows: DataFrame, sources: tuple[str, ...]) -> DataFrame:
-    """Aggregate stacked rows to user-days, the full outer combination of the sources."""
+def daily_activity(
+    rows: DataFrame, sources: tuple[str, ...], unknown_minutes: bool = False, *more: Column
+) -> DataFrame:
+    """Aggregate stacked rows to user-days, the full outer combination of the sources.
+
+    ``unknown_minutes`` keeps a null total null instead of reading it as 0.
+    """
     seen = {s: F.count_if(F.col("source") == s) > 0 for s in sources}
-    features = [
-        F.when(seen[s], build()).alias(name) for s in sources for name, build in _DAILY[s].items()
-    ]
+    builds = {n: (s, b) for s in sources for n, b in _DAILY[s].items()}
+    if unknown_minutes:
+        builds["total_active_minutes_day"] = ("logon", lambda: F.sum("session_minutes"))
     return rows.groupBy(*KEYS).agg(
-        *features, *[seen[s].alias(f"has_{s}") for s in sources]
+        *[F.when(seen[s], build()).alias(name) for name, (s, build) in builds.items()],
+        *[seen[s].alias(f"has_{s}") for s in sources], *more,
     )
 
 
@@ -154,20 +160,11 @@ def daily_with_diversity(
 ) -> DataFrame:
     """Daily aggregate plus the user's monthly diversity on device days.
 
-    ``unknown_minutes`` keeps a null total null instead of reading it as 0.
-
     The monthly value rides in the same shuffle and is spread by a window over
     (user, month), which reuses the per-user clustering of the baselines.
     """
     carried = F.max("usb_device_diversity_monthly").alias("__monthly")
-    seen = {s: F.count_if(F.col("source") == s) > 0 for s in sources}
-    builds = {n: (s, b) for s in sources for n, b in _DAILY[s].items()}
-    if unknown_minutes:
-        builds["total_active_minutes_day"] = ("logon", lambda: F.sum("session_minutes"))
-    daily = rows.groupBy(*KEYS).agg(
-        *[F.when(seen[s], build()).alias(name) for name, (s, build) in builds.items()],
-        *[seen[s].alias(f"has_{s}") for s in sources], carried,
-    ).repartition("user")
+    daily = daily_activity(rows, sources, unknown_minutes, carried).repartition("user")
     month = Window.partitionBy("user", month_of(F.col("day")))
     spread = F.when(F.col("has_device"), F.max("__monthly").over(month))
     any_source = reduce(lambda a, b: a | b, [F.col(f"has_{s}") for s in sources])

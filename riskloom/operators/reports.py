@@ -61,12 +61,12 @@ def deployment_report(table: DataFrame) -> DataFrame:
         F.avg("lof_score_norm").alias("lof_score_norm_mean"),
         *_flag_counts(),
         F.count("combined_risk_score").alias("total_days"),
-        F.max(F.struct("combined_risk_score", -F.unix_date("day"))).alias("__peak"),
+        F.max(F.struct("combined_risk_score", (-F.unix_date("day")).alias("before"))).alias("__peak"),
     )
     # The peak day is the user's over all cohorts.
     user = Window.partitionBy("user")
     users = users.withColumn("__best", F.max("__peak").over(user)).withColumn(
-        "peak_date", F.date_from_unix_date((-F.col("__best.col2")).cast("int"))
+        "peak_date", F.date_from_unix_date(-F.col("__best.before"))
     ).drop("__peak", "__best")
     return ranked(with_composite_rank_score(users), "unsupervised_mean", "is_synthetic")
 

@@ -10,6 +10,7 @@ from riskloom.functions.calendar import (
     month_of, shift_days, weekend,
 )
 from riskloom.operators import assemble, baseline, daily, scenarios
+from riskloom.operators.labels import with_labels
 from riskloom.operators.sessions import pair_adjacent
 from riskloom.plans.corpus import corpus_days, logon_zscores
 from riskloom.registry import views
@@ -63,7 +64,7 @@ def lenient_times(spark, sf):
     )
 
 
-@query("""select event_id as id, cast(ts + interval 2 hour as date) as day, hour(ts + interval 2 hour) as hour
+@query("""select event_id as id, cast(ts + interval 2 hour as date) as day, cast(hour(ts + interval 2 hour) as integer) as hour
     from events""")
 def offset_times(spark, sf):
     """Times written with an offset of minus two hours, read as UTC."""
@@ -254,7 +255,7 @@ def outer_joined_days(spark, sf):
     ))
 
 
-@query(with_steps(f"""select {U}, day, {', '.join(f'round(coalesce({c}, 0), 6) as {c}' for c in MODEL_FEATURES)}
+@query(with_steps(f"""select {U}, day, {', '.join(f'round(cast(coalesce({c}, 0) as double), 6) as {c}' for c in MODEL_FEATURES)}
     from corpus""", "corpus"))
 def model_features(spark, sf):
     """Model inputs without nulls."""
@@ -263,7 +264,7 @@ def model_features(spark, sf):
     return rounded(assemble.imputed(table.select("user", "day", *features), features))
 
 
-@query(with_steps(f"""select {U}, day, round(coalesce(usb_count, 0), 6) as usb_count, 0.0 as email_count_zscore,
+@query(with_steps(f"""select {U}, day, round(cast(coalesce(usb_count, 0) as double), 6) as usb_count, cast(0 as double) as email_count_zscore,
     round(coalesce(logon_count_zscore, 0), 6) as logon_count_zscore from corpus""", "corpus"))
 def aligned_features(spark, sf):
     """The columns of another training run; one it lacks is 0."""
@@ -290,8 +291,6 @@ def unexpected_nulls(spark, sf):
 ) + " union all select 'email_count', 0.0, 0.1, 0.0, 1.0", "labelled"))
 def normal_profile(spark, sf):
     """Distribution of every feature over unlabelled days; one the table lacks gets defaults."""
-    from riskloom.operators.labels import with_labels
-
     table = with_labels(corpus(spark, sf), views.incidents(spark, sf), views.VERSION)
     return rounded(baseline.feature_profile(table, [*PROFILE_FEATURES, "email_count"]))
 

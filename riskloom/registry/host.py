@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.functions.calendar import minutes_between
 from riskloom.operators import cleaning
-from riskloom.operators.daily import device_rows, monthly_diversity
+from riskloom.operators.daily import connects, monthly_diversity
 from riskloom.operators.sessions import host_session_days, host_sessions
 from riskloom.plans.host import host_days, host_report_days
 from riskloom.registry import views
@@ -25,8 +26,6 @@ def _shown(events):
 @query(with_steps(f"select id, {U}, pc from v_device where activity = 'Connect'", "v_device"))
 def device_connects(spark, sf):
     """Device rows that are connects."""
-    from riskloom.operators.daily import connects
-
     return connects(views.devices(spark, sf)).select("id", "user", "pc")
 
 
@@ -89,8 +88,6 @@ def boot_logon_noise(spark, sf):
                   "host_all_session"))
 def open_close_sessions(spark, sf):
     """Sessions of the open/close rule with their length, null while open."""
-    from riskloom.functions.calendar import minutes_between
-
     events = cleaning.by_source(views.host_events(spark, sf), "Security", "System")
     return rounded(host_sessions(events).select(
         "user", "day", "id", "activity", minutes_between(F.col("open_ts"), F.col("close_ts")).alias("minutes")

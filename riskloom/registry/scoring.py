@@ -26,7 +26,7 @@ def deployed(spark, sf):
 
 
 @query(with_steps("""select id, round(1 - (iso_score - iso_lo) / (iso_hi - iso_lo), 6) as inverted,
-    round((iso_score - iso_lo) / (iso_hi - iso_lo), 6) as plain, 0.0 as constant
+    round((iso_score - iso_lo) / (iso_hi - iso_lo), 6) as plain, cast(0 as double) as constant
     from v_scores, score_range""", "v_scores", "score_range"))
 def normalised_scores(spark, sf):
     """Min-max shares, inverted, plain and of a constant score."""
@@ -65,7 +65,7 @@ def threshold_flags(spark, sf):
     f'round(quantile_cont({c}, {p}), 6) as {n}' for n, (c, p) in scoring.THRESHOLD_QUANTILES.items())},
     round(min(iso_score), 6) as iso_score_min, round(max(iso_score), 6) as iso_score_max,
     round(min(lof_score), 6) as lof_score_min, round(max(lof_score), 6) as lof_score_max,
-    0.02 as contamination_used, count(*) as training_rows, count(distinct usr) as training_users,
+    cast(0.02 as double) as contamination_used, count(*) as training_rows, count(distinct usr) as training_users,
     '4.2' as corpus_version, round(quantile_cont(combined_risk_score, 0.98), 6) as recommended_threshold
     from fused""", "fused"))
 def exported_thresholds(spark, sf):
@@ -98,7 +98,11 @@ def deployment_user_report(spark, sf):
     return rounded(reports.deployment_report(deployed(spark, sf)))
 
 
-@query(with_steps(f"{_REPORT}", "deploy_report"))
+_COUNTS = "rank days_above_threshold days_flagged_iso days_flagged_lof days_flagged_both total_days"
+
+
+@query(with_steps(f"""select * replace ({', '.join(f'cast({c} as integer) as {c}' for c in _COUNTS.split())})
+    from ({_REPORT})""", "deploy_report"))
 def users_served(spark, sf):
     """The user report as text, typed again column by column."""
     table = rounded(reports.deployment_report(deployed(spark, sf)))

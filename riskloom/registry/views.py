@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.config import CleaningSettings, FeatureSettings, CalendarSettings
+from riskloom.config import CalendarSettings, CleaningSettings, FeatureSettings
+from riskloom.operators.cleaning import device_category
 
 # The fixture pages hold no career site; this pattern matches some of their hosts.
 JOB = r"example\.org"
@@ -94,8 +95,6 @@ def host_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def categorised(events: DataFrame) -> DataFrame:
     """Host events with the device category, not yet cleaned."""
-    from riskloom.operators.cleaning import device_category
-
     return events.withColumn(
         "category", F.when(F.col("source") == "UMDF", device_category(F.col("event_id")))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.operators.envelope import EnvelopeModel, Scaler
 from riskloom.operators.isolation import IsolationModel
 
-import numpy as np
-
 
 def save_settings(rows: DataFrame, path: str) -> None:
     """Write a table of a few rows (thresholds, baselines) as one JSON file."""
