@@ -18,11 +18,12 @@ def running_totals(
     order: Sequence[Column],
     sums: Mapping[str, str],
     groups: Sequence[str] = (),
+    with_total: bool = False,
 ) -> DataFrame:
     """Running totals over the whole table, or over each of a few large groups.
 
     ``sums`` maps each output column to the column it adds up, the current row
-    included. Rows are cut into sorted slices by range, totalled inside each slice,
+    included; ``with_total`` adds the group's whole sum as ``<name>_total``. Rows are cut into sorted slices by range, totalled inside each slice,
     and moved by the totals of the slices before it. The slices are written once, so
     a task that is run again sees the same cut. The order must identify each row.
     """
@@ -34,6 +35,7 @@ def running_totals(
     )
     inside = Window.partitionBy(*groups, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*groups).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*groups)
     keys = [*groups, SLICE]
     # One row per group and slice.
     offsets = (
@@ -42,7 +44,7 @@ def running_totals(
         .select(*keys, *[
             F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"__before_{name}")
             for name in sums
-        ])
+        ], *[F.sum(name).over(every).alias(f"{name}_total") for name in sums if with_total])
     )
     return (
         cut.select("*", *[F.sum(source).over(inside).alias(f"__in_{name}")
@@ -91,17 +93,16 @@ def exact_quantiles(
     values are picked by running counts over the sorted distinct values.
     """
     counts = running_totals(
-        value_counts(df, columns), [F.col("value")], {"upto": "n"}, groups=["metric"]
+        value_counts(df, columns), [F.col("value")], {"upto": "n"}, ["metric"], with_total=True
     )
-    totals = counts.groupBy("metric").agg(F.max("upto").alias("__total"))  # one row per metric
     targets = F.array(*[
         F.struct(F.lit(name).alias("name"), F.lit(metric).alias("of"), F.lit(float(p)).alias("p"))
         for name, (metric, p) in wanted.items()
     ])
     placed = (
-        counts.join(totals, "metric")
+        counts
         .withColumn("t", F.explode(F.filter(targets, lambda t: t["of"] == F.col("metric"))))
-        .withColumn("at", F.col("t.p") * (F.col("__total") - 1))
+        .withColumn("at", F.col("t.p") * (F.col("upto_total") - 1))
         .withColumn("low", F.floor("at")).withColumn("high", F.ceil("at"))
         # 0-based positions upto-n .. upto-1 hold this value
         .withColumn("has_low", (F.col("low") >= F.col("upto") - F.col("n")) & (F.col("low") < F.col("upto")))
