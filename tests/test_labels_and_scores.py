@@ -95,6 +95,8 @@ def test_thresholds_match_numpy(spark):
     for name, (column, p) in scoring.THRESHOLD_QUANTILES.items():
         assert got[name] == pytest.approx(np.quantile(frame[column], p))
     assert (got["training_rows"], got["training_users"]) == (180, 9)
+    near = scoring.thresholds(table, "4.2", approximate=True).first()
+    assert near["combined_risk_p95"] == pytest.approx(got["combined_risk_p95"], abs=0.05)
     assert scoring.recommended_threshold(None) == 0.5
     assert scoring.recommended_threshold(None, 0.3793) == 0.3793
 

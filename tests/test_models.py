@@ -115,7 +115,9 @@ def test_chi_square_quantiles():
         assert envelope.chi2_quantile(p, d) == pytest.approx(value, rel=1e-6)
 
 
-def test_envelope_ignores_contamination(spark, tmp_path):
+@pytest.mark.parametrize("first_rows", [200_000, 600])
+def test_envelope_ignores_contamination(spark, tmp_path, monkeypatch, first_rows):
+    monkeypatch.setattr(envelope, "_FIRST_ROWS", first_rows)
     rng = np.random.default_rng(3)
     true = np.array([[1.0, 0.6], [0.6, 2.0]])
     x = rng.multivariate_normal([1.0, -2.0], true, size=3000)
