@@ -1,4 +1,4 @@
-"""User-day features the reference lists without implementing."""
+"""Further user-day features: sessions, files, web, mail and their same-day combinations."""
 
 from __future__ import annotations
 

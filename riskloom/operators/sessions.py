@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.config import (
-    FeatureSettings, HOST, SESSION_CLOSERS, SESSION_OPENERS, STARTUP_LABEL, CORPUS,
+    CORPUS, FeatureSettings, HOST, SESSION_CLOSERS, SESSION_OPENERS, STARTUP_LABEL,
 )
 from riskloom.functions.calendar import after_hours, minutes_between, weekend
 from riskloom.operators.cells import (
