@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import exact
+from riskloom.llm import exact, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,3 +42,13 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
     )
+
+
+@query()
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, from a model that saw no held-out label."""
+    docs = table(spark, folder, "documents")
+    model = quality.fit_quality(docs, table(spark, folder, "labels"))
+    return quality.quality_scores(docs, model).select(
+        "doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
