@@ -70,7 +70,7 @@ def quality_scores(
     Null and empty texts are scored like any other, from features that are all 0.
     """
     columns = [key, *[c for c in keep if c != key]]
-    schema = docs.select(*columns).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
