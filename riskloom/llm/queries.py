@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import exact, quality
+from riskloom.llm import exact, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,3 +52,40 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(docs, model).select(
         "doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
     )
+
+
+@query(r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    ('0x' || substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as place
+  from documents
+), s as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as position
+  from d group by source
+), w as (
+  select *, 3 * source_size as cap, ([5, 2, 1])[(position % 3 + 1)::int] as weight from s
+), f as (
+  select *, sum(cap) over o - cap as caps_before, sum(weight) over o - weight as weight_before,
+    sum(source_size) over () as total, sum(weight) over () as whole
+  from w window o as (order by cap / weight::double, position)
+), g as (select *, cap * (whole - weight_before) <= weight * (total - caps_before) as is_full from f),
+h as (
+  select *, coalesce(sum(cap) filter (is_full) over (), 0) as caps,
+    coalesce(sum(weight) filter (is_full) over (), 0) as weights from g
+), t as (
+  select source, source_size, case when is_full then cap::double
+    else (weight * (total - caps))::double / greatest(1, whole - weights)::double end as target from h
+), p as (
+  select d.*, t.source_size, t.target, floor(t.target)::bigint as words, coalesce(sum(size) over (
+    partition by d.source order by place, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start
+  from d join t on d.source is not distinct from t.source
+)
+select doc_id, size::bigint as size, source_size, target,
+  (case when source_size = 0 then 0 else (words // source_size) * size
+    + greatest(0, least(size, words - (words // source_size) * source_size - start)) end)::bigint as taken
+from p
+""")
+def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that the mix to the target weights takes."""
+    mix = mixing.mix_sources(table(spark, folder, "documents"))
+    return mixing.words_taken(mix).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
