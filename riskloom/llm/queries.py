@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import exact, mixing, quality
+from riskloom.llm import exact, mixing, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,3 +89,9 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that the mix to the target weights takes."""
     mix = mixing.mix_sources(table(spark, folder, "documents"))
     return mixing.words_taken(mix).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query()
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack_documents(table(spark, folder, "documents"))
