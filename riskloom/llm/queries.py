@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import exact, mixing, packing, quality
+from riskloom.llm import exact, jaccard, mixing, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,3 +95,11 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query()
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its class of similar documents and its number of links."""
+    return jaccard.similar_documents(table(spark, folder, "documents")).select(
+        "doc_id", "class_id", "links", "linked_texts", "copies"
+    )
