@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import exact, jaccard, mixing, packing, quality
+from riskloom.llm import exact, jaccard, mixing, packing, quality, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,3 +103,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents")).select(
         "doc_id", "class_id", "links", "linked_texts", "copies"
     )
+
+
+@query()
+def op5_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document; equal texts share a shard."""
+    return shards.sharded(table(spark, folder, "documents")).select(
+        F.col("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

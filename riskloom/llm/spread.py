@@ -31,6 +31,7 @@ def running_sums(
     order: Sequence[Column],
     sums: Mapping[str, Column],
     n_rows: int,
+    attached: DataFrame | None = None,
 ) -> DataFrame:
     """Sums over the rows of the same key that come before each row.
 
@@ -38,7 +39,8 @@ def running_sums(
     as many buckets as ``n_rows`` asks for; buckets are totalled, moved by the totals
     of earlier buckets, and summed inside. A task holds one bucket of one key, so a key
     with a third of all rows is shared by many tasks. ``n_rows`` only sets the number of
-    buckets, never the result. Keys must not be null.
+    buckets, never the result. Keys must not be null. Columns of ``attached``, one row per key, are
+    added on the way, through the table of buckets, so that no large key is joined by itself.
     """
     buckets = max(1, -(-n_rows // BUCKET_ROWS))
     cut = rows.withColumns({"__at": at, **{f"__v_{n}": v for n, v in sums.items()}}).withColumn(
@@ -54,6 +56,8 @@ def running_sums(
         cut.groupBy(*cell).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in sums])
         .select(*cell, *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in sums])
     )
+    if attached is not None:
+        offsets = offsets.join(attached, [*keys])
     return (
         cut.join(offsets, cell)
         .withColumns({
