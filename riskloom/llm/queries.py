@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import exact, jaccard, mixing, packing, quality, shards
+from riskloom.llm import exact, jaccard, language, mixing, packing, quality, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,3 +112,12 @@ def op5_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query()
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, from a filter that saw no held-out row."""
+    docs = table(spark, folder, "documents")
+    return language.languages(docs, language.fit_languages(docs)).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
