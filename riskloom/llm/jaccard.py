@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.batches import binary_numbers, group_starts, whole_groups
 from riskloom.llm.components import components
 from riskloom.llm.shingles import BANDS, HASHES, minhashes, set_digest, shingles
 from riskloom.plans.materialise import stored
@@ -50,43 +51,6 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, st
     return np.array(least)
 
 
-def _groups(parts: Iterator[pa.RecordBatch], keys: list[str], most: int = 50_000) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches that are sorted by ``keys``."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for part in parts:
-        if part.num_rows == 0:
-            continue
-        held.append(part)
-        rows += part.num_rows
-        if rows < most:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks()
-        begin = int(_starts(whole, keys)[-1])
-        if begin:
-            yield whole.slice(0, begin).combine_chunks()
-            whole = whole.slice(begin).combine_chunks()
-        held, rows = whole.to_batches(), whole.num_rows
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _starts(whole: pa.Table, keys: list[str]) -> np.ndarray:
-    """First row of each group."""
-    new = np.zeros(whole.num_rows, bool)
-    new[:1] = True
-    for key in keys:
-        values = whole.column(key)
-        values = _numbers(values) if pa.types.is_binary(values.type) else values.to_numpy()
-        new[1:] |= values[1:] != values[:-1]
-    return np.flatnonzero(new)
-
-
-def _numbers(values: pa.ChunkedArray, kind: str = "<i8") -> np.ndarray:
-    """Numbers from binary values of one width, a row each (flat when there is one a row)."""
-    return np.frombuffer(b"".join(values.to_pylist()), kind)
-
-
 def _pairs(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (a, b), a < b, of all pairs inside groups, a bounded number at a time.
 
@@ -109,11 +73,11 @@ def _candidates(threshold: float, tolerance: float) -> Callable:
     """Job rows to the nodes of surviving pairs with the positions of their partners."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = least_matches(threshold, tolerance)
-        for whole in _groups(parts, JOB):
-            starts = _starts(whole, JOB)
+        for whole in whole_groups(parts, JOB):
+            starts = group_starts(whole, JOB)
             ends = np.append(starts[1:], whole.num_rows)
             group = np.repeat(np.arange(len(starts)), ends - starts)
-            values = _numbers(whole.column("sketch"), "<u2").reshape(-1, HASHES)
+            values = binary_numbers(whole.column("sketch"), "<u2").reshape(-1, HASHES)
             bands = np.ascontiguousarray(values).view("<u8")
             n = whole.column("n").to_numpy()
             block, band = whole.column("block").to_numpy(), whole.column("band").to_numpy()
@@ -155,8 +119,8 @@ def _candidates(threshold: float, tolerance: float) -> Callable:
 def _check(threshold: float) -> Callable:
     """Job rows with shingles to a row per linked node: root, texts and documents linked."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _groups(parts, [*JOB], 2_000):
-            starts = _starts(whole, JOB)
+        for whole in whole_groups(parts, [*JOB], 2_000):
+            starts = group_starts(whole, JOB)
             for begin, end in zip(starts, np.append(starts[1:], whole.num_rows)):
                 job = whole.slice(begin, end - begin)
                 order = np.argsort(job.column("place").to_numpy())

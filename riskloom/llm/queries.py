@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import exact, jaccard, language, mixing, packing, quality, shards
+from riskloom.llm import exact, jaccard, language, mixing, neighbours, packing, quality, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,3 +121,10 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(docs, language.fit_languages(docs)).select(
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query()
+def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
