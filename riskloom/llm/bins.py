@@ -165,14 +165,15 @@ def pack_counts(counts: np.ndarray, room: int, steps: int = STEPS) -> list[tuple
                 waste -= (room - sum(filling)) * times
             continue
         filling, times = _whole(way, left, room)
-        lost = (room - sum(filling)) * times
-        if waste + lost > (n_best - 1) * room - total:
+        each = room - sum(filling)
+        # The best packing may have improved since: then there may be no waste left to spend.
+        spare = (n_best - 1) * room - total - waste
+        if spare < 0 or each > spare:
+            continue
+        if each * times > spare:
             # One such bin at a time may still be affordable where many are not.
-            each = room - sum(filling)
-            times = ((n_best - 1) * room - total - waste) // each
-            if times < 1:
-                continue
-            times, lost = 1, each
+            times = 1
+        lost = each * times
         apply(filling, times)
         path.append((filling, times))
         waste += lost
