@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import exact, jaccard, language, mixing, neighbours, packing, quality, shards
+from riskloom.llm import exact, jaccard, language, mixing, neighbours, packing, quality, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,3 +128,25 @@ def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors found for every vector whose id is divisible by 20."""
     vectors = table(spark, folder, "embeddings")
     return neighbours.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query("""
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), w as (
+  select *, max(page_id) over (partition by payload_digest) as last_id from p
+)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and last_id <> page_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and last_id <> page_id then last_id end as refers_to
+from w
+""")
+def op8_warc_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page, written to archives and read back through the index of captures."""
+    pages = table(spark, folder, "pages")
+    archive = warc.write_archive(pages)
+    keys = pages.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("capture"))
+    return warc.read_archive(archive, keys).select(
+        F.when(F.col("page") != "", F.col("page")).cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", F.col("refers_to").cast("long").alias("refers_to"),
+    )
