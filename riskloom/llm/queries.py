@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import exact, jaccard, language, mixing, neighbours, packing, quality, shards, warc
+from riskloom.llm import exact, jaccard, language, mixing, neighbours, packing, quality, secrets, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,3 +150,9 @@ def op8_warc_captures(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("page") != "", F.col("page")).cast("long").alias("page_id"), "payload_bytes", "payload_digest",
         "record_type", F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query()
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document: the rules' findings and what the network adds."""
+    return secrets.secrets(table(spark, folder, "documents"))
