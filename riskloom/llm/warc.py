@@ -30,6 +30,8 @@ from riskloom.plans.materialise import new_path, stored
 # Payloads below this size are stored again each time.
 LEAST_SHARED = 1000
 BLOCK_LINES = 256
+# What a response has in place of the key of another capture.
+NO_KEY = "\t"
 FILE_BYTES = 1 << 30
 _LEVEL = 3
 _TRAILER = "<QQ"
@@ -190,7 +192,7 @@ def _index_writer(folder: str) -> Callable:
 
         for part in parts:
             for capture, path, offset, length, refers in zip(*(c.to_pylist() for c in part.columns)):
-                lines.append((capture, f"{path}\t{offset}\t{length}\t{refers or ''}"))
+                lines.append((capture, f"{path}\t{offset}\t{length}\t{refers or NO_KEY}"))
                 if len(lines) == BLOCK_LINES:
                     flush()
         if lines:
@@ -222,11 +224,11 @@ class Reader:
 
     def _block(self, at: tuple[str, int, int]) -> tuple[list[bytes], list[list[bytes]]]:
         path, begin, size = at
-        rows = [line.rsplit(b"\t", 4) for line in zlib.decompress(self.open[path].read_at(size, begin)).split(b"\n")]
+        rows = [line.rsplit(b"\t", 5) for line in zlib.decompress(self.open[path].read_at(size, begin)).split(b"\n")]
         return [r[0] for r in rows], rows
 
     def captures(self, key: bytes) -> Iterator[tuple[str, int, int, bytes]]:
-        """Path, offset, length and the key referred to of every capture with a key."""
+        """Path, offset, length and the key referred to (or ``NO_KEY``) of every capture with a key."""
         # The file before the first one that begins at or beyond the key may end with it.
         for at in range(max(0, bisect_left(self.firsts, key) - 1), bisect_right(self.firsts, key)):
             path = self.files[at][1]
@@ -234,8 +236,8 @@ class Reader:
             for block in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key)):
                 keys, rows = self.blocks[(path, *places[block])]
                 for row in range(bisect_left(keys, key), bisect_right(keys, key)):
-                    _, where, offset, length, refers = rows[row]
-                    yield where.decode(), int(offset), int(length), refers
+                    _, where, offset, length, *refers = rows[row]
+                    yield where.decode(), int(offset), int(length), b"\t".join(refers)
 
     def record(self, path: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
         """The record at a place."""
@@ -245,7 +247,7 @@ class Reader:
         """Size and digest of the response under a key that has the digest asked for."""
         key, digest = asked
         for path, offset, length, refers in self.captures(key):
-            if not refers:
+            if refers == NO_KEY.encode():
                 _, payload = self.record(path, offset, length)
                 if hashlib.sha1(payload).hexdigest() == digest:
                     return len(payload), digest
