@@ -63,14 +63,14 @@ def fit_quality(
 
 def quality_scores(
     docs: DataFrame, model: AdditiveModel, key: str = "doc_id", text: str = "text",
-    keep: tuple[str, ...] = (), threshold: float = KEEP_AT,
+    keep: tuple[str, ...] = (), threshold: float = KEEP_AT, names: tuple[str, str] = ("score", "predicted"),
 ) -> DataFrame:
-    """key, the ``keep`` columns, score and predicted of every row.
+    """key, the ``keep`` columns, score and predicted (or the ``names`` given) of every row.
 
     Null and empty texts are scored like any other, from features that are all 0.
     """
     columns = [key, *[c for c in keep if c != key]]
-    schema = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
+    schema = docs.select(*columns).schema.add(names[0], "double").add(names[1], "integer")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -78,7 +78,7 @@ def quality_scores(
             score = model.score(x.reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                [*columns, "score", "predicted"],
+                [*columns, *names],
             )
 
     return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(batches, schema)
@@ -86,6 +86,6 @@ def quality_scores(
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with all their columns."""
-    names = docs.columns
     model = fit_quality(docs, labels, key, text)
-    return quality_scores(docs, model, key, text, tuple(names)).where("predicted = 1").select(*names)
+    scored = quality_scores(docs, model, key, text, tuple(docs.columns), names=("__score", "__predicted"))
+    return scored.where("__predicted = 1").select(*docs.columns)
