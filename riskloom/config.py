@@ -13,7 +13,6 @@ USB_DEVICE_PATTERN = r"^(USB\\VID_|SWD\\WPDBUSENUM)"
 # Host-log event ids and the activity each one stands for.
 SECURITY_LABELS = {4624: "LOGON", 4800: "LOCK", 4801: "UNLOCK"}
 SYSTEM_LABELS = {1074: "LOGOFF(shutdown)", 42: "SLEEP", 107: "WAKE", 6005: "LOGON(STARTUP)"}
-DEVICE_EVENT_IDS = (2003, 2100, 2102)
 DEVICE_CONNECT_ID = 2003
 
 # Activities that open and close a host session.
@@ -83,7 +82,6 @@ class CleaningSettings:
     duplicate_seconds: float = 1.5
     bounce_seconds: float = 1.0
     startup_seconds: float = 60.0
-    lookback_days: int = 180
     cell_seconds: int = 3600
     # Bursts up to this many rows are folded in one expression; longer ones are
     # folded block by block.

@@ -35,14 +35,14 @@ def risk_tier(score: Column) -> Column:
 
 
 def to_int(value: Column) -> Column:
-    """Whole number via double, cut towards zero; what does not parse is 0."""
+    """Whole number via double, cut towards zero; what does not parse, or exceeds 64 bits, is 0."""
     number = value.cast("string").try_cast("double")
-    return F.coalesce(number.try_cast("int"), F.lit(0))
+    return F.coalesce(number.try_cast("bigint"), F.lit(0))
 
 
 def to_strict_int(value: Column) -> Column:
     """Whole number from integer text only; '3.9' and what does not parse are 0."""
-    return F.coalesce(F.trim(value.cast("string")).try_cast("int"), F.lit(0))
+    return F.coalesce(F.trim(value.cast("string")).try_cast("bigint"), F.lit(0))
 
 
 def to_double(value: Column) -> Column:

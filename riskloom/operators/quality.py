@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from riskloom.operators.labels import seeded_hash
 from riskloom.operators.ordering import all_of, exact_quantiles, value_counts
+from riskloom.plans.materialise import stored
 
 COLUMNS = ["check", "column", "metric", "value", "status"]
 
@@ -194,17 +195,19 @@ def numeric_columns(table: DataFrame) -> list[str]:
 def quality_report(table: DataFrame, roles: Mapping[str, Sequence[str]]) -> DataFrame:
     """All checks that give report rows.
 
-    ``roles`` names the columns: ``zscores``, ``flags``, ``recency``, ``required`` and
-    ``padding``. Columns the table lacks are reported once and skipped after that.
+    ``roles`` names the columns: ``zscores``, ``flags``, ``recency``, ``required``,
+    ``padding`` and ``constant`` (all numeric ones where it is missing). Columns the table lacks are reported once and skipped after that.
     """
     def have(role: str) -> list[str]:
         return [c for c in roles.get(role, ()) if c in table.columns]
 
+    # The table is computed once; the checks read the columns they need from the written one.
+    table = stored(table, "quality-table")
     parts = [
         check_shape(table), check_columns(table, roles.get("required", ())),
         check_dates(table, F.col("day")), check_zscores(table, have("zscores")),
         check_flags(table, have("flags")), *[check_recency(table, c) for c in have("recency")],
         check_padding(table, have("padding")),
-        check_constant(table, [c for c in numeric_columns(table)]),
+        check_constant(table, roles.get("constant", numeric_columns(table))),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.config import CleaningSettings, FeatureSettings, HOST, USB_DEVICE_PATTERN
@@ -16,6 +16,8 @@ from riskloom.operators.daily import (
     daily_with_diversity, device_rows, diversity_rows, monthly_diversity, stack, web_rows,
 )
 from riskloom.operators.sessions import host_session_days
+from riskloom.sources.event_xml import device_events, security_events
+from riskloom.sources.logs import browser_events, union_sources
 
 SOURCES = ("logon", "device", "web")
 
@@ -61,3 +63,16 @@ def host_report_days(
 ) -> DataFrame:
     """Raw events to features: noise filters first."""
     return host_days(clean_host_log(events, pattern, cleaning), features)
+
+
+def exported_host_log(
+    device_xml: DataFrame, session_xml: DataFrame, visits: DataFrame, as_of: Column, days: int
+) -> DataFrame:
+    """Exported device XML, session XML (with its ``source``) and browser visits as one host log.
+
+    Rows without a time belong to no day and are left out; ``days`` limits the visits.
+    """
+    log = union_sources(
+        device_events(device_xml), security_events(session_xml), browser_events(visits, as_of, days)
+    )
+    return log.where(F.col("ts").isNotNull())

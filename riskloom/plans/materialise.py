@@ -8,15 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Rows of a part of a table that fits go through many times.
+PART_ROWS = 250_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where nothing is named,
-    as in tests, a folder of our own is set.
+    A cluster names it in ``spark.checkpoint.dir``. Where nothing is named, a session
+    inside one process gets a folder of its own; on a cluster that folder would be seen by the driver
+    alone, so this fails instead.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        one_process = context.master == "local" or context.master.startswith("local[")
+        if named is None and not one_process:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="riskloom-"))
     return context.getCheckpointDir()
 
@@ -36,11 +44,17 @@ def stored(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write the rows as parquet in the shared folder and read them back.
 
     Later passes prune columns and push filters into the written table. ``spread``
-    cuts it into one part per core, for tables that fits go through many times:
-    adaptive execution would merge a narrow table into few large parts.
+    cuts it into parts of at most about ``PART_ROWS`` rows, and one per core at least, for
+    tables that fits go through many times: adaptive execution would merge a narrow
+    table into few large parts.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    rows = df.repartition(spark.sparkContext.defaultParallelism) if spread else df
-    rows.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    if not spread:
+        return written
+    parts = max(spark.sparkContext.defaultParallelism, -(-written.count() // PART_ROWS))
+    again = new_path(spark, name)
+    written.repartition(parts).write.parquet(again)
+    return spark.read.schema(df.schema).parquet(again)

@@ -8,11 +8,11 @@ from riskloom.functions.calendar import minutes_between
 from riskloom.operators import cleaning
 from riskloom.operators.daily import connects, monthly_diversity
 from riskloom.operators.sessions import host_session_days, host_sessions
-from riskloom.plans.host import host_days, host_report_days
+from riskloom.plans.host import exported_host_log, host_days, host_report_days
 from riskloom.registry import views
 from riskloom.registry.core import query, rounded
 from riskloom.registry.sql_views import rounded as r
-from riskloom.registry.sql_views import with_steps
+from riskloom.registry.sql_views import STEPS, with_steps
 from riskloom.sources.logs import union_sources
 
 U = 'usr as "user"'
@@ -131,3 +131,22 @@ def cleaned_host_user_days(spark, sf):
     return rounded(host_report_days(
         views.host_events(spark, sf), views.DEVICE_VIEW_PATTERN, views.HOST_VIEW, views.CLEANING_VIEW
     ))
+
+
+# The exports of the host log: devices missing now and then, visits instead of browser rows.
+_EXPORTED = f"""select * replace (case when source = 'UMDF' and k % 4 = 3 then 'N/A' else device end as device)
+  from ({STEPS['v_host'][0]}) where source <> 'Browser' union all by name
+  select id, usr, 'Browser' as source, url, k, ts from (select b.*, e.ts, e.k from ({STEPS['v_browser'][0]}) b join ev e on e.id = b.id)
+  where coalesce(visit_us, 0) > 0 and (browser <> 'Firefox' or visit_count > 0)
+    and ts >= timestamp '2024-01-31 00:00:00' - interval 12 day"""
+
+
+@query(_host_sql("host_clean_days").replace(STEPS["v_host"][0], _EXPORTED))
+def exported_log_user_days(spark, sf):
+    """Exported XML and browser visits, joined, cleaned and turned into host user-days."""
+    raw = views.event_xml(spark, sf)
+    log = exported_host_log(
+        raw.where(F.col("source") == "UMDF").drop("source"), raw.where(F.col("source").isin("Security", "System")),
+        views.browser_export(spark, sf), F.to_timestamp(F.lit(views.AS_OF)), 12,
+    )
+    return rounded(host_report_days(log, views.DEVICE_VIEW_PATTERN, views.HOST_VIEW, views.CLEANING_VIEW))

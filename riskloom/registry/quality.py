@@ -9,10 +9,11 @@ from riskloom.operators import quality
 from riskloom.operators.declared import days_since_last_usb
 from riskloom.operators.daily import connects
 from riskloom.registry import views
-from riskloom.registry.core import query, rounded
+from riskloom.registry.core import CHECKS, query, rounded
 from riskloom.registry.features import corpus
 from riskloom.registry.sql_views import with_steps
 
+# The columns that the checks are made for.
 ZSCORES = ["logon_count_zscore", "usb_count_zscore"]
 FLAGS = ["weekend_session_flag", "usb_after_hours_flag", "usb_on_weekend_flag", "job_site_visits_flag",
          "job_search_plus_usb_week"]
@@ -154,8 +155,16 @@ def sampled_users(spark, sf):
     return quality.user_sample(corpus(spark, sf), ["usb_count", "job_site_visits_flag"])
 
 
-@query()
+@query(" union all ".join(
+    f"select * from ({CHECKS[name]})" for name in (
+        "quality_shape", "quality_required_columns", "quality_dates", "quality_zscores", "quality_flags",
+        "quality_padding", "quality_constant_columns",
+    )
+))
 def quality_report(spark, sf):
     """All checks as one report."""
-    roles = {"zscores": ZSCORES, "flags": FLAGS, "required": REQUIRED, "padding": PADDING}
-    return rounded(quality.quality_report(corpus(spark, sf), roles))
+    roles = {
+        "zscores": ZSCORES, "flags": FLAGS, "required": REQUIRED, "padding": PADDING,
+        "constant": [*ZSCORES, *FLAGS, *COUNTS],
+    }
+    return rounded(quality.quality_report(rounded(corpus(spark, sf)), roles))

@@ -98,10 +98,10 @@ def deployment_user_report(spark, sf):
     return rounded(reports.deployment_report(deployed(spark, sf)))
 
 
-_COUNTS = "rank days_above_threshold days_flagged_iso days_flagged_lof days_flagged_both total_days"
+_COUNTS = "is_synthetic rank days_above_threshold days_flagged_iso days_flagged_lof days_flagged_both total_days"
 
 
-@query(with_steps(f"""select * replace ({', '.join(f'cast({c} as integer) as {c}' for c in _COUNTS.split())})
+@query(with_steps(f"""select * replace ({', '.join(f'cast({c} as bigint) as {c}' for c in _COUNTS.split())})
     from ({_REPORT})""", "deploy_report"))
 def users_served(spark, sf):
     """The user report as text, typed again column by column."""
@@ -112,9 +112,12 @@ def users_served(spark, sf):
     return reports.users_table(text)
 
 
-@query(with_steps(f"""select id, {U}, {r(_FUSED)}, flagged_by_both, above_threshold, iso_prediction, lof_prediction,
-    cast(trunc(supervised_score * 10) as integer) as after_hours_session_count, 0 as weekend_session_flag
-    from deployed""", "deployed"))
+_FLAGS = "flagged_by_both above_threshold iso_prediction lof_prediction"
+
+
+@query(with_steps(f"""select id, {U}, {r(_FUSED)}, {', '.join(f'cast({c} as bigint) as {c}' for c in _FLAGS.split())},
+    3000000000 + cast(trunc(supervised_score * 10) as bigint) as after_hours_session_count,
+    cast(0 as bigint) as weekend_session_flag from deployed""", "deployed"))
 def days_served(spark, sf):
     """Scored days as text, typed again; fractions are cut and broken numbers are 0."""
     table = rounded(deployed(spark, sf).select(
@@ -123,7 +126,7 @@ def days_served(spark, sf):
     ))
     text = table.select("id", "user", *[F.col(c).cast("string").alias(c) for c in table.columns[2:-1]]).join(
         deployed(spark, sf).select(
-            "id", (F.col("supervised_score") * 10).cast("string").alias("after_hours_session_count"),
+            "id", (F.floor(F.col("supervised_score") * 10) + 3_000_000_000).cast("string").alias("after_hours_session_count"),
             F.lit("n/a").alias("weekend_session_flag"),
         ), "id",
     )
@@ -245,16 +248,19 @@ def stacked_cohorts(spark, sf):
     return first.unionByName(second)
 
 
-@query("""select event_id as id, cast(trunc(value) as integer) as cut, value as number,
-    0 as broken, cast(case when value = trunc(value) then trunc(value) else 0 end as integer) as strict from events""")
+@query("""select event_id as id, cast(trunc(value) as bigint) as cut, value as number,
+    cast(0 as bigint) as broken, cast(case when value = trunc(value) then trunc(value) else 0 end as bigint) as strict,
+    3000000000000 + event_id as large, -3000000000000 - event_id as large_cut from events""")
 def coerced_numbers(spark, sf):
-    """Numbers from text: cut, whole only, and broken."""
+    """Numbers from text: cut, whole only, broken, and beyond 32 bits."""
     events = views.table(spark, sf, "events")
     text = F.col("value").cast("string")
     whole = F.when(F.col("value") == F.floor("value"), F.floor("value").cast("string")).otherwise(text)
+    large = (F.lit(3_000_000_000_000) + F.col("event_id")).cast("string")
     return events.select(
         F.col("event_id").alias("id"), to_int(text).alias("cut"), to_double(text).alias("number"),
         to_int(F.concat(F.lit("x"), text)).alias("broken"), to_strict_int(whole).alias("strict"),
+        to_strict_int(large).alias("large"), to_int(F.concat(F.lit("-"), large, F.lit(".5"))).alias("large_cut"),
     )
 
 

@@ -173,10 +173,15 @@ def event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = host_events(spark, sf_dir).join(
         _events(spark, sf_dir).select("id", "k"), "id"
     ).where(F.col("source") != "Browser")
-    instance = F.when(k % 4 != 3, F.concat(
-        F.lit("<UserData><UMDFHostDeviceArrivalBegin><InstanceId>"), F.col("device"),
-        F.lit("</InstanceId></UMDFHostDeviceArrivalBegin></UserData>"),
-    )).otherwise("")
+    wrapped = lambda opening, closing: F.concat(
+        F.lit(f"<UserData>{opening}<InstanceId>"), F.col("device"), F.lit(f"</InstanceId>{closing}</UserData>")
+    )
+    arrival = wrapped(
+        "<UMDFHostDeviceArrivalBegin xmlns='http://www.microsoft.com/DriverFrameworks/UserMode/Event'>",
+        "</UMDFHostDeviceArrivalBegin>",
+    )
+    request = wrapped("<UMDFHostDeviceRequest><Request>", "</Request></UMDFHostDeviceRequest>")
+    instance = F.when(k % 4 == 3, "").when(k % 4 == 2, request).otherwise(arrival)
     data = F.when(k % 5 != 0, F.concat(
         F.lit('<EventData><Data Name="TargetLogonId">0x'), k.cast("string"),
         F.lit('</Data><Data Name="IpPort">0</Data></EventData>'),

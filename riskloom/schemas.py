@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from riskloom.config import HOST_DAY_COLUMNS, UNIFIED_COLUMNS
+
 
 def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
@@ -19,24 +21,13 @@ WEB_LOG = _schema(("id", _S), ("date", _S), ("user", _S), ("pc", _S), ("url", _S
 INCIDENTS = _schema(
     ("dataset", _S), ("scenario", _I), ("details", _S), ("user", _S), ("start", _S), ("end", _S),
 )
-UNIFIED_LOG = _schema(
-    ("timestamp", _S), ("source", _S), ("event_id", _I), ("activity", _S), ("category", _S),
-    ("device", _S), ("user", _S), ("logon_id", _S), ("browser", _S), ("url", _S), ("title", _S),
-    ("visit_count", _I),
-)
+_WHOLE = {"event_id", "visit_count"}
+UNIFIED_LOG = _schema(*[(c, _I if c in _WHOLE else _S) for c in UNIFIED_COLUMNS])
 BROWSER_EXPORT = _schema(
     ("user", _S), ("browser", _S), ("url", _S), ("title", _S), ("visit_count", _I), ("visit_us", _L),
 )
 EVENT_XML = """
     System struct<EventID:int, TimeCreated:struct<_SystemTime:string>>,
-    UserData struct<UMDFHostDeviceArrivalBegin:struct<InstanceId:string>>,
     EventData struct<Data:array<struct<_Name:string, _VALUE:string>>>
 """
-FEATURE_CSV = _schema(
-    ("date", _S), ("user", _S), ("day", _S), ("total_active_minutes_day", _D),
-    ("after_hours_session_count", _D), ("weekend_session_flag", _D), ("logon_count_zscore", _D),
-    ("logon_count_zscore_has_baseline", _D), ("usb_count", _D), ("usb_after_hours_flag", _D),
-    ("usb_on_weekend_flag", _D), ("usb_device_diversity_monthly", _D), ("usb_count_zscore", _D),
-    ("usb_count_zscore_has_baseline", _D), ("job_site_visits_flag", _D),
-    ("job_search_plus_usb_week", _D),
-)
+FEATURE_CSV = _schema(*[(c, _S if c in ("date", "user", "day") else _D) for c in HOST_DAY_COLUMNS])
