@@ -27,6 +27,8 @@ LIST_RECALL, TRIAL_QUERIES = 0.98, 256
 # Candidates and queries of one job, columns added at a time, candidates scanned at a time.
 JOB_ROWS, JOB_QUERIES = 4096, 2048
 COLUMNS, CHUNK = 16, 512
+# Queries whose nearest rows a task holds before it passes them on.
+HELD_QUERIES = 100_000
 # Strength of the test: the chance of a wrong drop falls as exp(-c * STRICTNESS^2).
 STRICTNESS = 2.1
 JOB = ["list", "part", "turn"]
@@ -156,15 +158,15 @@ def _probed(queries: DataFrame, index: ListIndex, sizes: dict[int, int], nearest
     return queries.select("key", "vector").mapInArrow(batches, "key long, vector array<double>, list int")
 
 
-def scan_list(x: np.ndarray, q: np.ndarray, nearest: int) -> list[np.ndarray]:
+def scan_list(x: np.ndarray, q: np.ndarray, nearest: int, known: np.ndarray | None = None) -> list[np.ndarray]:
     """Positions in ``x`` of what may be among the ``nearest`` rows to each row of ``q``.
 
-    Rotated vectors. The first candidates are compared whole and give each query a limit,
+    Rotated vectors; ``known`` limits come from lists scanned before. The first candidates are compared whole and give each query a limit,
     the distance of its worst kept candidate. Others add ``COLUMNS`` columns at a time and go when the
     distance that the part seen stands for exceeds the limit by more than its likely error.
     """
     width = x.shape[1]
-    limits = np.full(len(q), np.inf, np.float32)
+    limits = np.full(len(q), np.inf, np.float32) if known is None else known.astype(np.float32)
     kept_d = [np.zeros(0, np.float32)] * len(q)
     kept_i = [np.zeros(0, np.int64)] * len(q)
     for begin in range(0, len(x), CHUNK):
@@ -193,15 +195,52 @@ def scan_list(x: np.ndarray, q: np.ndarray, nearest: int) -> list[np.ndarray]:
             i = np.concatenate([kept_i[k], cols[a:b] + begin])
             # One more than asked for, as a query may meet itself.
             if len(d) > nearest + 1:
-                limits[k] = np.partition(d, nearest)[nearest]
+                limits[k] = min(limits[k], np.partition(d, nearest)[nearest])
                 near = d <= limits[k] * (1 + 1e-4) + 1e-5
                 d, i = d[near], i[near]
             kept_d[k], kept_i[k] = d, i
     return kept_i
 
 
+class _Best:
+    """The nearest rows found so far by one task, for a bounded number of queries."""
+
+    def __init__(self, nearest: int, norm: float):
+        self.nearest, self.norm = nearest, norm
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def limit(self, name: int, square: float) -> float:
+        """Squared distance that a row must not exceed to be among the nearest."""
+        held = self.found.get(name)
+        if held is None or len(held[0]) < self.nearest:
+            return np.inf
+        return max(0.0, square + self.norm ** 2 - 2 * held[1][-1])
+
+    def add(self, name: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merge rows; ties go to the smaller id."""
+        if name in self.found:
+            ids, scores = (np.concatenate(pair) for pair in zip(self.found[name], (ids, scores)))
+        best = np.lexsort((ids, -scores))[:self.nearest]
+        self.found[name] = ids[best], scores[best]
+
+    def emptied(self) -> Iterator[pa.RecordBatch]:
+        """All rows held, and none after that."""
+        names = list(self.found)
+        for begin in range(0, len(names), 4096):
+            some = names[begin:begin + 4096]
+            rows = [self.found[n] for n in some]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(some, [len(r[0]) for r in rows])), pa.array(np.concatenate([r[0] for r in rows])),
+                pa.array(np.concatenate([r[1] for r in rows])),
+            ], ["query_id", "vec_id", "score"])
+        self.found.clear()
+
+
 def _scanned(index_sent, width: int, nearest: int):
+    """Job rows to the nearest rows of each query among the lists of the task."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_sent.value
+        best = _Best(nearest, index.norm)
         for whole in whole_groups(parts, JOB, 1):
             starts = group_starts(whole, JOB)
             for begin, end in zip(starts, np.append(starts[1:], whole.num_rows)):
@@ -211,17 +250,15 @@ def _scanned(index_sent, width: int, nearest: int):
                 x, ids, q, names = vectors[~asks], keys[~asks], vectors[asks], keys[asks]
                 if len(q) == 0 or len(x) == 0:
                     continue
-                index = index_sent.value
-                found = scan_list(index.rotated(x), index.rotated(q, True), nearest)
-                out = []
+                known = np.array([best.limit(int(n), s) for n, s in zip(names, (q ** 2).sum(1))])
+                found = scan_list(index.rotated(x), index.rotated(q, True), nearest, known)
                 for k, near in enumerate(found):
                     near = near[ids[near] != names[k]]
-                    score = (x[near] * q[k]).sum(axis=1)
-                    best = np.lexsort((ids[near], -score))[:nearest]
-                    out.append((np.full(len(best), names[k]), ids[near][best], score[best]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["query_id", "vec_id", "score"]
-                )
+                    if len(near):
+                        best.add(int(names[k]), ids[near], (x[near] * q[k]).sum(axis=1))
+            if len(best.found) > HELD_QUERIES:
+                yield from best.emptied()
+        yield from best.emptied()
 
     return batches
 
