@@ -1,14 +1,15 @@
 """Robust-covariance envelope: concentration steps as Spark aggregates.
 
-A step adds up counts, sums and products of the d features: tasks reduce their Arrow
-batches to d x d sums, Spark adds those up, and the driver inverts one d x d matrix.
+A step adds up counts, sums and products of the d features by classes of distance: tasks
+reduce their Arrow batches to those sums, Spark adds them up, and the driver inverts one d x d
+matrix per start. All rows take part at every size, and their layout does not matter.
 Rows are never collected. Scoring is a plain column expression.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,9 @@ from riskloom.plans.materialise import stored
 
 DISTANCE = "__distance"
 _TOLERANCE = 1e-10
-# First concentration runs on a hash sample of about this many rows.
-_FIRST_ROWS = 200_000
+# Distances are counted and summed in this many classes around the last cut.
+_CLASSES = 48
+_STEPS = 30
 
 
 @dataclass
@@ -81,24 +83,48 @@ def chi2_quantile(p: float, d: int) -> float:
 
 def moments(rows: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, population covariance and row count of the columns."""
+    return _moments(_sums(rows, names, lambda x: np.zeros((len(x), 1), np.int64), 1)[0, 0], len(names))
+
+
+def _moments(sums: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean, population covariance and count from count, sums and products."""
+    count = int(sums[0])
+    mean = sums[1:d + 1] / count
+    return mean, sums[d + 1:].reshape(d, d) / count - np.outer(mean, mean), count
+
+
+def _sums(
+    rows: DataFrame, names: Sequence[str], classes: Callable[[np.ndarray], np.ndarray], n_ways: int, n_classes: int = 1
+) -> np.ndarray:
+    """Count, sums and products of the columns by class, [way, class, 1 + d + d * d], in one pass.
+
+    ``classes`` gives each row's class for each of ``n_ways`` divisions. A task sends one
+    set of sums; their number depends on the columns and classes alone.
+    """
     d = len(names)
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, total, products = 0, np.zeros(d), np.zeros((d, d))
+        sums = np.zeros((n_ways, n_classes, 1 + d + d * d))
         for batch in batches:
             x = batch.to_numpy(dtype=float)
-            count, total, products = count + len(x), total + x.sum(axis=0), products + x.T @ x
-        sums = np.concatenate([[count], total, products.ravel()])
-        yield pd.DataFrame({"place": np.arange(len(sums)), "value": sums})
-
-    added = (
-        rows.select(*names).mapInPandas(add_up, "place int, value double")
-        .groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").collect()
-    )  # 1 + d + d * d rows
-    sums = np.array([row["value"] for row in added])
-    count = int(sums[0])
-    mean = sums[1:d + 1] / count
-    return mean, sums[d + 1:].reshape(d, d) / count - np.outer(mean, mean), count
+            found = classes(x)
+            for way in range(n_ways):
+                order = np.argsort(found[:, way], kind="stable")
+                ends = np.searchsorted(found[order, way], np.arange(n_classes + 1))
+                for c in np.flatnonzero(np.diff(ends)):
+                    part = x[order[ends[c]:ends[c + 1]]]
+                    sums[way, c] += np.concatenate([[len(part)], part.sum(axis=0), (part.T @ part).ravel()])
+        flat = sums.ravel()
+        used = np.flatnonzero(flat)
+        yield pd.DataFrame({"place": used, "value": flat[used]})
+
+    added = rows.select(*names).mapInPandas(add_up, "place long, value double").groupBy("place").agg(
+        F.sum("value").alias("value")
+    ).collect()  # at most n_ways * n_classes * (1 + d + d * d) rows
+    out = np.zeros(n_ways * n_classes * (1 + d + d * d))
+    for row in added:
+        out[row["place"]] = row["value"]
+    return out.reshape(n_ways, n_classes, -1)
 
 
 def batch_distance(names: Sequence[str], mean: np.ndarray, precision: np.ndarray) -> Column:
@@ -141,19 +167,54 @@ def squared_distance(columns: Sequence[Column], mean: np.ndarray, precision: np.
     return total
 
 
-def _concentrate(rows, names, mean, covariance, support: float, steps: int):
-    """Repeat "keep the nearest share, refit" until the volume stops shrinking."""
-    best = log_volume(covariance)
+def _directions(rows: DataFrame, names: Sequence[str], mean: np.ndarray) -> np.ndarray:
+    """Covariance of the rows' directions from the mean: far rows count no more than near ones."""
+    length = F.sqrt(sum(((F.col(n) - float(m)) * (F.col(n) - float(m)) for n, m in zip(names, mean)), F.lit(0.0)))
+    unit = [F.when(length > 0, (F.col(n) - float(m)) / length).otherwise(0.0).alias(n) for n, m in zip(names, mean)]
+    return moments(rows.select(*unit), names)[1]
+
+
+def _concentrate(rows: DataFrame, names: Sequence[str], starts, support: float, steps: int = _STEPS):
+    """Repeat "keep the nearest share, refit" for all starts at once until the tightest is found.
+
+    One pass a step: rows are counted and summed by classes of distance around the last cut,
+    so the cut that covers the share and the moments of the rows within it come from the same
+    sums. The cut is an edge between classes, at every size of the table.
+    """
+    d = len(names)
+    states = [
+        {"mean": m, "covariance": c, "cut": chi2_quantile(support, d), "span": 8.0, "volume": None, "open": True}
+        for m, c in starts
+    ]
     for _ in range(steps):
-        placed = rows.withColumn(DISTANCE, batch_distance(names, mean, inverse(covariance)))
-        # The cut of a step may be approximate; the final estimates do not use it.
-        cut = placed.agg(F.percentile_approx(DISTANCE, support, 100_000)).first()[0]
-        mean, covariance, _ = moments(placed.where(F.col(DISTANCE) <= cut), names)
-        volume = log_volume(covariance)
-        if volume[0] == best[0] and volume[1] >= best[1] - 1e-9:
+        going = [s for s in states if s["open"]]
+        if not going:
             break
-        best = volume
-    return mean, covariance, log_volume(covariance)
+        ways = [
+            (s["mean"], inverse(s["covariance"]), s["cut"] * np.geomspace(1 / s["span"], s["span"], _CLASSES)) for s in going
+        ]
+
+        def classes(x: np.ndarray, ways=ways) -> np.ndarray:
+            return np.column_stack([
+                np.searchsorted(edges, (((x - m) @ p) * (x - m)).sum(axis=1)) for m, p, edges in ways
+            ])
+
+        sums = _sums(rows, names, classes, len(ways), _CLASSES + 1)
+        for state, (_, _, edges), found in zip(going, ways, sums):
+            upto = np.cumsum(found, axis=0)
+            at = min(int(np.searchsorted(upto[:, 0], support * upto[-1, 0])), _CLASSES - 1)
+            if upto[at, 0] == 0:
+                at = _CLASSES
+            inner = 0 < at < _CLASSES - 1
+            state["cut"], state["span"] = edges[min(at, _CLASSES - 1)], 2.0 if inner else 8.0
+            state["mean"], state["covariance"], _ = _moments(upto[at], d)
+            volume = log_volume(state["covariance"])
+            last = state["volume"]
+            if inner and last is not None and volume[0] == last[0] and volume[1] >= last[1] - 1e-6:
+                state["open"] = False
+            state["volume"] = volume
+    best = min(states, key=lambda s: s["volume"])
+    return best["mean"], best["covariance"]
 
 
 @dataclass
@@ -180,29 +241,15 @@ class EnvelopeModel:
 def fit_envelope(
     normal: DataFrame, features: Sequence[str], settings: DetectorSettings = DetectorSettings()
 ) -> EnvelopeModel:
-    """Fit on normal rows: two deterministic starts, concentration, reweighting, offset."""
+    """Fit on all normal rows: two deterministic starts, concentration, reweighting, offset."""
     scaler = fit_scaler(normal, features)
     names = [f"z{i}" for i in range(len(features))]
     rows = stored(
         normal.select(*[c.alias(n) for c, n in zip(scaler.columns(), names)]), "envelope-rows"
     )
-    mean, covariance, count = moments(rows, names)
-    first = rows
-    if count > _FIRST_ROWS:
-        share = int(-(2**63) + _FIRST_ROWS / count * 2**64)
-        first = stored(
-            rows.where(F.xxhash64(*names, F.monotonically_increasing_id()) <= share), "envelope-first"
-        )
-    middle = first.agg(F.array(*[F.percentile_approx(n, 0.5, 10_000) for n in names])).first()[0]
-    spread = first.agg(F.array(*[
-        F.percentile_approx(F.abs(F.col(n) - float(m)), 0.5, 10_000) for n, m in zip(names, middle)
-    ])).first()[0]
-    # 1.4826 makes the median deviation agree with the standard deviation.
-    robust = np.diag([(1.4826 * s) ** 2 if s > 0 else 1.0 for s in spread])
-    starts = [(mean, covariance), (np.array(middle, dtype=float), robust)]
-    runs = [_concentrate(first, names, m, c, settings.support, 30) for m, c in starts]
-    mean, covariance, _ = min(runs, key=lambda run: run[2])
-    mean, covariance, _ = _concentrate(rows, names, mean, covariance, settings.support, 10)
+    mean, covariance, _ = moments(rows, names)
+    starts = [(mean, covariance), (mean, _directions(rows, names, mean) * len(names))]
+    mean, covariance = _concentrate(rows, names, starts, settings.support)
 
     rank = log_volume(covariance)[0]
     placed = rows.withColumn(DISTANCE, batch_distance(names, mean, inverse(covariance)))

@@ -9,7 +9,6 @@ needs one lookup per leaf. The table's size depends on the forest alone.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -60,23 +59,25 @@ def _leaf_paths(nodes: pd.DataFrame):
     return leaves
 
 
-def _pattern_values(value: float, shares: Sequence[float]) -> np.ndarray:
-    """Shapley values of one leaf for every pattern of met tests: [2^k, k]."""
-    k = len(shares)
-    weight = [math.factorial(s) * math.factorial(k - s - 1) / math.factorial(k) for s in range(k)]
-    out = np.zeros((2**k, k))
-    for pattern in range(2**k):
-        met = [(pattern >> i) & 1 for i in range(k)]
-
-        def worth(known):
-            return value * math.prod(met[i] if i in known else shares[i] for i in range(k))
-
-        for i in range(k):
-            others = [j for j in range(k) if j != i]
-            for size in range(k):
-                for chosen in itertools.combinations(others, size):
-                    known = set(chosen)
-                    out[pattern, i] += weight[size] * (worth(known | {i}) - worth(known))
+def _pattern_values(values: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Shapley values of leaves with k tests, for every pattern of met tests: [leaf, 2^k, k].
+
+    A test that is unknown counts with its share. The worth of all sets of s other tests is
+    the coefficient of z^s in the product of (share + met z), so a sum over sets is one product.
+    """
+    k = shares.shape[1]
+    met = ((np.arange(2**k)[:, None] >> np.arange(k)) & 1).astype(float)
+    weight = np.array([math.factorial(s) * math.factorial(k - s - 1) / math.factorial(k) for s in range(k)])
+    out = np.zeros((len(values), 2**k, k))
+    for i in range(k):
+        worth = np.ones((len(values), 2**k, 1))
+        for j in range(k):
+            if j != i:
+                longer = np.zeros((*worth.shape[:2], worth.shape[2] + 1))
+                longer[..., :-1] += worth * shares[:, None, j, None]
+                longer[..., 1:] += worth * met[None, :, j, None]
+                worth = longer
+        out[:, :, i] = values[:, None] * (met[None, :, i] - shares[:, None, i]) * (worth @ weight)
     return out
 
 
@@ -95,7 +96,9 @@ def _tables(nodes: pd.DataFrame):
             "feature": np.array([list(t) for _, t in members]),
             "low": np.array([[b[0] for b in t.values()] for _, t in members]),
             "high": np.array([[b[1] for b in t.values()] for _, t in members]),
-            "values": np.array([_pattern_values(v, [b[2] for b in t.values()]) for v, t in members]),
+            "values": _pattern_values(
+                np.array([v for v, _ in members]), np.array([[b[2] for b in t.values()] for _, t in members])
+            ),
         })
     return tables, base
 

@@ -149,41 +149,56 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def holdout_runs(
+def holdout_scores(
     table: DataFrame, features: Sequence[str], seeds: Sequence[int] = range(5),
     settings: ForestSettings = HOLDOUT_FOREST,
 ) -> DataFrame:
-    """One row per seed: AUC over days and precision over users never seen in training.
+    """Scores (seed, user, insider_label, score) of the days of users never seen in training.
 
     A seed whose training or test side has no positive day is left out.
     """
     users = insider_users(table)
+    sides = users.select("user")
+    for seed in seeds:
+        split = holdout_users(users, seed).select("user", F.col("is_test").alias(f"__test_{seed}"))
+        sides = sides.join(split, "user", "left")
+    # One table holds every split.
+    rows = stored(table.join(sides, "user"), "holdout", spread=True)
+    real = F.col("insider_label") == 1
+    counts = rows.agg(*[
+        F.count_if(real & (F.col(f"__test_{seed}") == side)).alias(f"n_{seed}_{side}") for seed in seeds for side in (0, 1)
+    ]).first()
     parts = []
     for seed in seeds:
-        split = holdout_users(users, seed).select("user", "is_test")
-        rows = stored(table.join(split, "user"), "holdout", spread=True)
-        sides = rows.where(F.col("insider_label") == 1).groupBy("is_test").count().collect()  # <= 2 rows
-        if len(sides) < 2:
+        if not (counts[f"n_{seed}_0"] and counts[f"n_{seed}_1"]):
             continue
         chosen = ForestSettings(**{**settings.__dict__, "seed": seed})
-        model = fit_forest(rows.where(F.col("is_test") == 0), features, chosen)
-        test = with_forest_score(rows.where(F.col("is_test") == 1), model)
+        model = fit_forest(rows.where(F.col(f"__test_{seed}") == 0), features, chosen)
+        test = with_forest_score(rows.where(F.col(f"__test_{seed}") == 1), model)
         parts.append(test.select(F.lit(seed).alias("seed"), "user", "insider_label", SCORE))
     if not parts:
-        return table.sparkSession.createDataFrame(
-            [], "seed int, roc_auc double, precision_at_k double"
-        )
-    scored = stored(_union(parts), "holdout-scores")
-    return roc_auc(scored, groups=["seed"]).join(
-        precision_at(scored, users, groups=["seed"]), "seed"
-    )
+        return table.select(F.lit(0).alias("seed"), "user", "insider_label", F.lit(0.0).alias(SCORE)).where("false")
+    return stored(_union(parts), "holdout-scores")
 
 
-def cross_validation_runs(
+def holdout_metrics(scored: DataFrame, users: DataFrame) -> DataFrame:
+    """One row per seed: AUC over days and precision over users."""
+    return roc_auc(scored, groups=["seed"]).join(precision_at(scored, users, groups=["seed"]), "seed")
+
+
+def holdout_runs(
+    table: DataFrame, features: Sequence[str], seeds: Sequence[int] = range(5),
+    settings: ForestSettings = HOLDOUT_FOREST,
+) -> DataFrame:
+    """One row per seed of ``holdout_scores``: AUC over days and precision over users."""
+    return holdout_metrics(holdout_scores(table, features, seeds, settings), insider_users(table))
+
+
+def cross_validation_scores(
     table: DataFrame, features: Sequence[str], folds: int = 5,
     settings: ForestSettings = ForestSettings(),
 ) -> DataFrame:
-    """One row per fold: precision, recall, F1 and AUC on the days left out."""
+    """Scores (fold, user, insider_label, score) of every day by the model that did not see its fold."""
     keyed = table.withColumn("__key", F.concat_ws("|", "user", F.col("day").cast("string")))
     rows = stored(stratified_folds(keyed, "__key", folds, settings.seed), "folds", spread=True)
     parts = []
@@ -191,5 +206,17 @@ def cross_validation_runs(
         model = fit_forest(rows.where(F.col("fold") != fold), features, settings)
         test = with_forest_score(rows.where(F.col("fold") == fold), model)
         parts.append(test.select("fold", "user", "insider_label", SCORE))
-    scored = stored(_union(parts), "fold-scores")
+    return stored(_union(parts), "fold-scores")
+
+
+def cross_validation_metrics(scored: DataFrame) -> DataFrame:
+    """One row per fold: precision, recall, F1 and AUC on the days left out."""
     return threshold_metrics(scored, groups=["fold"]).join(roc_auc(scored, groups=["fold"]), "fold")
+
+
+def cross_validation_runs(
+    table: DataFrame, features: Sequence[str], folds: int = 5,
+    settings: ForestSettings = ForestSettings(),
+) -> DataFrame:
+    """One row per fold of ``cross_validation_scores``."""
+    return cross_validation_metrics(cross_validation_scores(table, features, folds, settings))

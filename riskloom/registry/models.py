@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from riskloom.config import MODEL_FEATURES
+from riskloom.config import DetectorSettings, MODEL_FEATURES
 from riskloom.operators import envelope, explain, supervised
+from riskloom.operators.assemble import imputed
 from riskloom.operators.detectors import unsupervised
 from riskloom.operators.isolation import fit_isolation
+from riskloom.operators.labels import insider_users
 from riskloom.plans.host import host_report_days
 from riskloom.plans.materialise import new_path, stored
 from riskloom.plans.training import deploy, train
@@ -121,3 +124,123 @@ def deployment_run(spark, sf):
     ).withColumn("day", F.col("date")).drop("date")
     _, users, _ = deploy(days, result.models, (limits["iso_score_min"], limits["iso_score_max"]))
     return users
+
+
+# Properties that hold for every row, whatever was drawn: Spark computes them from the
+# models' results, the SQL names the rows and the value that each must have.
+_DAYS = 'select usr as "user", day'
+
+
+def _gap(value):
+    """A difference as whole millionths, so that rounding noise is nothing."""
+    return F.round(value * 1_000_000).cast("long")
+
+
+@query(with_steps(f"{_DAYS}, insider_label, true as bounded from labelled", "labelled"))
+def forest_scores_bounded(spark, sf):
+    """Every labelled day has a probability."""
+    score = F.col(supervised.SCORE)
+    bounded = F.coalesce(score.between(0, 1), F.lit(False))
+    return forest_scores(spark, sf).select("user", "day", "insider_label", bounded.alias("bounded"))
+
+
+@query(f"select {len(FEATURES)} as features, cast(1000000 as bigint) as millionths")
+def importances_add_up(spark, sf):
+    """The importances of all features are shares of one whole."""
+    table = _stored_days(spark, sf)
+    rows = supervised.feature_importances(table, supervised.fit_forest(table, FEATURES), len(FEATURES))
+    return rows.agg(F.count(F.lit(1)).cast("int").alias("features"), _gap(F.sum("importance")).alias("millionths"))
+
+
+@query(with_steps(f"{_DAYS}, cast(0 as bigint) as gap from labelled", "labelled"))
+def attributions_add_up(spark, sf):
+    """Attributions and base of every day against its score."""
+    whole = sum((F.col(f) for f in FEATURES), F.col("base_score"))
+    return day_attributions(spark, sf).select("user", "day", _gap(whole - F.col(supervised.SCORE)).alias("gap"))
+
+
+@query(with_steps(f"{_DAYS}, cast(0 as bigint) as forest, cast(0 as bigint) as isolation, cast(0 as bigint) as envelope from labelled", "labelled"))
+def saved_models_agree(spark, sf):
+    """Scores of saved and read models less those of the models themselves."""
+    table = _stored_days(spark, sf)
+    path = new_path(spark, "models")
+    forest = supervised.fit_forest(table, FEATURES)
+    trees, shape, _ = unsupervised(table, FEATURES)
+    stores.save_forest(forest, f"{path}/forest")
+    stores.save_isolation(trees, f"{path}/isolation")
+    stores.save_envelope(spark, shape, f"{path}/envelope")
+    keys = ["user", "day"]
+    kept = imputed(table, FEATURES)
+
+    def scored(forest, trees, shape, mark):
+        rows = shape.transform(trees.transform(supervised.with_forest_score(kept, forest)))
+        return rows.select(*keys, *[F.col(c).alias(c + mark) for c in (supervised.SCORE, "iso_score", "lof_score")])
+
+    saved = scored(
+        stores.load_forest(f"{path}/forest"), stores.load_isolation(spark, f"{path}/isolation"),
+        stores.load_envelope(spark, f"{path}/envelope"), "_saved",
+    )
+    both = scored(forest, trees, shape, "").join(saved, keys)
+    names = {supervised.SCORE: "forest", "iso_score": "isolation", "lof_score": "envelope"}
+    return both.select(*keys, *[_gap(F.col(c) - F.col(c + "_saved")).alias(n) for c, n in names.items()])
+
+
+@query(with_steps(f"{_DAYS}, true as isolation, true as envelope from labelled", "labelled"))
+def detector_flags_agree(spark, sf):
+    """Both detectors flag exactly the days whose score lies below their limit."""
+    trees, shape, scored = unsupervised(_stored_days(spark, sf), FEATURES)
+    return scored.select(
+        "user", "day", ((F.col("iso_prediction") == -1) == (F.col("iso_score") < 0)).alias("isolation"),
+        ((F.col("lof_prediction") == -1) == (F.col("lof_score") < shape.offset)).alias("envelope"),
+    )
+
+
+@query("select 'isolation' as detector, true as near_share union all select 'envelope', true")
+def detector_shares_agree(spark, sf):
+    """The flagged rows of each fit are the contamination share, within one row."""
+    _, _, scored = unsupervised(_stored_days(spark, sf), FEATURES)
+    normal = F.col("insider_label") == 0
+    one = scored.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("iso_prediction") == -1).alias("iso"),
+        F.count_if(normal).alias("normal"), F.count_if(normal & (F.col("lof_prediction") == -1)).alias("lof"),
+    )
+    share = DetectorSettings().contamination
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("detector"), (F.abs(F.col(hits) - share * F.col(rows)) <= 1).alias("near_share"))
+        for name, hits, rows in (("isolation", "iso", "n"), ("envelope", "lof", "normal"))
+    ])))
+
+
+def _plain_auc(scored, group):
+    """AUC per group by the library's evaluator, one group at a time."""
+    spark = scored.sparkSession
+    evaluator = BinaryClassificationEvaluator(
+        rawPredictionCol=supervised.SCORE, labelCol="insider_label", metricName="areaUnderROC", numBins=0
+    )
+    groups = [r[0] for r in scored.select(group).distinct().collect()]  # seeds or folds
+    return spark.createDataFrame(
+        [(g, float(evaluator.evaluate(scored.where(F.col(group) == g)))) for g in groups], f"{group} int, plain double"
+    )
+
+
+@query("select cast(unnest(range(5)) as integer) as seed, cast(0 as bigint) as auc_gap, true as bounded")
+def holdout_metrics_agree(spark, sf):
+    """The metrics of every seed against the library's own on the same scores."""
+    table = _stored_days(spark, sf)
+    scored = supervised.holdout_scores(table, FEATURES)
+    found = supervised.holdout_metrics(scored, insider_users(table))
+    return found.join(_plain_auc(scored, "seed"), "seed").select(
+        "seed", _gap(F.col("roc_auc") - F.col("plain")).alias("auc_gap"), F.col("precision_at_k").between(0, 1).alias("bounded")
+    )
+
+
+@query("select cast(unnest(range(5)) as integer) as fold, cast(0 as bigint) as auc_gap, cast(0 as bigint) as f1_gap")
+def fold_metrics_agree(spark, sf):
+    """The metrics of every fold against the library's own and the harmonic mean."""
+    scored = supervised.cross_validation_scores(_stored_days(spark, sf), FEATURES)
+    both = F.col("precision") + F.col("recall")
+    f1 = F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0)
+    return supervised.cross_validation_metrics(scored).join(_plain_auc(scored, "fold"), "fold").select(
+        F.col("fold").cast("int").alias("fold"), _gap(F.col("roc_auc") - F.col("plain")).alias("auc_gap"),
+        _gap(F.col("f1") - f1).alias("f1_gap"),
+    )

@@ -115,9 +115,36 @@ def test_chi_square_quantiles():
         assert envelope.chi2_quantile(p, d) == pytest.approx(value, rel=1e-6)
 
 
-@pytest.mark.parametrize("first_rows", [200_000, 600])
-def test_envelope_ignores_contamination(spark, tmp_path, monkeypatch, first_rows):
-    monkeypatch.setattr(envelope, "_FIRST_ROWS", first_rows)
+def test_envelope_does_not_depend_on_the_layout(spark):
+    row = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0
+    wide = spark.range(210_000).select(row.alias("a"), (row * row + F.rand(1) * 0).alias("b"))
+    one, many = (
+        envelope.fit_envelope(wide.repartition(parts, "a"), ["a", "b"]) for parts in (1, 8)
+    )
+    assert np.allclose(one.mean, many.mean, atol=1e-9) and np.allclose(one.precision, many.precision, rtol=1e-6)
+    assert one.offset == pytest.approx(many.offset, rel=1e-6)
+
+
+def test_pattern_values_add_up_over_sets():
+    rng = np.random.default_rng(0)
+    values, shares = rng.random(4), rng.random((4, 3))
+    got = explain._pattern_values(values, shares)
+    for leaf in range(4):
+        for pattern in range(8):
+            met = [(pattern >> i) & 1 for i in range(3)]
+            for i in range(3):
+                total = 0.0
+                for order in itertools.permutations(range(3)):
+                    known = set(order[:order.index(i)])
+                    worth = [
+                        values[leaf] * np.prod([met[j] if j in chosen else shares[leaf, j] for j in range(3)])
+                        for chosen in (known, known | {i})
+                    ]
+                    total += (worth[1] - worth[0]) / 6
+                assert got[leaf, pattern, i] == pytest.approx(total)
+
+
+def test_envelope_ignores_contamination(spark, tmp_path):
     rng = np.random.default_rng(3)
     true = np.array([[1.0, 0.6], [0.6, 2.0]])
     x = rng.multivariate_normal([1.0, -2.0], true, size=3000)
