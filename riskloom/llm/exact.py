@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.spread import join_groups
+from riskloom.plans.materialise import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_CHARS = 64
 
@@ -36,21 +39,19 @@ def repeated_digests(docs: DataFrame, text: str = "text", prefix_chars: int = PR
     """
     t = F.col(text)
     several = F.col("n") > 1
-    lengths = (
-        docs.groupBy(_length(t).alias("length")).agg(F.count(F.lit(1)).alias("n"))
-        .where(several).select("length")
+    lengths = stored(
+        docs.groupBy(_length(t).alias("length")).agg(F.count(F.lit(1)).alias("n")), "dedup-lengths"
     )
-    prefixes = (
-        docs.select(_length(t).alias("length"), _prefix(t, prefix_chars).alias("prefix"))
-        .join(lengths, "length", "left_semi")
-        .groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")).where(several)
-        .select("length", "prefix")
+    total = lengths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heads = docs.select(_length(t).alias("length"), _prefix(t, prefix_chars).alias("prefix"))
+    prefixes = stored(
+        join_groups(heads, lengths.where(several), ["length"], "n", total, "left_semi")
+        .groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")).where(several), "dedup-prefixes",
     )
+    texts = docs.select(_length(t).alias("length"), _prefix(t, prefix_chars).alias("prefix"), t.alias("__text"))
     return (
-        docs.select(_length(t).alias("length"), _prefix(t, prefix_chars).alias("prefix"), t.alias("__text"))
-        .join(prefixes, ["length", "prefix"], "left_semi")
-        .groupBy("length", _full_digest(F.col("__text")).alias("digest"))
-        .agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+        join_groups(texts, prefixes, ["length", "prefix"], "n", total, "left_semi")
+        .groupBy("length", _full_digest(F.col("__text")).alias("digest")).agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     )
 
 
@@ -70,14 +71,14 @@ def exact_duplicates(
         # Repeated rows become one row with a count before anything is joined.
         .groupBy("key", "length", "digest").agg(F.count(F.lit(1)).alias("times"))
     )
-    groups = (
-        rows.join(repeated_digests(docs, text, prefix_chars), ["length", "digest"], "left_semi")
-        .groupBy("length", "digest")
-        .agg(F.max("key").alias("keep_id"), F.sum("times").alias("group_size"))
+    groups = stored(
+        rows.groupBy("length", "digest").agg(F.max("key").alias("keep_id"), F.sum("times").alias("rows_of"))
+        .join(repeated_digests(docs, text, prefix_chars), ["length", "digest"]).drop("rows_of"), "dedup-groups",
     )
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     single = F.col("group_size").isNull()
     return (
-        rows.join(groups, ["length", "digest"], "left")
+        join_groups(rows, groups, ["length", "digest"], "group_size", total)
         .select(
             "key", "digest", F.when(single, F.col("key")).otherwise(F.col("keep_id")).alias("keep_id"),
             F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),

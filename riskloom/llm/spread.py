@@ -12,6 +12,9 @@ AT_RANGE = 1 << 32
 # Rows that one bucket holds on average.
 BUCKET_ROWS = 8192
 BUCKET = "__bucket"
+# A group is heavy when it holds at least one in so many rows: no table has more heavy groups.
+MOST_HEAVY = 1000
+BUCKET = "__bucket"
 
 
 def hashed_at(*columns: str | Column) -> Column:
@@ -65,3 +68,35 @@ def running_sums(
         })
         .drop("__at", BUCKET, *[f"__v_{n}" for n in sums], *[f"__o_{n}" for n in sums])
     )
+
+
+def join_groups(
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, total: int, how: str = "left"
+) -> DataFrame:
+    """Join rows to their group, one row per group in ``groups``, heavy groups apart.
+
+    ``size`` is a column of ``groups`` that says how many rows a group has, of ``total`` in all.
+    At most ``MOST_HEAVY`` groups can be heavy; those are broadcast, and their rows meet them
+    where they are. The other rows are shuffled by key, those of heavy groups spread evenly.
+    ``how`` is left, or left_semi for the rows alone. Keys must not be null.
+    """
+    values = [c for c in groups.columns if c not in keys]
+    heavy = groups.where(F.col(size) * MOST_HEAVY >= total)
+    light = groups.where(F.col(size) * MOST_HEAVY < total)
+    marked = F.broadcast(heavy.select(*[F.col(k).alias(f"__h_{k}") for k in keys], *[F.col(v).alias(f"__h_{v}") for v in values]))
+    met = rows
+    for k in keys:
+        met = met.withColumn(f"__j_{k}", F.col(k))
+    same = [F.col(f"__j_{k}") == F.col(f"__h_{k}") for k in keys]
+    met = met.join(marked, same, "left")
+    found = F.col(f"__h_{keys[0]}").isNotNull()
+    spread = F.when(found, F.xxhash64(*[c for c in rows.columns])).otherwise(F.lit(0))
+    others = light.select(
+        *[F.col(k).alias(f"__l_{k}") for k in keys], *[F.col(v).alias(f"__l_{v}") for v in values], F.lit(0).cast("long").alias("__l_spread")
+    )
+    met = met.withColumn("__spread", F.when(found & (spread == 0), F.lit(1).cast("long")).otherwise(spread))
+    on = [F.col(f"__j_{k}") == F.col(f"__l_{k}") for k in keys] + [F.col("__spread") == F.col("__l_spread")]
+    met = met.join(others, on, "left")
+    if how == "left_semi":
+        return met.where(found | F.col(f"__l_{keys[0]}").isNotNull()).select(*rows.columns)
+    return met.select(*rows.columns, *[F.coalesce(f"__h_{v}", f"__l_{v}").alias(v) for v in values])
