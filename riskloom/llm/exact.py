@@ -94,19 +94,19 @@ def exact_duplicates(
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Dropped rows are named by key and digest. Where one key and text is repeated, the rows
-    of that key and text are cut to one; only those few rows are shuffled with their text
-    when Spark can send the names to the scan.
+    Dropped rows are named by key and digest, in one join that leaves a row where it is when
+    Spark can send the names to the scan. Where one key and text is repeated, the rows of
+    that key and text are cut to one; only those few rows are shuffled again.
     """
     found = exact_duplicates(docs, key, text)
-    names = [F.col(key).alias("__k"), F.col("digest").alias("__d")]
-    marked = found.groupBy(*names).agg(
-        F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__times")
+    marked = stored(
+        found.groupBy(F.col(key).alias("__k"), F.col("digest").alias("__d"))
+        .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__times")).where("not __kept or __times > 1"),
+        "dedup-dropped",
     )
     rows = docs.withColumn("__digest", _full_digest(F.col(text)))
     same = rows[key].eqNullSafe(F.col("__k")) & (F.col("__digest") == F.col("__d"))
-    gone = marked.where("not __kept or __times > 1").select("__k", "__d")
-    again = marked.where("__kept and __times > 1").select("__k", "__d")
-    once = rows.join(gone, same, "left_anti")
-    cut = rows.join(again, same, "left_semi").dropDuplicates([key, "__digest"])
-    return once.unionByName(cut).drop("__digest")
+    met = rows.join(marked, same, "left")
+    once = met.where("__kept is null").select(*docs.columns)
+    cut = met.where("__kept").dropDuplicates([key, "__digest"]).select(*docs.columns)
+    return once.unionByName(cut)
