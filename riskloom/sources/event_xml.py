@@ -35,8 +35,10 @@ def _parsed(raw: DataFrame, xml: str) -> DataFrame:
 def device_events(raw: DataFrame, xml: str = "xml") -> DataFrame:
     """Device events: id, time and device instance, whichever element holds the instance."""
     kept = [c for c in raw.columns if c != xml]
-    # Arrivals and requests wrap it in elements of different names and depths.
-    instance = F.nullif(F.xpath_string(F.col(xml), F.lit("//*[local-name()='InstanceId']")), F.lit(""))
+    # Arrivals and requests wrap it in elements of different names and depths. Broken text, which
+    # leaves the event id unknown, is not searched.
+    held = F.xpath_string(F.col(xml), F.lit("//*[local-name()='InstanceId']"))
+    instance = F.when(F.col("__x.System.EventID").isNotNull(), F.nullif(held, F.lit("")))
     return _parsed(raw, xml).select(
         *kept, F.lit("UMDF").alias("source"), F.col("__x.System.EventID").alias("event_id"),
         F.try_to_timestamp("__x.System.TimeCreated._SystemTime").alias("ts"),

@@ -18,9 +18,13 @@ XML = (
 
 def test_device_xml(spark):
     arrival = "<UserData><UMDFHostDeviceArrivalBegin><InstanceId>USB1</InstanceId></UMDFHostDeviceArrivalBegin></UserData>"
-    raw = spark.createDataFrame([(XML.format(id=2003, body=arrival),), (XML.format(id=2100, body=""),), ("<broken",)], "xml string")
+    request = "<UserData><u:UMDFHostDeviceRequest xmlns:u='urn:u'><u:Request><u:InstanceId>USB&amp;2</u:InstanceId></u:Request></u:UMDFHostDeviceRequest></UserData>"
+    bodies = [XML.format(id=2003, body=arrival), XML.format(id=2100, body=""), "<broken", XML.format(id=2102, body=request),
+              XML.format(id=2100, body=request)[:-4], "", None]
+    raw = spark.createDataFrame([(b,) for b in bodies], "xml string").coalesce(1)
     got = event_xml.device_events(raw).collect()
-    assert [(r["event_id"], r["device"]) for r in got] == [(2003, "USB1"), (2100, "N/A"), (None, "N/A")]
+    assert [(r["event_id"], r["device"]) for r in got] == [
+        (2003, "USB1"), (2100, "N/A"), (None, "N/A"), (2102, "USB&2"), (None, "N/A"), (None, "N/A"), (None, "N/A")]
     assert got[0]["ts"] == datetime(2024, 1, 2, 3, 4, 5, 123456)
 
 
