@@ -66,9 +66,6 @@ class FeatureSettings:
     calendar: CalendarSettings = CalendarSettings()
     job_pattern: str = JOB_PATTERN
     min_baseline_days: int = 5
-    # A user's events are ordered inside cells of this width and the cells are
-    # stitched, so one busy user is spread over many tasks.
-    cell_seconds: int = 3600
 
 
 CORPUS = FeatureSettings(calendar=CalendarSettings(shift_days=-1))
@@ -82,9 +79,8 @@ class CleaningSettings:
     duplicate_seconds: float = 1.5
     bounce_seconds: float = 1.0
     startup_seconds: float = 60.0
-    cell_seconds: int = 3600
     # Bursts up to this many rows are folded in one expression; longer ones are
-    # folded block by block.
+    # folded slice by slice.
     burst_rows: int = 512
 
 

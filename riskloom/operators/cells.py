@@ -1,9 +1,9 @@
 """Ordered work on keys of any size.
 
-A window per user puts all rows of a busy user in one task. Here a key's rows are
-cut into time cells; the window runs per (key, cell), and the one row a cell needs
-from a neighbouring cell is copied into it first. The copies come from a table
-with one row per non-empty cell, built with map-side aggregation.
+A window per user puts all rows of a busy user in one task. Here the rows are sorted by
+key and order and cut by range into slices of even row counts; the window runs per (key, slice), and
+what a slice needs from its neighbours is brought in from a table with one row per
+key and slice. How a key's rows lie in time does not matter.
 """
 
 from __future__ import annotations
@@ -13,22 +13,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.calendar import micros
+from riskloom.plans.materialise import checkpointed
 
 CELL = "__cell"
 COPY = "__copy"
-# Cell of rows without a time: after every dated cell.
-UNDATED = 2**62
 
 
-def with_cell(df: DataFrame, ts: str, seconds: int) -> DataFrame:
-    """Add the time cell of each row."""
-    cell = F.floor(micros(F.col(ts)) / F.lit(int(seconds * 1_000_000)))
-    return df.withColumn(CELL, F.coalesce(cell, F.lit(UNDATED)))
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add the slice of each row: ranges of (keys, order), nulls of the order last.
+
+    As many slices as the session has shuffle partitions. The rows are written once, so a task
+    that is run again sees the same cut. The order must identify a row in its key.
+    """
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k) for k in keys], *[F.col(c).asc_nulls_last() for c in order]]
+    return checkpointed(df.repartitionByRange(slices, *by).withColumn(CELL, F.spark_partition_id()))
+
+
+def carried_from(
+    df: DataFrame, keys: Sequence[str], value: Column, name: str, side: str
+) -> DataFrame:
+    """Per key and slice, the nearest non-null ``value`` of the slices before or after it.
+
+    ``value`` is an aggregate over a slice; ``side`` is 'previous' or 'next'.
+    """
+    order = Window.partitionBy(*keys).orderBy(CELL)
+    cells = df.groupBy(*keys, CELL).agg(value.alias("__value"))
+    if side == "previous":
+        near = F.last("__value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    else:
+        near = F.first("__value", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    return cells.select(*keys, CELL, near.alias(name))
 
 
 def cell_window(keys: Sequence[str], order: Sequence[Column]):
-    """Rows of one key and cell, in order."""
+    """Rows of one key and slice, in order."""
     return Window.partitionBy(*keys, CELL).orderBy(*order)
 
 

@@ -29,7 +29,7 @@ from riskloom.config import (
 from riskloom.functions.calendar import micros
 from riskloom.plans.materialise import checkpointed, stored
 from riskloom.operators.cells import (
-    CELL, cell_window, with_cell, with_neighbour_row, without_copies,
+    CELL, carried_from, cell_window, sliced, with_neighbour_row, without_copies,
 )
 
 _POSITION = ("__t", "id")
@@ -61,32 +61,27 @@ def device_category(event_id: Column) -> Column:
     return F.when(event_id == DEVICE_CONNECT_ID, "CONNECT").otherwise("DISCONNECT")
 
 
-def _with_bursts(rows: DataFrame, keys: Sequence[str], gap: int, cell_seconds: float) -> DataFrame:
-    """Add ``__burst``, the id of the first row of the burst."""
+def _with_bursts(rows: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """Add ``__burst``, the id of the first row of the burst, and the slice of the row."""
     order = [F.col(c) for c in _POSITION]
     window = cell_window(keys, order)
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
-    rows = with_cell(rows, "ts", cell_seconds)
+    rows = sliced(rows, keys, _POSITION)
     rows = with_neighbour_row(rows, keys, _POSITION, list(_POSITION), "previous")
     before = F.lag("__t").over(window)
     rows = without_copies(
         rows.withColumn("__head", before.isNull() | (F.col("__t") - before > gap))
     )
-    # The last head of earlier cells serves rows that precede their cell's first head.
+    # The last head of earlier slices serves rows that precede their slice's first head.
     is_head = F.col("__head")
-    cells = rows.groupBy(*keys, CELL).agg(
-        F.max_by(F.when(is_head, F.col("id")), F.when(is_head, F.struct(*_POSITION))).alias("__from")
-    )
-    earlier = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
-    carried = cells.select(
-        *keys, CELL, F.last("__from", ignorenulls=True).over(earlier).alias("__carried")
-    )
+    first = F.max_by(F.when(is_head, F.col("id")), F.when(is_head, F.struct(*_POSITION)))
+    carried = carried_from(rows, keys, first, "__carried", "previous")
     own = F.last(F.when(F.col("__head"), F.col("id")), ignorenulls=True).over(upto)
     return (
         rows.withColumn("__own", own)
         .join(carried, [*keys, CELL], "left")
         .withColumn("__burst", F.coalesce("__own", "__carried"))
-        .drop("__own", "__carried", "__head", CELL)
+        .drop("__own", "__carried", "__head")
     )
 
 
@@ -142,10 +137,8 @@ def _entry(t, c, state, duplicate: int, bounce: int) -> int:
     return int(free[0]) if len(free) else len(t)
 
 
-def _fold_blocks(
-    rows: DataFrame, keys: Sequence[str], duplicate: int, bounce: int, block: int
-) -> DataFrame:
-    """Ids kept in bursts of any length.
+def _fold_blocks(rows: DataFrame, keys: Sequence[str], duplicate: int, bounce: int) -> DataFrame:
+    """Ids kept in bursts of any length; the rows of a burst in one slice are a block.
 
     Pass 1 sums up each block: for every row that could be its first kept row, the
     row kept last. Only rows within one window of the block's start, and one more,
@@ -155,7 +148,7 @@ def _fold_blocks(
     reach = max(duplicate, bounce)
     group = [*keys, "__burst"]
     key_types = {f.name: f.dataType for f in rows.schema.fields}
-    rows = rows.withColumn("__block", F.floor(F.col("__t") / block)).select(
+    rows = rows.withColumn("__block", F.col(CELL).cast("long")).select(
         *group, "__block", "__t", "__c", "id"
     )
 
@@ -173,7 +166,7 @@ def _fold_blocks(
         for i in range(len(t) - 1, -1, -1):
             if after[i] < len(t):
                 last[i] = last[after[i]]
-        count = int(np.searchsorted(t, pdf["__block"].iloc[0] * block + reach, side="right")) + 1
+        count = int(np.searchsorted(t, t[0] + reach, side="right")) + 1
         head = pdf.iloc[:count][[*group, "__block", "__t", "__c", "id"]].assign(
             last_t=t[last[:count]], last_c=c[last[:count]].astype("int32")
         )
@@ -238,13 +231,12 @@ def keep_spaced(
     unordered, events = events.where(loose), events.where(~loose)
     duplicate, bounce = int(duplicate_seconds * 1e6), int(bounce_seconds * 1e6)
     reach = max(duplicate, bounce)
-    cell_seconds = max(settings.cell_seconds, 4 * reach / 1e6)
     rows = events.select(
         *keys, "id", "ts", micros(F.col("ts")).alias("__t"),
         F.when(connect, _CONNECT).otherwise(_OTHER).alias("__c"),
     )
     # Read by every branch below: written once.
-    marked = checkpointed(_with_bursts(rows, keys, reach, cell_seconds))
+    marked = checkpointed(_with_bursts(rows, keys, reach))
     group = [*keys, "__burst"]
     sizes = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     long_bursts = sizes.where(F.col("__n") > settings.burst_rows).select(*group, F.lit(True).alias("__long"))
@@ -262,9 +254,7 @@ def keep_spaced(
     else:
         # A plain left join: AQE splits the side of a burst that fills a partition.
         routed = marked.join(long_bursts, group, "left")
-        solved = _fold_blocks(
-            routed.where("__long"), keys, duplicate, bounce, int(cell_seconds * 1e6)
-        )
+        solved = _fold_blocks(routed.where("__long"), keys, duplicate, bounce)
         ids = folded(routed.where(F.col("__long").isNull())).unionByName(solved)
     kept = events.join(ids, [*keys, "id"], "left_semi")
     return kept.unionByName(unordered)
@@ -306,25 +296,21 @@ def without_boot_logons(
 ) -> DataFrame:
     """Drop logons within the window after the last startup; run after ``startup_dedup``.
 
-    Only a startup less than one window old matters, so each startup is copied into
-    its own cell and the next one, and the look-back never leaves a cell.
+    The last startup of earlier slices serves logons that precede their slice's first one.
     """
     reach = int(settings.startup_seconds * 1e6)
-    seconds = max(settings.cell_seconds, settings.startup_seconds)
     is_logon = F.col("activity").eqNullSafe(logon)
-    columns = [*keys, "id", "ts", micros(F.col("ts")).alias("__t")]
-    startups = with_cell(
-        events.where(F.col("activity").eqNullSafe(startup)).select(*columns), "ts", seconds
-    ).withColumn(CELL, F.explode(F.array(F.col(CELL), F.col(CELL) + 1)))
-    logons = with_cell(events.where(is_logon).select(*columns), "ts", seconds)
-    window = cell_window(keys, [F.col("__t"), F.col("id")]).rowsBetween(
-        Window.unboundedPreceding, 0
+    is_startup = F.col("activity").eqNullSafe(startup)
+    rows = sliced(
+        events.where((is_logon | is_startup) & F.col("ts").isNotNull()).select(
+            *keys, "id", micros(F.col("ts")).alias("__t"), is_startup.alias("__startup")
+        ), keys, ["__t", "id"],
     )
-    last = F.last(F.when(F.col("__startup"), F.col("__t")), ignorenulls=True).over(window)
+    started = F.when(F.col("__startup"), F.col("__t"))
+    upto = cell_window(keys, [F.col("__t"), F.col("id")]).rowsBetween(Window.unboundedPreceding, 0)
     noise = (
-        startups.withColumn("__startup", F.lit(True))
-        .unionByName(logons.withColumn("__startup", F.lit(False)))
-        .withColumn("__last", last)
+        rows.join(carried_from(rows, keys, F.max(started), "__before", "previous"), [*keys, CELL], "left")
+        .withColumn("__last", F.coalesce(F.last(started, ignorenulls=True).over(upto), F.col("__before")))
         .where(~F.col("__startup") & (F.col("__t") - F.col("__last") <= reach))
         .select(*keys, "id")
     )

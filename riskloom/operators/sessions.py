@@ -10,7 +10,7 @@ from riskloom.config import (
 )
 from riskloom.functions.calendar import after_hours, minutes_between, weekend
 from riskloom.operators.cells import (
-    cell_window, with_cell, with_neighbour_row, without_copies,
+    CELL, carried_from, cell_window, sliced, with_neighbour_row, without_copies,
 )
 
 _ORDER = ("ts", "id")
@@ -26,20 +26,13 @@ def pair_adjacent(logons: DataFrame, settings: FeatureSettings = CORPUS) -> Data
     Rows without a time come last, so an undated Logoff still ends a pair; the length
     is then unknown and counts as 0. No machine match and no cap at midnight.
     """
-    known = logons.where(F.col("user").isNotNull())
-    # Undated rows have no length of their own: only a user's first one is ordered.
-    undated = known.where(F.col("ts").isNull())
-    first = F.min_by(F.struct("id", "activity"), "id").alias("f")
-    first_undated = undated.groupBy("user").agg(first).select("user", "f.*")
-    rows = known.where(F.col("ts").isNotNull()).unionByName(first_undated, allowMissingColumns=True)
-    rows = with_cell(rows, "ts", settings.cell_seconds)
+    rows = sliced(logons.where(F.col("user").isNotNull()), ["user"], _ORDER)
     rows = with_neighbour_row(rows, ["user"], _ORDER, ["ts", "id", "activity"], "next")
     window = cell_window(["user"], _ordered())
     paired = (F.col("activity") == "Logon") & (F.lead("activity").over(window) == "Logoff")
     minutes = F.when(paired, minutes_between(F.col("ts"), F.lead("ts").over(window)))
     rows = rows.withColumn("session_minutes", F.coalesce(minutes, F.lit(0.0)))
-    dated = without_copies(rows).where(F.col("ts").isNotNull()).drop("__cell")
-    return dated.unionByName(undated.withColumn("session_minutes", F.lit(0.0)))
+    return without_copies(rows).drop(CELL)
 
 
 def host_sessions(events: DataFrame, settings: FeatureSettings = HOST) -> DataFrame:
@@ -60,14 +53,18 @@ def host_sessions(events: DataFrame, settings: FeatureSettings = HOST) -> DataFr
         .where(F.col("kind").isNotNull())
         .withColumn("day", F.to_date("ts"))
     )
-    rows = with_cell(rows, "ts", settings.cell_seconds)
+    rows = sliced(rows, keys, _ORDER)
     window = cell_window(keys, _ordered())
-    carried = with_neighbour_row(rows, keys, _ORDER, ["ts", "id", "kind"], "previous")
-    turns = without_copies(
-        carried.withColumn("__last", F.lag("kind").over(window))
-    ).where(F.col("__last").isNull() | (F.col("__last") != F.col("kind"))).drop("__last")
-    turns = with_neighbour_row(turns, keys, _ORDER, ["ts", "id", "kind"], "next")
-    turns = without_copies(turns.withColumn("close_ts", F.lead("ts").over(window)))
+    later = window.rowsBetween(1, Window.unboundedFollowing)
+    before = carried_from(rows, keys, F.max_by("kind", F.struct(*_ORDER)), "__kind_before", "previous")
+    turns = (
+        rows.join(before, [*keys, CELL], "left")
+        .withColumn("__last", F.coalesce(F.lag("kind").over(window), F.col("__kind_before")))
+        .where(F.col("__last").isNull() | (F.col("__last") != F.col("kind"))).drop("__last", "__kind_before")
+    )
+    after = carried_from(turns, keys, F.min("ts"), "__ts_after", "next")
+    closing = F.coalesce(F.first("ts").over(later), F.col("__ts_after"))
+    turns = turns.join(after, [*keys, CELL], "left").withColumn("close_ts", closing)
     return turns.where(F.col("kind") == "open").select(
         "user", "day", "id", F.col("ts").alias("open_ts"), "activity", "close_ts"
     )

@@ -63,7 +63,7 @@ def test_random_bursts_match_the_walk(spark, burst_rows, spread):
     table = spark.createDataFrame(
         [(i, k, at(t), c) for i, k, t, c in entries], "id long, key string, ts timestamp, connect boolean"
     ).repartition(3)
-    settings = CleaningSettings(burst_rows=burst_rows, cell_seconds=7)
+    settings = CleaningSettings(burst_rows=burst_rows)
     kept = keep_spaced(table, ["key"], F.col("connect"), 1.5, 1.0, settings)
     assert [i for (i,) in sorted(rows(kept, "id"))] == plain_walk(entries, 1.5, 1.0)
 
@@ -74,7 +74,7 @@ def test_regular_heartbeat_over_many_blocks(spark):
     table = spark.createDataFrame(
         [(i, k, at(t), c) for i, k, t, c in entries], "id long, key string, ts timestamp, connect boolean"
     )
-    settings = CleaningSettings(burst_rows=10, cell_seconds=7)
+    settings = CleaningSettings(burst_rows=10)
     kept = keep_spaced(table, ["key"], F.col("connect"), 1.5, 1.0, settings)
     assert [i for (i,) in sorted(rows(kept, "id"))] == list(range(0, 400, 2))
 
@@ -86,7 +86,7 @@ def test_wide_bounce_window(spark):
         [(i, k, at(t), c) for i, k, t, c in entries], "id long, key string, ts timestamp, connect boolean"
     )
     for burst_rows in (1000, 4):
-        settings = CleaningSettings(burst_rows=burst_rows, cell_seconds=5)
+        settings = CleaningSettings(burst_rows=burst_rows)
         kept = keep_spaced(table, ["key"], F.col("connect"), 1.0, 3.0, settings)
         assert [i for (i,) in sorted(rows(kept, "id"))] == plain_walk(entries, 1.0, 3.0)
 
@@ -101,7 +101,7 @@ def test_startups_within_the_window_are_dropped(spark):
 
 
 def test_logons_after_a_startup_are_dropped_across_cells(spark):
-    settings = CleaningSettings(cell_seconds=60)
+    settings = CleaningSettings()
     table = boot(spark, [(50, "LOGON(STARTUP)"), (65, "LOGON"), (110, "LOGON"), (111, "LOGON"), (49, "LOGON")])
     assert [i for (i,) in rows(without_boot_logons(table, settings=settings), "id")] == [0, 3, 4]
 

@@ -154,7 +154,3 @@ def test_alignment_and_profiles(spark):
     profile = {r["feature"]: r for r in baseline.feature_profile(table, ["x", "gone"]).collect()}
     assert profile["x"]["mean"] == 1.0 and profile["gone"]["std"] == 0.1
     assert rows(assemble.unexpected_nulls(table, ["x"]), "feature", "nulls") == [("x", 1)]
-
-
-def test_settings_name_the_cell_width():
-    assert FeatureSettings().cell_seconds == 3600

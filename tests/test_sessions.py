@@ -8,7 +8,7 @@ from riskloom.operators.daily import daily_logon
 from riskloom.operators.sessions import host_session_days, host_sessions, pair_adjacent
 
 LOGON = "id long, user string, ts timestamp, activity string"
-PLAIN = FeatureSettings(calendar=CalendarSettings(), cell_seconds=600)
+PLAIN = FeatureSettings(calendar=CalendarSettings())
 
 
 def logon_table(spark, entries):
@@ -134,3 +134,17 @@ def test_host_sessions_cross_cells(spark):
     table = logon_table(spark, [("a", 0, STARTUP), ("a", 5000, "WAKE"), ("a", 9000, "LOCK")])
     got = host_sessions(table, PLAIN).collect()
     assert [(r["open_ts"], r["close_ts"]) for r in got] == [(at(0), at(9000))]
+
+
+def test_a_user_with_most_rows_of_one_hour_is_cut_by_rows(spark):
+    from riskloom.operators.cells import CELL, sliced
+
+    hot = [("u", at(i * 0.3), i, "Logon" if i % 3 else "Logoff") for i in range(9000)]
+    cold = [(f"v{i % 50}", at(i * 600.0), 100_000 + i, "Logon") for i in range(1000)]
+    table = spark.createDataFrame(hot + cold, "user string, ts timestamp_ntz, id long, activity string")
+    sizes = [r["count"] for r in sliced(table, ["user"], ("ts", "id")).groupBy(CELL).count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 1.5 * 10_000 / len(sizes)
+    got = {r["id"]: r["session_minutes"] for r in pair_adjacent(table, PLAIN).collect()}
+    for n, (_, _, key, activity) in enumerate(hot):
+        paired = activity == "Logon" and n + 1 < len(hot) and hot[n + 1][3] == "Logoff"
+        assert abs(got[key] - (0.005 if paired else 0.0)) < 1e-6
