@@ -145,6 +145,30 @@ def test_network_finds_what_rules_miss(docs_of):
     assert secrets.secrets(docs_of(rows).where("false")).count() == 0
 
 
+def test_thresholds_keep_the_set_recall():
+    rng = np.random.default_rng(3)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    around = lambda own: secrets.window(f"some words {own} and more", 11, 11 + len(own))
+    words, digits = "abcdefghijklm", "0123456789"
+    labels = np.array([0] * 400 + [1] * 300 + [3] * 100 + [2] * 9)
+    # A tenth of the first kind's findings look like any other candidate.
+    windows = [around(draw(words if y == 0 or (y == 1 and i % 10 == 0) else digits if y == 1 else "ABCDEF", 20))
+               for i, y in enumerate(labels)]
+    order = rng.permutation(len(labels))
+    labels, windows = labels[order], [windows[i] for i in order]
+    model = secrets.fit_secrets(windows, labels)
+    back = np.arange(len(labels)) % 4 == 3
+    seen = secrets.encoded(windows)[back]
+    bare = seen.copy()
+    bare[:, :secrets.BEFORE] = 0
+    bare[:, secrets.BEFORE + secrets.TOKEN:] = 0
+    for k in (0, 2):
+        own = labels[back] == k + 1
+        p = np.concatenate([model.probabilities(seen[own])[:, k], model.probabilities(bare[own])[:, k]])
+        assert (p >= model.thresholds[k]).mean() >= secrets.LEAST_RECALL
+    assert np.isnan(model.recall[1]) and model.held_back[1] == 0
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(1)
     net = secrets.CharacterNetwork()
