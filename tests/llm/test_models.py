@@ -169,6 +169,41 @@ def test_thresholds_keep_the_set_recall():
     assert np.isnan(model.recall[1]) and model.held_back[1] == 0
 
 
+def test_short_mixed_and_buried_secrets_are_read(docs_of, monkeypatch):
+    assert (5, 16) in secrets.candidates("pwd: Tr0ub4dor&3", [])
+    long = "a/long_path" * 20
+    assert set().union(*(range(a, b) for a, b in secrets.pieces(3, 3 + len(long)))) == set(range(3, 3 + len(long)))
+    text = "see token=abc12.x and " + "0123456789abcdef" * 2 + "-further_part"
+    spans = secrets.base_spans(text)
+    assert sorted((text[a:b], label) for a, b, label in secrets.labelled(text, spans)) == [
+        ("0123456789abcdef" * 2, 3), ("abc12.x", 1)]
+    assert [text[a:b] for a, b in secrets.candidates(text, spans)] == ["-further_part"]
+    rows = [(i, f"text password=abc{i:03} ends") for i in range(30)] + [(99, "pwd: Tr0ub4dor&3 " + long)]
+    _, labels, _ = secrets.training_rows(docs_of(rows))
+    assert np.bincount(labels).tolist() == [2, 30]
+    model = secrets.SecretModel(secrets.CharacterNetwork(), *[np.zeros(len(secrets.KINDS))] * 5)
+    monkeypatch.setattr(secrets, "fit_secrets", lambda *_, **__: model)
+    spans = {r.doc_id: r.spans for r in secrets.secrets(docs_of(rows)).collect()}
+    assert spans[99] == f"learned:5:16,learned:17:{17 + len(long)}" and spans[3] == "assign:5:20"
+
+
+def test_scores_in_the_text_equal_those_of_windows():
+    rng = np.random.default_rng(2)
+    model = secrets.SecretModel(secrets.CharacterNetwork(), np.ones(3), np.zeros(3), np.ones(3), np.ones(3), np.ones(3))
+    texts = ["".join(rng.choice(list("ab/Z09.é\0 \U0001f600"), n, p=[.12] * 7 + [.04] * 4)) for n in (0, 5, 9, 60, 900)]
+    texts += ["x" * 6, "A1/" * 90, " " + "k" * 55 + " " + "q" * 56 + " ab"]
+    found = [secrets.candidates(t, []) for t in texts]
+    block, secrets.BLOCK = secrets.BLOCK, 120
+    try:
+        got = model.scores(texts, found)
+    finally:
+        secrets.BLOCK = block
+    for text, places, p in zip(texts, found, got):
+        for place, one in zip(places, p):
+            wanted = model.probabilities(secrets.encoded([secrets.window(text, *q) for q in secrets.pieces(*place)])).max(0)
+            assert np.allclose(one, wanted, atol=1e-4)
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(1)
     net = secrets.CharacterNetwork()
