@@ -145,6 +145,21 @@ def quality_constant_columns(spark, sf):
     return rounded(quality.check_constant(rounded(corpus(spark, sf)), [*ZSCORES, *FLAGS, *COUNTS]))
 
 
+# Every numeric column of the table.
+NUMERIC = [*ZSCORES, *FLAGS, *COUNTS, "usb_count", "logon_count_zscore_has_baseline", "usb_count_zscore_has_baseline"]
+
+
+@query(with_steps(" union all ".join(
+    f"""select 'constant' as "check", '{c}' as "column", 'top_value_percent' as metric,
+    round(100.0 * max(n) / sum(n), 6) as value, case when 1.0 * max(n) / sum(n) > 0.95 then 'WARN' else 'PASS' end as status
+    from (select round({c}, {8 if 'minutes' in c else 6}), count(*) as n from corpus where {c} is not null group by 1)""" for c in NUMERIC
+), "corpus"))
+def quality_constant_numeric_columns(spark, sf):
+    """Columns dominated by one value, among all numeric columns of the table."""
+    table = rounded(corpus(spark, sf))
+    return rounded(quality.check_constant(table, quality.numeric_columns(table)))
+
+
 @query(with_steps("""select c.usr as "user", cast(row_number() over (partition by c.usr order by c.day) as integer) as row,
     c.day, c.usb_count, c.job_site_visits_flag, u.first_day, u.last_day, u.user_rows
     from corpus c join (select usr, min(day) as first_day, max(day) as last_day, count(*) as user_rows from corpus

@@ -3,6 +3,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
@@ -30,6 +31,17 @@ def test_every_check_has_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
+def test_some_query_checks_every_numeric_column(spark):
+    queries = entry_module.queries()
+    numeric = {f.name for f in queries["corpus_user_days"](spark, SF).schema if isinstance(f.dataType, T.NumericType)}
+    found = {r["column"] for r in queries["quality_constant_numeric_columns"](spark, SF).collect() if r["check"] == "constant"}
+    assert "usb_count" in found and numeric == found
+
+
+def test_numeric_columns_equal_their_sql(spark, base):
+    test_query_equals_its_sql(spark, base, "quality_constant_numeric_columns")
+
+
 CHECKED = [
     "corpus_user_days", "usb_burst_dedup", "host_user_days", "labelled_days", "holdout_split",
     "exported_thresholds", "deployment_user_report", "quality_zscores", "exact_roc_auc",
