@@ -79,9 +79,9 @@ class CleaningSettings:
     duplicate_seconds: float = 1.5
     bounce_seconds: float = 1.0
     startup_seconds: float = 60.0
-    # Bursts up to this many rows are folded in one expression; longer ones are
-    # folded slice by slice.
-    burst_rows: int = 512
+    # Rows of a slice, and slices whose maps one task composes; neither changes the result.
+    slice_rows: int = 65_536
+    slice_fan: int = 64
 
 
 @dataclass(frozen=True)

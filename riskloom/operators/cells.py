@@ -1,33 +1,54 @@
 """Ordered work on keys of any size.
 
 A window per user puts all rows of a busy user in one task. Here the rows are sorted by
-key and order and cut by range into slices of even row counts; the window runs per (key, slice), and
+key and order and cut by range into slices of a bounded number of rows; the window runs per (key, slice), and
 what a slice needs from its neighbours is brought in from a table with one row per
 key and slice. How a key's rows lie in time does not matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators.ordering import SLICE_ROWS, row_slices
 from riskloom.plans.materialise import checkpointed
 
 CELL = "__cell"
 COPY = "__copy"
 
 
-def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add the slice of each row: ranges of (keys, order), nulls of the order last.
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], most: int = SLICE_ROWS) -> DataFrame:
+    """Add the slice of each row: ranges of (keys, order), nulls of the order last, at most ``most`` rows each.
 
-    As many slices as the session has shuffle partitions. The rows are written once, so a task
-    that is run again sees the same cut. The order must identify a row in its key.
+    The rows are written once, slice by slice and in order, so a task that is run again sees the same cut.
+    The order must identify a row in its key.
     """
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*[F.col(k) for k in keys], *[F.col(c).asc_nulls_last() for c in order]]
-    return checkpointed(df.repartitionByRange(slices, *by).withColumn(CELL, F.spark_partition_id()))
+    return checkpointed(row_slices(df, by, CELL, most))
+
+
+def whole_cells(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Slices, one at a time, from batches that are sorted by slice."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for part in parts:
+        if part.num_rows == 0:
+            continue
+        numbers = part.column(part.schema.get_field_index(CELL)).to_numpy()
+        edges = np.flatnonzero(numbers[1:] != numbers[:-1]) + 1
+        for begin, end in zip([0, *edges], [*edges, part.num_rows]):
+            if held and numbers[begin] != now:
+                yield int(now), pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = numbers[begin]
+            held.append(part.slice(begin, end - begin))
+    if held:
+        yield int(now), pa.Table.from_batches(held).combine_chunks()
 
 
 def carried_from(

@@ -1,39 +1,19 @@
-"""Host-log noise filters, including the "last kept" rules whose outcome depends on order.
-
-A row of such a rule is dropped or kept by its distance to the last row that was
-*kept*, so comparing neighbours is wrong. Two facts make it a Spark job:
-
-* after a silence longer than the window the next row is always kept, so bursts
-  (runs of rows without such a silence) are independent of each other;
-* which row is kept next depends only on the row kept last, so a block of a long
-  burst can be summed up as "first kept row -> last kept row" before the row kept
-  in the block before it is known.
-
-Bursts of a bounded size are folded by an expression, and longer bursts are solved
-block by block in three passes.
-"""
+"""Host-log noise filters, including the "last kept" rules whose outcome depends on order."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom.config import (
     CleaningSettings, DEVICE_CONNECT_ID, STARTUP_LABEL, USB_DEVICE_PATTERN,
 )
 from riskloom.functions.calendar import micros
-from riskloom.plans.materialise import checkpointed, stored
-from riskloom.operators.cells import (
-    CELL, carried_from, cell_window, sliced, with_neighbour_row, without_copies,
-)
-
-_POSITION = ("__t", "id")
-_CONNECT, _OTHER = 1, 0
+from riskloom.operators.cells import CELL, carried_from, cell_window, sliced
+from riskloom.operators.spaced import Rule, spaced_rows
+from riskloom.plans.materialise import stored
 
 
 def by_source(events: DataFrame, *sources: str) -> DataFrame:
@@ -61,159 +41,6 @@ def device_category(event_id: Column) -> Column:
     return F.when(event_id == DEVICE_CONNECT_ID, "CONNECT").otherwise("DISCONNECT")
 
 
-def _with_bursts(rows: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
-    """Add ``__burst``, the id of the first row of the burst, and the slice of the row."""
-    order = [F.col(c) for c in _POSITION]
-    window = cell_window(keys, order)
-    upto = window.rowsBetween(Window.unboundedPreceding, 0)
-    rows = sliced(rows, keys, _POSITION)
-    rows = with_neighbour_row(rows, keys, _POSITION, list(_POSITION), "previous")
-    before = F.lag("__t").over(window)
-    rows = without_copies(
-        rows.withColumn("__head", before.isNull() | (F.col("__t") - before > gap))
-    )
-    # The last head of earlier slices serves rows that precede their slice's first head.
-    is_head = F.col("__head")
-    first = F.max_by(F.when(is_head, F.col("id")), F.when(is_head, F.struct(*_POSITION)))
-    carried = carried_from(rows, keys, first, "__carried", "previous")
-    own = F.last(F.when(F.col("__head"), F.col("id")), ignorenulls=True).over(upto)
-    return (
-        rows.withColumn("__own", own)
-        .join(carried, [*keys, CELL], "left")
-        .withColumn("__burst", F.coalesce("__own", "__carried"))
-        .drop("__own", "__carried", "__head")
-    )
-
-
-def _fold(position: Column, duplicate: int, bounce: int) -> Column:
-    """Ids kept in one bounded burst, in order."""
-    start = F.struct(
-        F.lit(None).cast("long").alias("t"), F.lit(None).cast("int").alias("c"),
-        F.array().cast("array<bigint>").alias("ids"),
-    )
-
-    def step(state: Column, row: Column) -> Column:
-        gap = row["__t"] - state["t"]
-        repeat = (row["__c"] == state["c"]) & (gap <= duplicate)
-        bounced = (state["c"] == _CONNECT) & (row["__c"] == _OTHER) & (gap < bounce)
-        drop = F.coalesce(repeat | bounced, F.lit(False))
-        return F.when(drop, state).otherwise(F.struct(
-            row["__t"].alias("t"), row["__c"].alias("c"),
-            F.concat(state["ids"], F.array(row["id"])).alias("ids"),
-        ))
-
-    return F.aggregate(position, start, step, lambda state: state["ids"])
-
-
-def _successors(t: np.ndarray, c: np.ndarray, duplicate: int, bounce: int) -> np.ndarray:
-    """For each sorted row, the row kept next if it is kept; ``len(t)`` when none is."""
-    n = len(t)
-    index = np.arange(n)
-    nearest = np.full(n, n)
-    for kind in (_OTHER, _CONNECT):
-        places = np.flatnonzero(c == kind)
-        if not len(places):
-            continue
-        # first place of this kind whose distance is no longer dropped
-        same = np.searchsorted(t[places], t + duplicate, side="right")
-        other = np.searchsorted(places, index, side="right")
-        if kind == _OTHER:
-            other = np.maximum(other, np.searchsorted(t[places], t + bounce, side="left"))
-        first = np.where(c == kind, same, other)
-        first = np.maximum(first, np.searchsorted(places, index, side="right"))
-        nearest = np.minimum(nearest, np.append(places, n)[first])
-    return nearest
-
-
-def _entry(t, c, state, duplicate: int, bounce: int) -> int:
-    """Index of the first row kept after ``state`` (time, kind), or ``len(t)``."""
-    if state is None:
-        return 0
-    gap = t - state[0]
-    dropped = ((c == state[1]) & (gap <= duplicate)) | (
-        (state[1] == _CONNECT) & (c == _OTHER) & (gap < bounce)
-    )
-    free = np.flatnonzero(~dropped)
-    return int(free[0]) if len(free) else len(t)
-
-
-def _fold_blocks(rows: DataFrame, keys: Sequence[str], duplicate: int, bounce: int) -> DataFrame:
-    """Ids kept in bursts of any length; the rows of a burst in one slice are a block.
-
-    Pass 1 sums up each block: for every row that could be its first kept row, the
-    row kept last. Only rows within one window of the block's start, and one more,
-    can be first, and most of them lead to the same last row. Pass 2 walks those summaries along the burst. Pass 3 replays each
-    block from its known start.
-    """
-    reach = max(duplicate, bounce)
-    group = [*keys, "__burst"]
-    key_types = {f.name: f.dataType for f in rows.schema.fields}
-    rows = rows.withColumn("__block", F.col(CELL).cast("long")).select(
-        *group, "__block", "__t", "__c", "id"
-    )
-
-    def fields(*extra: tuple[str, T.DataType]) -> T.StructType:
-        base = [T.StructField(g, key_types[g]) for g in group]
-        return T.StructType(base + [T.StructField(n, k) for n, k in extra])
-
-    long, small = T.LongType(), T.IntegerType()
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(_POSITION))
-        t, c = pdf["__t"].to_numpy(), pdf["__c"].to_numpy()
-        after = _successors(t, c, duplicate, bounce)
-        last = np.arange(len(t))
-        for i in range(len(t) - 1, -1, -1):
-            if after[i] < len(t):
-                last[i] = last[after[i]]
-        count = int(np.searchsorted(t, t[0] + reach, side="right")) + 1
-        head = pdf.iloc[:count][[*group, "__block", "__t", "__c", "id"]].assign(
-            last_t=t[last[:count]], last_c=c[last[:count]].astype("int32")
-        )
-        # Of neighbours that lead to the same last row, the latest of each kind answers for all.
-        run = (head["last_t"].diff().ne(0) | head["last_c"].diff().ne(0)).cumsum()
-        return head[~pd.DataFrame({"run": run, "kind": head["__c"]}).duplicated(keep="last")]
-
-    summary = rows.groupBy(*group, "__block").applyInPandas(
-        summarise,
-        fields(("__block", long), ("__t", long), ("__c", small), ("id", long),
-               ("last_t", long), ("last_c", small)),
-    )
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, entries = None, []
-        for number, part in pdf.sort_values(["__block", *_POSITION]).groupby("__block", sort=True):
-            entries.append((number, *(state or (None, None))))
-            first = _entry(part["__t"].to_numpy(), part["__c"].to_numpy(), state, duplicate, bounce)
-            if first < len(part):
-                state = (int(part["last_t"].iloc[first]), int(part["last_c"].iloc[first]))
-        known = pd.DataFrame(entries, columns=["__block", "in_t", "in_c"])
-        known = known.astype({"in_t": "Int64", "in_c": "Int32"})
-        return pd.concat([pdf[group].iloc[[0] * len(known)].reset_index(drop=True), known], axis=1)
-
-    starts = summary.groupBy(*group).applyInPandas(
-        walk, fields(("__block", long), ("in_t", long), ("in_c", small))
-    )
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(_POSITION))
-        t, c = pdf["__t"].to_numpy(), pdf["__c"].to_numpy()
-        in_t = pdf["in_t"].iloc[0]
-        state = None if pd.isna(in_t) else (int(in_t), int(pdf["in_c"].iloc[0]))
-        after = _successors(t, c, duplicate, bounce)
-        kept, at = [], _entry(t, c, state, duplicate, bounce)
-        while at < len(t):
-            kept.append(at)
-            at = int(after[at])
-        return pdf.iloc[kept][[*keys, "id"]]
-
-    kept_fields = T.StructType([T.StructField(k, key_types[k]) for k in keys] + [T.StructField("id", long)])
-    return (
-        rows.join(starts, [*group, "__block"])
-        .groupBy(*group, "__block").applyInPandas(replay, kept_fields)
-    )
-
-
 def keep_spaced(
     events: DataFrame, keys: Sequence[str], connect: Column,
     duplicate_seconds: float, bounce_seconds: float, settings: CleaningSettings = CleaningSettings(),
@@ -223,41 +50,14 @@ def keep_spaced(
     A row is dropped when it has the kind of the last kept row and follows it within
     ``duplicate_seconds``, or when it is no connect and follows a kept connect in less
     than ``bounce_seconds``. ``id`` (a long) identifies a row and orders equal times.
-    Rows without a time or a key are kept.
+    Rows without a time or a key are kept. One way serves bursts of any length.
     """
     loose = F.col("ts").isNull()
     for key in keys:
         loose = loose | F.col(key).isNull()
-    unordered, events = events.where(loose), events.where(~loose)
-    duplicate, bounce = int(duplicate_seconds * 1e6), int(bounce_seconds * 1e6)
-    reach = max(duplicate, bounce)
-    rows = events.select(
-        *keys, "id", "ts", micros(F.col("ts")).alias("__t"),
-        F.when(connect, _CONNECT).otherwise(_OTHER).alias("__c"),
-    )
-    # Read by every branch below: written once.
-    marked = checkpointed(_with_bursts(rows, keys, reach))
-    group = [*keys, "__burst"]
-    sizes = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    long_bursts = sizes.where(F.col("__n") > settings.burst_rows).select(*group, F.lit(True).alias("__long"))
-    position = F.struct(F.col("__t"), F.col("id"), F.col("__c"))
-
-    def folded(bounded: DataFrame) -> DataFrame:
-        return (
-            bounded.groupBy(*group)
-            .agg(F.sort_array(F.collect_list(position)).alias("rows"))
-            .select(*keys, F.explode(_fold(F.col("rows"), duplicate, bounce)).alias("id"))
-        )
-
-    if long_bursts.isEmpty():
-        ids = folded(marked)
-    else:
-        # A plain left join: AQE splits the side of a burst that fills a partition.
-        routed = marked.join(long_bursts, group, "left")
-        solved = _fold_blocks(routed.where("__long"), keys, duplicate, bounce)
-        ids = folded(routed.where(F.col("__long").isNull())).unionByName(solved)
-    kept = events.join(ids, [*keys, "id"], "left_semi")
-    return kept.unionByName(unordered)
+    rule = Rule(int(duplicate_seconds * 1e6), int(bounce_seconds * 1e6))
+    kept = spaced_rows(events.where(~loose), keys, connect, rule, settings.slice_rows, settings.slice_fan)
+    return kept.unionByName(events.where(loose))
 
 
 def usb_dedup(
@@ -304,7 +104,7 @@ def without_boot_logons(
     rows = sliced(
         events.where((is_logon | is_startup) & F.col("ts").isNotNull()).select(
             *keys, "id", micros(F.col("ts")).alias("__t"), is_startup.alias("__startup")
-        ), keys, ["__t", "id"],
+        ), keys, ["__t", "id"], settings.slice_rows,
     )
     started = F.when(F.col("__startup"), F.col("__t"))
     upto = cell_window(keys, [F.col("__t"), F.col("id")]).rowsBetween(Window.unboundedPreceding, 0)

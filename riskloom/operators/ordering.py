@@ -11,6 +11,30 @@ from pyspark.sql import functions as F
 from riskloom.plans.materialise import checkpointed
 
 SLICE = "__slice"
+# Rows that a slice of ordered rows holds at most.
+SLICE_ROWS = 65_536
+# A partition id of monotonically_increasing_id stands above this bit, the place in the partition below.
+_PLACE_BITS = 33
+
+
+def row_slices(df: DataFrame, order: Sequence[Column], name: str, most: int = SLICE_ROWS) -> DataFrame:
+    """Add a slice number: ranges of ``order`` with at most ``most`` rows each, sorted inside.
+
+    Range bounds come from keys that every task samples, with as many ranges as the rows ask for (and
+    enough to use all cores). Samples only make ranges even on average, so a range is then cut by
+    place: the bound holds at any size and for any distribution. Slices are numbered in order, and every
+    slice lies in one partition. The order must identify a row. Write the result before it is used twice.
+    """
+    spark = df.sparkSession
+    n = df.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * n // most))
+    row = F.monotonically_increasing_id()
+    return (
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        .withColumn("__row", row)
+        .withColumn(name, F.shiftright("__row", _PLACE_BITS) * (1 << _PLACE_BITS) + F.floor((F.col("__row") % (1 << _PLACE_BITS)) / most))
+        .drop("__row")
+    )
 
 
 def running_totals(
@@ -19,20 +43,16 @@ def running_totals(
     sums: Mapping[str, str],
     groups: Sequence[str] = (),
     with_total: bool = False,
+    most: int = SLICE_ROWS,
 ) -> DataFrame:
     """Running totals over the whole table, or over each of a few large groups.
 
     ``sums`` maps each output column to the column it adds up, the current row
-    included; ``with_total`` adds the group's whole sum as ``<name>_total``. Rows are cut into sorted slices by range, totalled inside each slice,
+    included; ``with_total`` adds the group's whole sum as ``<name>_total``. Rows are cut into sorted slices of at most ``most`` rows, totalled inside each slice,
     and moved by the totals of the slices before it. The slices are written once, so
     a task that is run again sees the same cut. The order must identify each row.
     """
-    spark = df.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = checkpointed(
-        df.repartitionByRange(slices, *[F.col(g) for g in groups], *order)
-        .withColumn(SLICE, F.spark_partition_id())
-    )
+    cut = checkpointed(row_slices(df, [*[F.col(g) for g in groups], *order], SLICE, most))
     inside = Window.partitionBy(*groups, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*groups).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*groups)

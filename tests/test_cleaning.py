@@ -1,14 +1,19 @@
 import random
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import at, rows
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskloom.config import CleaningSettings
 from riskloom.operators.cleaning import (
     clean_host_log, keep_spaced, startup_dedup, usb_dedup, usb_only, within_lookback, without_boot_logons,
 )
+from riskloom.operators.spaced import CONNECT, OTHER, Rule, kept_rows, slice_map
 
 SCHEMA = "id long, user string, ts timestamp, source string, event_id int, activity string, device string"
 
@@ -53,30 +58,31 @@ def test_other_sources_undated_rows_and_missing_devices_pass(spark):
     assert [i for (i,) in rows(usb_dedup(table), "id")] == [0, 1, 2, 3, 4, 5]
 
 
-@pytest.mark.parametrize("burst_rows", [512, 3])
+@pytest.mark.parametrize("slice_rows, fan", [(100_000, 64), (40, 3)])
 @pytest.mark.parametrize("spread", [40, 400])
-def test_random_bursts_match_the_walk(spark, burst_rows, spread):
-    rng = random.Random(burst_rows + spread)
+def test_random_bursts_match_the_walk(spark, slice_rows, fan, spread):
+    rng = random.Random(slice_rows + spread)
     entries = [
         (i, rng.choice("xyz"), rng.randrange(0, spread * 20) / 20, rng.random() < 0.5) for i in range(1500)
     ]
     table = spark.createDataFrame(
         [(i, k, at(t), c) for i, k, t, c in entries], "id long, key string, ts timestamp, connect boolean"
     ).repartition(3)
-    settings = CleaningSettings(burst_rows=burst_rows)
+    settings = CleaningSettings(slice_rows=slice_rows, slice_fan=fan)
     kept = keep_spaced(table, ["key"], F.col("connect"), 1.5, 1.0, settings)
     assert [i for (i,) in sorted(rows(kept, "id"))] == plain_walk(entries, 1.5, 1.0)
 
 
-def test_regular_heartbeat_over_many_blocks(spark):
-    """Which rows are kept depends on the very first one, through every block."""
-    entries = [(i, "x", float(i), True) for i in range(400)]
+def test_regular_heartbeat_over_a_hundred_slices(spark):
+    """Which rows are kept depends on the very first one, through every slice and three levels of maps."""
+    entries = [(i, "x", float(i), True) for i in range(1000)]
     table = spark.createDataFrame(
         [(i, k, at(t), c) for i, k, t, c in entries], "id long, key string, ts timestamp, connect boolean"
     )
-    settings = CleaningSettings(burst_rows=10)
+    settings = CleaningSettings(slice_rows=10, slice_fan=5)
     kept = keep_spaced(table, ["key"], F.col("connect"), 1.5, 1.0, settings)
-    assert [i for (i,) in sorted(rows(kept, "id"))] == list(range(0, 400, 2))
+    assert [i for (i,) in sorted(rows(kept, "id"))] == list(range(0, 1000, 2))
+    assert kept.columns == table.columns
 
 
 def test_wide_bounce_window(spark):
@@ -85,12 +91,56 @@ def test_wide_bounce_window(spark):
     table = spark.createDataFrame(
         [(i, k, at(t), c) for i, k, t, c in entries], "id long, key string, ts timestamp, connect boolean"
     )
-    for burst_rows in (1000, 4):
-        settings = CleaningSettings(burst_rows=burst_rows)
+    for slice_rows, fan in ((1000, 64), (4, 4)):
+        settings = CleaningSettings(slice_rows=slice_rows, slice_fan=fan)
         kept = keep_spaced(table, ["key"], F.col("connect"), 1.0, 3.0, settings)
         assert [i for (i,) in sorted(rows(kept, "id"))] == plain_walk(entries, 1.0, 3.0)
 
 
+def keys_of(entries):
+    return pa.chunked_array([[k for _, k, _, _ in entries]])
+
+
+@given(
+    st.lists(st.tuples(st.sampled_from("xy"), st.integers(0, 60), st.booleans()), min_size=1, max_size=40),
+    st.lists(st.integers(1, 39), max_size=6), st.integers(0, 9), st.integers(0, 9),
+)
+def test_maps_compose_in_any_grouping(found, cuts, duplicate, bounce):
+    rule = Rule(duplicate, bounce)
+    found = sorted(found)
+    t, kind = np.array([f[1] for f in found]), np.array([int(f[2]) for f in found])
+    entries = [(i, *f) for i, f in enumerate(found)]
+    edges = sorted({0, len(found), *[c for c in cuts if c < len(found)]})
+    pieces = [slice(a, b) for a, b in zip(edges, edges[1:])]
+    maps = [slice_map(keys_of(entries[p]), t[p], kind[p], rule) for p in pieces]
+    start = (rule.far, CONNECT)
+    state, kept, before = start, [], None
+    for piece, now in zip(pieces, maps):
+        if before is not None:
+            state = now.entered(before, state, rule)
+        kept += [piece.start + int(i) for i in np.flatnonzero(kept_rows(keys_of(entries[piece]), t[piece], kind[piece], state, rule))]
+        state, before = now.after(state, rule), now
+    last, wanted = {}, []
+    for i, key, at_, connect in entries:
+        if key in last:
+            gap, was = at_ - last[key][0], last[key][1]
+            if (connect == was and gap <= duplicate) or (was and not connect and gap < bounce):
+                continue
+        last[key] = (at_, connect)
+        wanted.append(i)
+    assert kept == wanted
+    left = maps[0]
+    for m in maps[1:]:
+        left = left.then(m, rule)
+    right = maps[-1]
+    for m in reversed(maps[:-1]):
+        right = m.then(right, rule)
+    for age in range(0, rule.far + 1):
+        for was in (CONNECT, OTHER):
+            assert left.after((age, was), rule) == right.after((age, was), rule)
+    assert left.after(start, rule) == state
+
+
 def boot(spark, entries):
     return events(spark, [{"t": t, "activity": a, "source": "Security"} for t, a in entries])
 

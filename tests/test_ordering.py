@@ -5,7 +5,8 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from riskloom.operators.ordering import exact_quantiles, global_rank, running_totals
+from riskloom.operators.cells import whole_cells
+from riskloom.operators.ordering import exact_quantiles, global_rank, row_slices, running_totals
 
 
 def test_rank_is_a_total_order(spark):
@@ -41,3 +42,41 @@ def test_quantiles_equal_linear_interpolation(spark, size):
     y = np.array([d[1] for d in data if d[1] is not None])
     for name, values, p in (("a", x, 0.5), ("b", x, 0.02), ("c", x, 0.99), ("d", y, 0.25)):
         assert got[name] == pytest.approx(np.quantile(values, p), abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [0, 1, 500, 5_000, 50_000])
+def test_no_slice_holds_more_rows_than_asked(spark, n):
+    """Ten times the rows with the same four partitions give ten times the slices, not larger ones."""
+    table = spark.range(n).select((F.col("id") % 3 * 1_000_000_000 + F.col("id") * F.col("id")).alias("at"), "id").repartition(5)
+    cut = row_slices(table, [F.col("at"), F.col("id")], "slice", most=100).cache()
+    sizes = cut.groupBy("slice").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).orderBy("slice").collect()
+    assert sum(r["n"] for r in sizes) == n and all(r["n"] <= 100 for r in sizes)
+    assert all(a["high"] <= b["low"] for a, b in zip(sizes, sizes[1:]))
+    assert cut.withColumn("p", F.spark_partition_id()).select("p", "slice").distinct().count() == len(sizes)
+    cut.unpersist()
+
+
+def test_one_order_value_for_most_rows(spark):
+    """The place in the order tells equal values apart, so a value with all rows is cut too."""
+    table = spark.range(3_000).select(F.lit("hot").alias("user"), "id")
+    sizes = row_slices(table, [F.col("user"), F.col("id")], "slice", most=64).groupBy("slice").count().collect()
+    assert max(r["count"] for r in sizes) <= 64 and len(sizes) >= 3_000 // 64
+
+
+def test_totals_over_many_slices(spark):
+    table = spark.range(3_000).select("id", (F.col("id") % 7).alias("v"), (F.col("id") % 2).alias("g"))
+    got = dict(rows(running_totals(table, [F.col("id")], {"upto": "v"}, ["g"], most=50), "id", "upto"))
+    total = {0: 0, 1: 0}
+    for i in range(3_000):
+        total[i % 2] += i % 7
+        assert got[i] == total[i % 2]
+
+
+def test_slices_come_whole_from_batches():
+    import pyarrow as pa
+
+    numbers = [0, 0, 0, 4, 4, 9, 9, 9, 9, 12]
+    whole = pa.table({"__cell": pa.array(numbers, pa.int64()), "v": list(range(10))})
+    parts = [b for k in (0, 2, 3, 7) for b in whole.slice(k, {0: 2, 2: 1, 3: 4, 7: 3}[k]).to_batches()]
+    got = [(cell, part.column("v").to_pylist()) for cell, part in whole_cells(iter(parts))]
+    assert got == [(0, [0, 1, 2]), (4, [3, 4]), (9, [5, 6, 7, 8]), (12, [9])]
