@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.batches import binary_numbers, group_starts, whole_groups
 from riskloom.llm.components import components
+from riskloom.llm.spread import seen_filter, with_seen
 from riskloom.llm.shingles import BANDS, HASHES, minhashes, set_digest, shingles
 from riskloom.plans.materialise import stored
 
@@ -264,11 +265,15 @@ def similar_documents(
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their class, with all their columns.
 
-    Repeated rows stand together: they are one key and text.
+    Repeated rows stand together: they are one key and text. Only rows that a filter of the dropped names may
+    hold are moved to be told apart exactly; all others stay where they are.
     """
-    gone = similar_documents(docs, key, text).where("not stays").select(
+    gone = stored(similar_documents(docs, key, text).where("not stays").select(
         F.col(key).alias("__k"), F.col("mark").alias("__m")
-    ).distinct()
+    ).distinct(), "jaccard-dropped")
+    names = stored(seen_filter(gone, F.xxhash64("__k", "__m")), "jaccard-dropped-filter")
     rows = docs.withColumn("__mark", F.xxhash64(F.col(text)))
-    same = rows[key].eqNullSafe(F.col("__k")) & (rows["__mark"] == F.col("__m"))
-    return rows.join(gone, same, "left_anti").drop("__mark")
+    told = with_seen(rows, F.xxhash64(key, "__mark"), "__hit", names)
+    some = told.where("__hit")
+    same = some[key].eqNullSafe(F.col("__k")) & (some["__mark"] == F.col("__m"))
+    return told.where("not __hit").select(*docs.columns).unionByName(some.join(gone, same, "left_anti").select(*docs.columns))

@@ -14,7 +14,8 @@ BUCKET_ROWS = 8192
 BUCKET = "__bucket"
 # A group is heavy when it holds at least one in so many rows: no table has more heavy groups.
 MOST_HEAVY = 1000
-BUCKET = "__bucket"
+# Bits of a filter and of one of its pages: a filter is 8 MB at any size of the table.
+FILTER_BITS, PAGE_BITS = 1 << 26, 1 << 15
 
 
 def hashed_at(*columns: str | Column) -> Column:
@@ -100,3 +101,25 @@ def join_groups(
     if how == "left_semi":
         return met.where(found | F.col(f"__l_{keys[0]}").isNotNull()).select(*rows.columns)
     return met.select(*rows.columns, *[F.coalesce(f"__h_{v}", f"__l_{v}").alias(v) for v in values])
+
+
+def seen_filter(values: DataFrame, hashed: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """A filter of the hashes that ``values`` holds, as pages of bits of a fixed total size."""
+    at = F.pmod(hashed, F.lit(bits))
+    return (
+        values.select(F.floor(at / PAGE_BITS).cast("long").alias("__page"), (at % PAGE_BITS).alias("__bit")).distinct()
+        .groupBy("__page").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    )
+
+
+def with_seen(rows: DataFrame, hashed: Column, name: str, pages: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Add whether a hash may be in a ``seen_filter``: never false for one that is, seldom true for another.
+
+    The filter's bounded pages are broadcast, so rows stay where they are whatever the filter holds.
+    """
+    met = rows.withColumn("__at", F.pmod(hashed, F.lit(bits))).withColumn("__at_page", F.floor(F.col("__at") / PAGE_BITS).cast("long"))
+    met = met.join(F.broadcast(pages), F.col("__at_page") == F.col("__page"), "left")
+    place = (F.col("__at") % PAGE_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    one = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), place % 8 + 1)
+    return met.withColumn(name, F.coalesce(byte.bitwiseAND(one) != 0, F.lit(False))).drop("__at", "__at_page", "__page", "__bits")
