@@ -15,7 +15,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.spread import AT_RANGE, digest_at, running_sums
+from riskloom.llm.spread import AT_RANGE, digest_at, join_groups, running_sums
 from riskloom.operators.ordering import global_rank, running_totals
 from riskloom.plans.materialise import stored
 
@@ -27,13 +27,16 @@ BLOCK_WORDS = 1024
 CELL = 4096
 _SPLIT = 1 << 20
 SEED = "mix"
+# Order of rows with the same place in the stream.
+ORDER = ("key", "size", "mark", "turn")
 
 
 @dataclass(frozen=True)
 class Mix:
     """Tables of a mix, all in the shared folder.
 
-    ``documents``: key, source, size, position of the source, start in its stream.
+    ``documents``: key, source, size, mark (digest of the text), turn (of equal rows), position of the source, start in
+    its stream.
     ``sources``: position, source, source_size, target, words (target in whole words).
     ``slots``: slot, position, epoch, block, words.
     ``pieces``: slot, position, epoch, start and key of the document, skip (words left out
@@ -46,6 +49,17 @@ class Mix:
     pieces: DataFrame
 
 
+def _mark(text: Column) -> Column:
+    """What tells documents of equal key and size apart."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _place_in(key: Column, mark: Column, turn: Column) -> Column:
+    """Place of a row in the shuffled stream of its source."""
+    said = F.coalesce(key.cast("string"), F.lit(""))
+    return digest_at(F.concat(F.lit(SEED), said, F.lit(":"), mark, F.lit(":"), turn.cast("string")))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -109,10 +123,15 @@ def mix_sources(
     A source is visited in whole passes, the last one cut where its words are reached, so
     no document is taken more than ``most`` times. The shuffle is a hash of the key: reruns
     agree. Null texts have no words; a null source is a source; repeated rows are rows of
-    their own. Rows with equal key and size are interchangeable. No rows give an empty mix.
+    their own, told apart by a turn number. No rows give an empty mix.
     """
     spark = docs.sparkSession
-    rows = stored(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix-sizes")
+    rows = stored(
+        docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _mark(F.col(text)).alias("mark"))
+        # Equal rows are merged before they are spread again by their turns: none of them owns a task.
+        .groupBy("key", "source", "size", "mark").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n"), "mix-sizes",
+    )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     targets = source_targets(sizes.select("source", "source_size"), weights, most)
     b = F.lit(block_words)
@@ -133,10 +152,8 @@ def mix_sources(
     placed = rows.join(
         plan.select("position", F.col("source").alias("__s"), "blocks"), F.col("source").eqNullSafe(F.col("__s"))
     ).drop("__s")
-    at = digest_at(F.concat(F.lit(SEED), F.coalesce(F.col("key").cast("string"), F.lit(""))))
     documents = stored(
-        running_sums(placed, ["position"], at, [F.col("key"), F.col("size")], {"start": F.col("size")}, n_rows),
-        "mix-documents",
+        running_sums(placed, ["position"], _place_in(*[F.col(c) for c in ("key", "mark", "turn")]), [F.col(c) for c in ORDER], {"start": F.col("size")}, n_rows), "mix-documents"
     )
 
     step = lattice_step(max(1, n_slots))
@@ -163,7 +180,7 @@ def mix_sources(
     begin = F.greatest(F.col("start"), F.col("block") * b)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("words"))
     pieces = (
-        spans.drop("source", "blocks").join(slots, ["position", "block"])
+        spans.drop("source", "blocks", "mark", "turn").join(slots, ["position", "block"])
         .select("slot", "position", "epoch", "start", "key", "size",
                 (begin - F.col("start")).alias("skip"), (end - begin).alias("words"))
         .where("words > 0")
@@ -178,28 +195,61 @@ def words_taken(mix: Mix) -> DataFrame:
     with_words = (
         filled.withColumn("taken", F.lit(0).cast("long")).unionByName(taken)
         .groupBy("position", "start", "key", "size").agg(F.max("taken").alias("taken"))
-        .select("position", "key", "size", "taken")
+        .select("position", "start", "key", "size", "taken")
     )
-    without = mix.documents.where("size = 0").select("position", "key", "size", F.lit(0).cast("long").alias("taken"))
+    without = mix.documents.where("size = 0").select("position", "start", "key", "size", F.lit(0).cast("long").alias("taken"))
     return with_words.unionByName(without).join(
         mix.sources.select("position", "source", "source_size", "target"), "position"
     )
 
 
+def copies_by_place(mix: Mix) -> DataFrame:
+    """(source, n_rows, most, fewer_from): how often each source's documents are given.
+
+    A document is given once per pass in which at least half of its words are taken. Passes are
+    whole but for the last, so the numbers of a source fall once along its stream: from ``most`` by one, at the
+    document that stands at ``fewer_from`` (place and order; null where no number is smaller).
+    """
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    given = words_taken(mix).where("size > 0").select("position", "start", copies.alias("copies"))
+    at = mix.documents.where("size > 0").select("position", "start", F.struct(_place_in(*[F.col(c) for c in ("key", "mark", "turn")]).alias("place"), *ORDER).alias("at"))
+    counted = given.join(at, ["position", "start"])
+    sums = counted.groupBy("position").agg(
+        F.max("copies").alias("most"), F.min(F.struct("copies", "at")).alias("least"),
+    )
+    rows = mix.documents.groupBy("position").agg(F.count(F.lit(1)).alias("n_rows"))
+    return (
+        rows.join(sums, "position", "left").join(mix.sources.select("position", "source"), "position")
+        .select(
+            "source", "n_rows", F.coalesce("most", F.lit(0)).alias("most"),
+            F.when(F.col("least.copies") < F.col("most"), F.col("least.at")).alias("fewer_from"),
+        )
+    )
+
+
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all their columns.
 
     A document is given once per pass in which at least half of its words are taken; one
-    without words costs nothing and is kept once. Rows of equal key, source and size lie
-    side by side in the stream and get the same number, the smallest among them.
+    without words costs nothing and is kept once. Rows that are equal in key, source and text are given as often as the
+    first of them. Documents stay where they are: each finds its own number from its place in the stream and
+    the one place of its source at which the numbers fall.
     """
-    taken = words_taken(mix_sources(docs, key, text, source))
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    turns = taken.groupBy(F.col("key").alias("__k"), F.col("source").alias("__s"), F.col("size").alias("__n")).agg(
-        F.min(copies).alias("__copies")
-    ).where("__copies > 0")
-    rows = docs.withColumn("__size", word_count(F.col(text)))
-    same = rows[key].eqNullSafe(F.col("__k")) & rows[source].eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))
-    return rows.join(turns, same).withColumn(
+    plan = stored(copies_by_place(mix_sources(docs, key, text, source)), "mix-copies")
+    total = plan.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    falls = plan.select(named.alias("__source"), F.col("n_rows").alias("__n"), F.col("most").alias("__most"), F.col("fewer_from").alias("__from"))
+    rows = docs.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
+    met = join_groups(rows, falls, ["__source"], "__n", total)
+    size = word_count(F.col(text))
+    order = met.select(
+        "*", size.alias("__size"), F.struct(
+            _place_in(F.col(key), _mark(F.col(text)), F.lit(1)).alias("place"), F.col(key).alias("key"), size.alias("size"), _mark(F.col(text)).alias("mark"),
+            F.lit(1).cast("long").alias("turn"),
+        ).alias("__here"),
+    )
+    fewer = F.coalesce(F.col("__here") >= F.col("__from"), F.lit(False))
+    copies = F.when(F.col("__size") == 0, 1).otherwise(F.col("__most") - fewer.cast("int"))
+    return order.withColumn("__copies", copies).where("__copies > 0").withColumn(
         "__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))
     ).select(*docs.columns)

@@ -65,7 +65,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query(r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-    ('0x' || substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as place
+    md5(coalesce(text, '')) as mark, row_number() over (partition by doc_id, source, coalesce(text, '')) as turn
   from documents
 ), s as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as position
@@ -85,7 +85,8 @@ h as (
     else (weight * (total - caps))::double / greatest(1, whole - weights)::double end as target from h
 ), p as (
   select d.*, t.source_size, t.target, floor(t.target)::bigint as words, coalesce(sum(size) over (
-    partition by d.source order by place, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start
+    partition by d.source order by ('0x' || substr(md5('mix' || coalesce(doc_id::varchar, '') || ':' || mark || ':' || turn), 1, 8))::bigint,
+    doc_id, size, mark, turn rows between unbounded preceding and 1 preceding), 0) as start
   from d join t on d.source is not distinct from t.source
 )
 select doc_id, size::bigint as size, source_size, target,
