@@ -4,7 +4,8 @@ Pages of a host are put in order of their path; each is paired with the page nea
 that is not a copy of it. The text lines of the two are aligned by a longest common subsequence, and
 shared lines are deleted. Marked parts of a page are told apart while it is read: lines of an
 article are never deleted, and parts marked as menus, adverts and the like go even if no neighbour has them.
-Pages meet as lists of 64-bit line hashes; the html is moved once, to meet the decisions.
+Pages meet as lists of 64-bit line hashes; lines that can be main text are moved once, packed, to meet the
+decisions.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,14 +196,24 @@ def outline(page: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
+def wanted_lines(lines: list[Line]) -> tuple[list[str], list[int]]:
+    """The lines that can be main text, and the places of those that a neighbour may strike out.
+
+    These are the article's lines, none of which can be struck out, or without an article the plain lines.
+    """
+    if any(x.kind == MAIN for x in lines):
+        return [x.text for x in lines if x.kind == MAIN], []
+    plain = [n for n, x in enumerate(lines) if x.kind == PLAIN]
+    return [lines[n].text for n in plain], plain
+
+
 def main_text(lines: list[Line], shared: set[int] | frozenset[int] = frozenset()) -> str:
-    """The main text of a page's lines: the article's, or without one the plain lines that are not ``shared``.
+    """The main text of a page's lines: what can be main text and is not ``shared``.
 
     A page whose marks leave nothing has the empty text.
     """
-    if any(x.kind == MAIN for x in lines):
-        return " ".join(x.text for x in lines if x.kind == MAIN)
-    return " ".join(x.text for n, x in enumerate(lines) if x.kind == PLAIN and n not in shared)
+    said, places = wanted_lines(lines)
+    return " ".join(x for x, n in zip(said, places) if n not in shared) if places else " ".join(said)
 
 
 def near_order(place: int, hosts: list[str], paths: list[list[str]], reach: int = REACH) -> list[int]:
@@ -315,6 +327,41 @@ def shared_with_neighbours(pages: DataFrame, url: str = "url", page: str = "html
     )
 
 
+def _wanted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages to their lines that can be main text, packed for the way to the decisions."""
+    press = zstandard.ZstdCompressor(level=3)
+    for part in parts:
+        n_lines, places, packed = [], [], []
+        for page in part.column(4).to_pylist():
+            lines = page_lines(page)
+            said, at = wanted_lines(lines)
+            n_lines.append(len(lines))
+            places.append(np.array(at, "<i4").tobytes())
+            packed.append(press.compress("\n".join(said).encode("utf-8", "surrogatepass")))
+        yield pa.RecordBatch.from_arrays([
+            *[part.column(k) for k in range(4)], pa.array(n_lines, pa.int32()), pa.array(places, pa.binary()), pa.array(packed, pa.binary()),
+        ], ["key", "url", "m1", "m2", "n_lines", "places", "packed"])
+
+
+def _struck(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed lines and decisions to main texts."""
+    unpress = zstandard.ZstdDecompressor()
+    for part in parts:
+        texts, n_shared = [], []
+        for at, packed, gone in zip(*[part.column(k).to_pylist() for k in (3, 4, 5)]):
+            said = unpress.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+            shared = np.frombuffer(gone or b"", "<i4")
+            if at:
+                struck = np.isin(np.frombuffer(at, "<i4"), shared)
+                said = [x for x, out in zip(said, struck.tolist()) if not out]
+            texts.append(" ".join(said))
+            n_shared.append(len(shared))
+        yield pa.RecordBatch.from_arrays([
+            part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()),
+            part.column(2), pa.array(n_shared, pa.int32()),
+        ], ["key", "url", "text", "n_chars", "n_lines", "n_shared"])
+
+
 def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per row of ``pages``: key, url, text, n_chars, n_lines, n_shared.
 
@@ -323,25 +370,12 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", page: s
     table gives no rows. Other columns are not read.
     """
     kind = pages.schema[key].dataType.simpleString()
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts, n_lines, n_shared = [], [], []
-            for said, gone in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                shared = frozenset(np.frombuffer(gone or b"", "<i4").tolist())
-                lines = page_lines(said)
-                texts.append(main_text(lines, shared))
-                n_lines.append(len(lines))
-                n_shared.append(len(shared))
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(1), pa.array(texts, pa.string()),
-                pa.array([len(t) for t in texts], pa.int64()), pa.array(n_lines, pa.int32()), pa.array(n_shared, pa.int32()),
-            ], ["key", "url", "text", "n_chars", "n_lines", "n_shared"])
-
     rows = pages.select(
         F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(url), F.lit("")).alias("__url"), F.col(page).alias("__page")
-    ).select("key", "url", "__page", *_marks("__page"))
+    ).select("key", "url", *_marks("__page"), "__page").mapInArrow(
+        _wanted, f"key {kind}, url string, m1 long, m2 long, n_lines int, places binary, packed binary"
+    )
     met = rows.join(shared_with_neighbours(pages, url, page).hint("merge"), ["m1", "m2"], "left")
-    return met.select("key", "url", "__page", "shared").mapInArrow(
-        batches, f"key {kind}, url string, text string, n_chars long, n_lines int, n_shared int"
+    return met.select("key", "url", "n_lines", "places", "packed", "shared").mapInArrow(
+        _struck, f"key {kind}, url string, text string, n_chars long, n_lines int, n_shared int"
     ).withColumnRenamed("key", key).withColumnRenamed("url", url)

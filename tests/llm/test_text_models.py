@@ -214,7 +214,7 @@ def test_a_very_long_run_gives_few_windows(docs_of):
 
 def test_skipped_candidates_would_not_be_accepted():
     draw = draws(np.random.default_rng(7))
-    labels = np.array([0, 1, 4, 0] * 60)
+    labels = np.array([0, 1, 4, 0] * 500)
     windows = []
     for n, y in enumerate(labels):
         own = draw("abcdefghij" if y == 0 else "0123456789" if y == 1 else "ABCDEF", 12)
