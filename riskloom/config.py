@@ -86,7 +86,10 @@ class CleaningSettings:
 
 @dataclass(frozen=True)
 class ForestSettings:
-    """Supervised forest. ``weight_power`` 2 applies the class balance twice."""
+    """Supervised forest. ``weight_power`` 2 applies the class balance twice.
+
+    A fit reads every insider day and at most ``fit_rows`` other days; scores cover all days.
+    """
 
     trees: int = 300
     depth: int = 5
@@ -94,6 +97,9 @@ class ForestSettings:
     feature_subset: str = "all"
     weight_power: int = 2
     seed: int = 42
+    fit_rows: int = 2_000_000
+    # Whether each tree draws its rows with replacement.
+    bootstrap: bool = True
 
 
 # The holdout estimate uses smaller leaves and a feature subset per split.

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ _TOLERANCE = 1e-10
 # Distances are counted and summed in this many classes around the last cut.
 _CLASSES = 48
 _STEPS = 30
+# Tasks that add up the sums of all others.
+_MERGERS = 64
 
 
 @dataclass
@@ -98,8 +101,8 @@ def _sums(
 ) -> np.ndarray:
     """Count, sums and products of the columns by class, [way, class, 1 + d + d * d], in one pass.
 
-    ``classes`` gives each row's class for each of ``n_ways`` divisions. A task sends one
-    set of sums; their number depends on the columns and classes alone.
+    ``classes`` gives each row's class for each of ``n_ways`` divisions. A task sends its sums as one row;
+    ``_MERGERS`` tasks add these up, so the driver gets that many rows however many tasks there are.
     """
     d = len(names)
 
@@ -114,29 +117,20 @@ def _sums(
                 for c in np.flatnonzero(np.diff(ends)):
                     part = x[order[ends[c]:ends[c + 1]]]
                     sums[way, c] += np.concatenate([[len(part)], part.sum(axis=0), (part.T @ part).ravel()])
-        flat = sums.ravel()
-        used = np.flatnonzero(flat)
-        yield pd.DataFrame({"place": used, "value": flat[used]})
+        here = TaskContext.get().partitionId() % _MERGERS
+        yield pd.DataFrame({"slot": [here], "sums": [sums.astype("<f8").tobytes()]})
 
-    added = rows.select(*names).mapInPandas(add_up, "place long, value double").groupBy("place").agg(
-        F.sum("value").alias("value")
-    ).collect()  # at most n_ways * n_classes * (1 + d + d * d) rows
+    def merged(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(v, "<f8") for v in part["sums"]], axis=0)
+        return pd.DataFrame({"sums": [total.tobytes()]})
+
+    added = rows.select(*names).mapInPandas(add_up, "slot int, sums binary").groupBy("slot").applyInPandas(merged, "sums binary").collect()
     out = np.zeros(n_ways * n_classes * (1 + d + d * d))
     for row in added:
-        out[row["place"]] = row["value"]
+        out += np.frombuffer(row["sums"], "<f8")
     return out.reshape(n_ways, n_classes, -1)
 
 
-def batch_distance(names: Sequence[str], mean: np.ndarray, precision: np.ndarray) -> Column:
-    """The squared distance over Arrow batches, for steps whose constants change each time."""
-    @F.pandas_udf("double")
-    def distance(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in columns]) - mean
-        return pd.Series(((x @ precision) * x).sum(axis=1))
-
-    return distance(*[F.col(n) for n in names])
-
-
 def _spectrum(covariance: np.ndarray):
     values, vectors = np.linalg.eigh(covariance)
     keep = values > _TOLERANCE * max(values.max(), _TOLERANCE)
@@ -252,12 +246,13 @@ def fit_envelope(
     mean, covariance = _concentrate(rows, names, starts, settings.support)
 
     rank = log_volume(covariance)[0]
-    placed = rows.withColumn(DISTANCE, batch_distance(names, mean, inverse(covariance)))
+    columns = [F.col(n) for n in names]
+    placed = rows.withColumn(DISTANCE, squared_distance(columns, mean, inverse(covariance)))
     median = exact_quantiles(placed, {"d": DISTANCE}, {"m": ("d", 0.5)}).first()["m"]
     correction = median / chi2_quantile(0.5, rank)
     near = placed.where(F.col(DISTANCE) < correction * chi2_quantile(0.975, rank))
     mean, covariance, _ = moments(near, names)
     model = EnvelopeModel(scaler, mean, inverse(covariance))
-    final = rows.select((-batch_distance(names, mean, model.precision)).alias("s"))
+    final = rows.select((-squared_distance(columns, mean, model.precision)).alias("s"))
     model.offset = exact_quantiles(final, {"s": "s"}, {"q": ("s", settings.contamination)}).first()["q"]
     return model

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.config import DetectorSettings
@@ -36,19 +36,33 @@ def keyed_samples(
     """At most ``isolation_sample`` rows per tree, drawn by hash of key, tree and seed.
 
     A row draws its trees with a probability that makes the expected sample half again
-    as large as needed; the smallest hashes are kept. The result is bounded by
-    trees x sample rows however large the table is.
+    as large as needed, by geometric skips from tree to tree: a row costs one hash, and one more for each tree that
+    draws it. The smallest hashes are kept. The result is bounded by trees x sample rows however large the table is.
     """
     share = min(1.0, 1.5 * settings.isolation_sample / max(rows, 1))
-    limit = F.lit(min(int(-(2**63) + share * 2**64), 2**63 - 1))
+    trees = settings.isolation_trees
+    each = [F.col(k) for k in key]
 
-    def draw(tree):
-        return F.xxhash64(*[F.col(k) for k in key], tree, F.lit(settings.seed))
+    def skipped(turn) -> Column:
+        """Trees passed over before the next one that the row is drawn for: geometric, from one hash."""
+        even = (F.pmod(F.xxhash64(*each, turn, F.lit(settings.seed)), F.lit(1 << 53)) + 1) / float(1 << 53)
+        return F.floor(F.log(even) / math.log1p(-share)).cast("long") if share < 1 else F.lit(0).cast("long")
 
-    trees = F.sequence(F.lit(0), F.lit(settings.isolation_trees - 1))
+    def next_tree(state: Column, turn: Column) -> Column:
+        at = state["at"] + 1 + skipped(turn)
+        return F.when(state["at"] >= trees, state).otherwise(F.struct(
+            at.alias("at"), F.when(at < trees, F.concat(state["drawn"], F.array(at))).otherwise(state["drawn"]).alias("drawn")
+        ))
+
+    first_tree = F.struct(F.col("__first").alias("at"), F.array(F.col("__first")).alias("drawn"))
     drawn = (
-        table.withColumn("tree", F.explode(F.filter(trees, lambda t: draw(t) <= limit)))
-        .withColumn("__h", draw(F.col("tree")))
+        # One hash tells for almost every row of a large table that no tree draws it.
+        table.withColumn("__first", skipped(F.lit(0))).where(F.col("__first") < trees)
+        .withColumn("tree", F.explode(F.aggregate(
+            F.sequence(F.lit(1), F.lit(trees)), first_tree, next_tree, lambda state: state["drawn"]
+        )))
+        .withColumn("tree", F.col("tree").cast("int"))
+        .withColumn("__h", F.xxhash64(*each, "tree", F.lit(settings.seed + 1)))
         .select("tree", "__h", *features)
     )
     first = Window.partitionBy("tree").orderBy("__h")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.plans.materialise import checkpointed
+from riskloom.plans.materialise import checkpointed, stored
 
 SLICE = "__slice"
 # Rows that a slice of ordered rows holds at most.
@@ -103,42 +105,157 @@ def value_counts(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     )
 
 
+@dataclass
+class _Bracket:
+    """What is known of one quantile: its two 0-based positions, and values that enclose them."""
+
+    column: str
+    p: float
+    n: int
+    low: float = -math.inf
+    high: float = math.inf
+    # Rows of the column that are smaller than ``low``, and rows strictly between the two values.
+    below: int = 0
+    inside: int = 0
+
+    @property
+    def at(self) -> float:
+        """Position of the quantile between the sorted rows."""
+        return self.p * (self.n - 1)
+
+    @property
+    def positions(self) -> tuple[int, int]:
+        """The two positions it lies between."""
+        return math.floor(self.at), math.ceil(self.at)
+
+
+def _sketched(rows: DataFrame, brackets: Mapping[str, _Bracket], accuracy: int) -> None:
+    """Tighten brackets by one mergeable sketch each, over the rows inside it; a task sends one row."""
+    wide = 2.0 / accuracy
+    asked = []
+    for name, b in brackets.items():
+        value = F.col(b.column)
+        held = F.when((value >= b.low) & (value <= b.high), value)
+        first, last = ((x - b.below) / max(1, b.inside) for x in b.positions)
+        asked.append(F.percentile_approx(held, F.array(
+            F.lit(min(1.0, max(0.0, first - wide))), F.lit(min(1.0, max(0.0, last + wide)))
+        ), accuracy).alias(name))
+    found = rows.agg(*asked).first()
+    for name, b in brackets.items():
+        if found[name] is not None:
+            b.low, b.high = found[name]
+
+
+def _counted(rows: DataFrame, brackets: Mapping[str, _Bracket]) -> list[str]:
+    """Count exactly where the brackets lie; gives the names of those that missed and were opened on that side."""
+    asked = []
+    for name, b in brackets.items():
+        value = F.col(b.column)
+        asked.append(F.struct(
+            F.count_if(value < b.low).alias("below"), F.count_if(value <= b.high).alias("upto"),
+            F.count_if((value > b.low) & (value < b.high)).alias("inside"),
+        ).alias(name))
+    found, missed = rows.agg(*asked).first(), []
+    for name, b in brackets.items():
+        b.below, b.inside = found[name]["below"], found[name]["inside"]
+        if b.positions[0] < b.below:
+            b.low, b.below = -math.inf, 0
+            missed.append(name)
+        if b.positions[1] >= found[name]["upto"]:
+            b.high = math.inf
+            missed.append(name)
+    return missed
+
+
 def exact_quantiles(
-    df: DataFrame, columns: Mapping[str, str], wanted: Mapping[str, tuple[str, float]]
+    df: DataFrame, columns: Mapping[str, str], wanted: Mapping[str, tuple[str, float]],
+    accuracy: int = 10_000, few: int = 4096,
 ) -> DataFrame:
     """One row of exact linearly interpolated quantiles.
 
-    ``columns`` maps a metric to a column and ``wanted`` an output name to
-    (metric, probability). Each quantile lies between two sorted positions; the two
-    values are picked by running counts over the sorted distinct values.
+    ``columns`` maps a metric to a column and ``wanted`` an output name to (metric, probability). Quantiles are
+    selected, not sorted for: a mergeable sketch encloses each one between two values, a pass counts the rows
+    below and between them exactly, and this repeats inside the bracket (each round leaves about four in ``accuracy`` of
+    its rows) until ``few`` rows are left, of which the wanted positions are picked. A bracket that the count proves wrong
+    is opened again, so the sketch decides the speed and never the result. Values are written once, as
+    doubles; null is left out and NaN counts as infinity. No rows give null.
     """
-    counts = running_totals(
-        value_counts(df, columns), [F.col("value")], {"upto": "n"}, ["metric"], with_total=True
+    spark = df.sparkSession
+    used = sorted({columns[metric] for metric, _ in wanted.values()})
+    short = {c: f"c{i}" for i, c in enumerate(used)}
+    rows = stored(df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(math.inf)).alias(short[c]) for c in used]), "quantiles")
+    sizes = rows.agg(*[F.count(c).alias(c) for c in short.values()]).first()
+    brackets = {
+        name: _Bracket(short[columns[metric]], float(p), sizes[short[columns[metric]]])
+        for name, (metric, p) in wanted.items() if sizes[short[columns[metric]]]
+    }
+    for b in brackets.values():
+        b.inside = b.n
+    open_ = dict(brackets)
+    while open_:
+        before = {name: b.inside for name, b in open_.items()}
+        _sketched(rows, open_, accuracy)
+        missed = set(_counted(rows, open_))
+        while missed:
+            missed = set(_counted(rows, {name: open_[name] for name in missed}))
+        open_ = {name: b for name, b in open_.items() if b.low < b.high and few < b.inside < before[name]}
+    values = _picked(rows, {name: b for name, b in brackets.items() if b.low < b.high})
+    out = []
+    for name in wanted:
+        b = brackets.get(name)
+        low, high = values.get(name, (b.low, b.high)) if b else (None, None)
+        out.append(None if b is None else low + (high - low) * (b.at - b.positions[0]) if low != high else low)
+    return spark.createDataFrame([tuple(out)], ", ".join(f"`{name}` double" for name in wanted))
+
+
+def _picked(rows: DataFrame, brackets: Mapping[str, _Bracket]) -> dict[str, tuple[float, float]]:
+    """The values at the two positions of each bracket, from its few rows; equal values are one row."""
+    if not brackets:
+        return {}
+    pairs = F.filter(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.col(b.column).alias("value"), F.lit(b.below).alias("below"),
+                 F.lit(b.positions[0]).alias("first"), F.lit(b.positions[1]).alias("last"),
+                 F.coalesce(F.col(b.column).between(b.low, b.high), F.lit(False)).alias("held"))
+        for name, b in brackets.items()
+    ]), lambda s: s["held"])
+    counts = rows.select(F.inline(pairs)).groupBy("name", "value", "below", "first", "last").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy("name").orderBy("value"))
+    here = lambda c: (F.col(c) < F.col("upto")) & (F.col(c) >= F.col("upto") - F.col("n"))
+    found = counts.withColumn("upto", upto).groupBy("name").agg(
+        F.max(F.when(here("first"), F.col("value"))).alias("a"), F.max(F.when(here("last"), F.col("value"))).alias("b")
+    ).collect()
+    return {r["name"]: (r["a"], r["b"]) for r in found}
+
+
+def heavy_values(df: DataFrame, columns: Mapping[str, str], support: float = 0.01) -> DataFrame:
+    """Rows (metric, n, top): filled rows of each column and the rows of its most frequent value.
+
+    A mergeable summary of frequent items names at most 1 / ``support`` candidates a column, and one pass counts
+    them: what is moved does not depend on the number of distinct values. The candidates hold every value with that share;
+    only columns that have none are counted value by value.
+    """
+    spark = df.sparkSession
+    short = {f"c{i}": metric for i, metric in enumerate(columns)}
+    rows = stored(df.select(*[F.col(columns[m]).cast("double").alias(c) for c, m in short.items()]), "heavy-values")
+    sizes = rows.agg(*[F.count(c).alias(c) for c in short]).first()
+    # One row: a few values a column.
+    named = rows.freqItems(list(short), support).first()
+    wanted = {c: sorted({v for v in named[f"{c}_freqItems"] if v is not None}) for c in short}
+    pairs = F.array(*[
+        F.struct(F.lit(c).alias("c"), F.when(F.col(c).isin(values), F.col(c)).alias("value")) for c, values in wanted.items() if values
+    ] or [F.struct(F.lit("").alias("c"), F.lit(None).cast("double").alias("value"))])
+    counted = (
+        rows.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("c", "value").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("c").agg(F.max("n").alias("top")).collect()
     )
-    targets = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(metric).alias("of"), F.lit(float(p)).alias("p"))
-        for name, (metric, p) in wanted.items()
-    ])
-    placed = (
-        counts
-        .withColumn("t", F.explode(F.filter(targets, lambda t: t["of"] == F.col("metric"))))
-        .withColumn("at", F.col("t.p") * (F.col("upto_total") - 1))
-        .withColumn("low", F.floor("at")).withColumn("high", F.ceil("at"))
-        # 0-based positions upto-n .. upto-1 hold this value
-        .withColumn("has_low", (F.col("low") >= F.col("upto") - F.col("n")) & (F.col("low") < F.col("upto")))
-        .withColumn("has_high", (F.col("high") >= F.col("upto") - F.col("n")) & (F.col("high") < F.col("upto")))
-        .where("has_low or has_high")
-        .groupBy("t.name")
-        .agg(
-            F.max(F.when(F.col("has_low"), F.col("value"))).alias("a"),
-            F.max(F.when(F.col("has_high"), F.col("value"))).alias("b"),
-            F.max(F.col("at") - F.col("low")).alias("share"),
-        )
-        .withColumn("quantile", F.col("a") + (F.col("b") - F.col("a")) * F.col("share"))
+    top = {r["c"]: r["top"] for r in counted}
+    spread = [c for c in short if sizes[c] and top.get(c, 0) < support * sizes[c]]
+    if spread:
+        full = value_counts(rows, {c: c for c in spread}).groupBy("metric").agg(F.max("n").alias("top"))
+        top.update({r["metric"]: r["top"] for r in full.collect()})
+    return spark.createDataFrame(
+        [(metric, sizes[c], top[c]) for c, metric in short.items() if sizes[c]], "metric string, n long, top long"
     )
-    return placed.agg(*[
-        F.max(F.when(F.col("name") == name, F.col("quantile"))).alias(name) for name in wanted
-    ])
 
 
 def all_of(conditions: Sequence[Column]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.labels import seeded_hash
-from riskloom.operators.ordering import all_of, exact_quantiles, value_counts
+from riskloom.operators.ordering import all_of, exact_quantiles, heavy_values, value_counts
 from riskloom.plans.materialise import stored
 
 COLUMNS = ["check", "column", "metric", "value", "status"]
@@ -160,9 +160,10 @@ def check_padding(table: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def check_constant(table: DataFrame, columns: Sequence[str], share: float = 0.95) -> DataFrame:
     """Most frequent value's share of the non-null rows of each column."""
-    counts = value_counts(table, {c: c for c in columns})
-    top = F.max("n") / F.sum("n")
-    return counts.groupBy("metric").agg(top.alias("share")).select(
+    if not columns:
+        return table.sparkSession.createDataFrame([], "check string, column string, metric string, value double, status string")
+    counts = heavy_values(table, {c: c for c in columns})
+    return counts.withColumn("share", F.col("top") / F.col("n")).select(
         F.lit("constant").alias("check"), F.col("metric").alias("column"),
         F.lit("top_value_percent").alias("metric"), (F.col("share") * 100).alias("value"),
         _status(F.col("share") > share, "WARN").alias("status"),
@@ -195,8 +196,8 @@ def numeric_columns(table: DataFrame) -> list[str]:
 def quality_report(table: DataFrame, roles: Mapping[str, Sequence[str]]) -> DataFrame:
     """All checks that give report rows.
 
-    ``roles`` names the columns: ``zscores``, ``flags``, ``recency``, ``required``,
-    ``padding`` and ``constant`` (all numeric ones where it is missing). Columns the table lacks are reported once and skipped after that.
+    ``roles`` names the columns: ``zscores``, ``flags``, ``recency``, ``required`` and ``padding``. Columns the table
+    lacks are reported once and skipped after that. Every numeric column is checked for a dominant value.
     """
     def have(role: str) -> list[str]:
         return [c for c in roles.get(role, ()) if c in table.columns]
@@ -208,6 +209,6 @@ def quality_report(table: DataFrame, roles: Mapping[str, Sequence[str]]) -> Data
         check_dates(table, F.col("day")), check_zscores(table, have("zscores")),
         check_flags(table, have("flags")), *[check_recency(table, c) for c in have("recency")],
         check_padding(table, have("padding")),
-        check_constant(table, roles.get("constant", numeric_columns(table))),
+        check_constant(table, numeric_columns(table)),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

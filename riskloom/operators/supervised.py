@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.config import ForestSettings, HOLDOUT_FOREST, REPORT_ROWS
@@ -17,7 +17,7 @@ from riskloom.operators.assemble import align, imputed
 from riskloom.operators.labels import (
     holdout_users, insider_users, stratified_folds, with_class_weights,
 )
-from riskloom.operators.ordering import running_totals
+from riskloom.operators.ordering import exact_quantiles, running_totals
 from riskloom.plans.materialise import stored
 
 SCORE = "supervised_score"
@@ -28,16 +28,43 @@ def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features")
 
 
+def fitting_rows(
+    table: DataFrame, settings: ForestSettings, keys: Sequence[str] = ("user", "day"), share: Column | None = None
+) -> DataFrame:
+    """Weighted rows that a fit reads: every insider day, and at most ``fit_rows`` others.
+
+    Class weights come from all rows. Of the other days those with the largest priority stay: a seeded hash in (0, 1]
+    to the power 1 / ``share`` (1 for all rows by default), so a row is drawn in proportion to its share; the
+    cut is the exact order statistic, whatever the layout. Their weights grow by what was left out, which
+    keeps the balance of the classes. Up to ``fit_rows`` other days nothing changes.
+    """
+    rows = with_class_weights(table, settings.weight_power)
+    insider = F.col("insider_label") == 1
+    n = table.agg(F.count_if(~insider)).first()[0]
+    k = settings.fit_rows
+    if n <= k:
+        return rows
+    even = (F.pmod(F.xxhash64(*keys, F.lit(settings.seed)), F.lit(1 << 53)) + 1) / float(1 << 53)
+    priority = F.when(~insider, even if share is None else F.pow(even, 1 / share))
+    # Between the position of the last row left out and that of the first one kept.
+    placed = rows.withColumn("__priority", priority)
+    cut = exact_quantiles(placed, {"p": "__priority"}, {"cut": ("p", (n - k - 0.5) / (n - 1))}).first()["cut"]
+    return (
+        placed.where(insider | (F.col("__priority") > cut))
+        .withColumn("weight", F.when(insider, F.col("weight")).otherwise(F.col("weight") * (n / k))).drop("__priority")
+    )
+
+
 def fit_forest(
-    table: DataFrame, features: Sequence[str], settings: ForestSettings = ForestSettings()
+    table: DataFrame, features: Sequence[str], settings: ForestSettings = ForestSettings(), keys: Sequence[str] = ("user", "day")
 ) -> PipelineModel:
-    """Fit on labelled rows with class weights. The table is read several times: store it first."""
+    """Fit on the weighted ``fitting_rows``. The table is read several times: store it first."""
     forest = RandomForestClassifier(
         labelCol="insider_label", featuresCol="features", weightCol="weight",
         numTrees=settings.trees, maxDepth=settings.depth, minInstancesPerNode=settings.min_leaf,
-        featureSubsetStrategy=settings.feature_subset, seed=settings.seed,
+        featureSubsetStrategy=settings.feature_subset, seed=settings.seed, bootstrap=settings.bootstrap,
     )
-    rows = imputed(with_class_weights(table, settings.weight_power), features)
+    rows = imputed(fitting_rows(table, settings, keys), features)
     vectors = assembler(features).transform(rows).select("features", "insider_label", "weight")
     return PipelineModel([assembler(features), forest.fit(vectors)])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from riskloom.config import DetectorSettings, MODEL_FEATURES
+from riskloom.config import DetectorSettings, ForestSettings, MODEL_FEATURES
 from riskloom.operators import envelope, explain, supervised
 from riskloom.operators.assemble import imputed
 from riskloom.operators.detectors import unsupervised
@@ -126,6 +126,47 @@ def deployment_run(spark, sf):
     return users
 
 
+# One tree of one split on 0/1 columns: small enough for SQL to find the same split and the same leaves. Two leaves that
+# name the same class are one leaf.
+SWITCHES = ["weekend_session_flag", "usb_after_hours_flag", "usb_on_weekend_flag", "job_site_visits_flag", "job_search_plus_usb_week"]
+STUMP = ForestSettings(trees=1, depth=1, min_leaf=1, bootstrap=False)
+_WEIGHED = """weighed as (select usr, day, insider_label, {columns},
+    pow(count(*) over () / (2.0 * count(*) over (partition by insider_label)), 2) as weight from labelled)""".format(
+    columns=", ".join(f"coalesce({c}, 0) as {c}" for c in SWITCHES))
+_SIDES = " union all ".join(
+    f"""select {i} as place, '{c}' as feature, {c} as side, sum(weight) as w,
+    coalesce(sum(weight) filter (insider_label = 1), 0) as w1 from weighed group by {c}""" for i, c in enumerate(SWITCHES))
+_BEST = f"""{_WEIGHED}, sides as ({_SIDES}), purity as (
+    select place, feature, sum(w * (1 - pow(w1 / w, 2) - pow(1 - w1 / w, 2))) as impurity
+    from sides group by place, feature having count(*) = 2
+), best as (select feature from purity order by round(impurity, 9), place limit 1),
+told as (select count(distinct s.w1 / s.w > 0.5) = 2 as apart, sum(s.w1) / sum(s.w) as whole
+    from best b join sides s on s.feature = b.feature)"""
+
+
+def _stump(spark, sf):
+    table = _stored_days(spark, sf)
+    return table, supervised.fit_forest(table, SWITCHES, STUMP)
+
+
+@query(with_steps(f"""select * from (with {_BEST}
+    select w.usr as "user", w.day, round(case when t.apart then s.w1 / s.w else t.whole end, 6) as supervised_score
+    from weighed w, best b, sides s, told t where s.feature = b.feature and s.side = case b.feature {" ".join(f"when '{c}' then w.{c}" for c in SWITCHES)} end)""", "labelled"))
+def stump_scores(spark, sf):
+    """Insider probability of every user-day from a forest of one split."""
+    table, model = _stump(spark, sf)
+    return rounded(supervised.with_forest_score(table, model).select("user", "day", supervised.SCORE))
+
+
+@query(with_steps(f"""select * from (with {_BEST}, names as ({" union all ".join(f"select '{c}' as feature" for c in SWITCHES)})
+    select n.feature, case when t.apart and n.feature = b.feature then 1.0::double else 0.0::double end as importance
+    from names n, best b, told t)""", "labelled"))
+def stump_importances(spark, sf):
+    """Importances of a forest of one split: its feature has all."""
+    table, model = _stump(spark, sf)
+    return supervised.feature_importances(table, model)
+
+
 # Properties that hold for every row, whatever was drawn: Spark computes them from the
 # models' results, the SQL names the rows and the value that each must have.
 _DAYS = 'select usr as "user", day'

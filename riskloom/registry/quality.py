@@ -173,13 +173,12 @@ def sampled_users(spark, sf):
 @query(" union all ".join(
     f"select * from ({CHECKS[name]})" for name in (
         "quality_shape", "quality_required_columns", "quality_dates", "quality_zscores", "quality_flags",
-        "quality_padding", "quality_constant_columns",
+        "quality_padding", "quality_constant_numeric_columns",
     )
 ))
 def quality_report(spark, sf):
     """All checks as one report."""
     roles = {
         "zscores": ZSCORES, "flags": FLAGS, "required": REQUIRED, "padding": PADDING,
-        "constant": [*ZSCORES, *FLAGS, *COUNTS],
     }
     return rounded(quality.quality_report(rounded(corpus(spark, sf)), roles))

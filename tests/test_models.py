@@ -177,3 +177,100 @@ def test_evaluation_loops(table):
     assert got["roc_auc"]["runs"] == 2 and got["roc_auc"]["mean"] > 0.8
     folds = supervised.cross_validation_runs(table, NAMES, 2, SMALL).collect()
     assert [r["fold"] for r in sorted(folds)] == [0, 1] and all(r["roc_auc"] > 0.8 for r in folds)
+
+
+def plain_tree(rows, depth):
+    """Best weighted Gini splits by trying all; gives the score of a row and the share of each feature in the gain.
+
+    Leaves of one parent that name the same class are one leaf.
+    """
+    def gini(part):
+        w = sum(x[2] for x in part)
+        p = sum(x[2] for x in part if x[1]) / w
+        return 1 - p * p - (1 - p) * (1 - p)
+
+    def grow(part, left):
+        w = sum(x[2] for x in part)
+        leaf = {"share": sum(x[2] for x in part if x[1]) / w}
+        best = None
+        for f in range(len(part[0][0])) if left else ():
+            values = sorted({x[0][f] for x in part})
+            for a, b in zip(values, values[1:]):
+                cut = (a + b) / 2
+                sides = [x for x in part if x[0][f] <= cut], [x for x in part if x[0][f] > cut]
+                gain = gini(part) - sum(sum(x[2] for x in s) / w * gini(s) for s in sides)
+                if gain > 1e-12 and (best is None or gain > best[0] + 1e-12):
+                    best = gain, f, cut, sides
+        if best is None:
+            return leaf
+        kids = [grow(s, left - 1) for s in best[3]]
+        if all("share" in k for k in kids) and len({k["share"] > 0.5 for k in kids}) == 1:
+            return leaf
+        return {"feature": best[1], "cut": best[2], "kids": kids, "gain": best[0] * w}
+
+    def score(node, row):
+        while "share" not in node:
+            node = node["kids"][int(row[node["feature"]] > node["cut"])]
+        return node["share"]
+
+    gains = {}
+
+    def gather(node):
+        if "share" not in node:
+            gains[node["feature"]] = gains.get(node["feature"], 0.0) + node["gain"]
+            for k in node["kids"]:
+                gather(k)
+
+    top = grow(rows, depth)
+    gather(top)
+    return lambda row: score(top, row), {f: g / sum(gains.values()) for f, g in gains.items()}
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_a_small_tree_has_the_scores_and_importances_worked_out_by_hand(spark, depth):
+    rng = np.random.default_rng(depth)
+    x = rng.integers(0, 6, size=(300, 3)).astype(float)
+    y = ((x[:, 1] > 3) & (x[:, 0] < 4) | (rng.random(300) < 0.05)).astype(int)
+    data = [(f"u{i}", D, *map(float, x[i]), int(y[i])) for i in range(300)]
+    table = spark.createDataFrame(data, "user string, day date, f0 double, f1 double, f2 double, insider_label int").repartition(3)
+    model = supervised.fit_forest(table, NAMES, ForestSettings(trees=1, depth=depth, min_leaf=1, bootstrap=False))
+    weight = {c: (300 / (2 * (y == c).sum())) ** 2 for c in (0, 1)}
+    score, shares = plain_tree([(tuple(r), bool(c), weight[c]) for r, c in zip(x, y)], depth)
+    got = {r["user"]: r[supervised.SCORE] for r in supervised.with_forest_score(table, model).collect()}
+    assert all(got[f"u{i}"] == pytest.approx(score(x[i]), abs=1e-9) for i in range(300))
+    found = {r["feature"]: r["importance"] for r in supervised.feature_importances(table, model).collect()}
+    assert all(found[f"f{f}"] == pytest.approx(shares.get(f, 0.0), abs=1e-9) for f in range(3))
+
+
+def test_a_bounded_fit_keeps_every_insider_day_and_the_balance(table):
+    settings = ForestSettings(fit_rows=100)
+    whole = supervised.fitting_rows(table, ForestSettings()).collect()
+    some = supervised.fitting_rows(table, settings).collect()
+    again = supervised.fitting_rows(table.repartition(9), settings).collect()
+    insiders = [r for r in whole if r["insider_label"]]
+    assert sorted(map(str, some)) == sorted(map(str, again))
+    assert sorted(map(str, insiders)) == sorted(str(r) for r in some if r["insider_label"])
+    others = [r for r in some if not r["insider_label"]]
+    assert len(others) == 100
+    assert sum(r["weight"] for r in others) == pytest.approx(sum(r["weight"] for r in whole if not r["insider_label"]))
+    model = supervised.fit_forest(table, NAMES, ForestSettings(trees=12, depth=4, min_leaf=5, fit_rows=100))
+    assert supervised.roc_auc(supervised.with_forest_score(table, model)).first()[0] > 0.9
+    assert supervised.with_forest_score(table, model).count() == table.count()
+
+
+def test_a_share_makes_rows_likelier_to_be_fitted(table):
+    heavy = F.when(F.col("f2") > 0, 20.0).otherwise(1.0)
+    rows = supervised.fitting_rows(table, ForestSettings(fit_rows=120), share=heavy).where("insider_label = 0").collect()
+    assert len(rows) == 120 and sum(r["f2"] > 0 for r in rows) > 90
+
+
+def test_isolation_samples_draw_each_row_alike(spark):
+    table = spark.range(20_000).select(F.col("id").cast("string").alias("user"), F.lit(D).alias("day"), (F.col("id") % 7).cast("double").alias("x"))
+    settings = DetectorSettings(isolation_trees=50, isolation_sample=100)
+    drawn = isolation.keyed_samples(table, ["user", "x"], ("user", "day"), 20_000, settings)
+    sizes = {r["tree"]: r["count"] for r in drawn.groupBy("tree").count().collect()}
+    assert set(sizes) == set(range(50)) and all(60 <= n <= 100 for n in sizes.values())
+    picked = drawn.groupBy("user").count().collect()
+    assert max(r["count"] for r in picked) <= 6 and len(picked) > 3_000
+    few = isolation.keyed_samples(table.limit(30), ["x"], ("user", "day"), 30, settings).groupBy("tree").count().collect()
+    assert len(few) == 50 and {r["count"] for r in few} == {30}
