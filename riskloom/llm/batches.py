@@ -6,6 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+# Bytes of text that a task turns into Python objects at a time.
+TEXT_BYTES = 1 << 19
+
+
+def bounded_rows(parts: Iterator[pa.RecordBatch], column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows of batches, in order, with about ``most`` bytes of a text column at a time; a longer text stands alone."""
+    for part in parts:
+        sizes = np.array(pc.fill_null(pc.binary_length(part.column(column)), 0))
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+        for begin, end in zip([0, *cuts], [*cuts, part.num_rows]):
+            yield part.slice(begin, end - begin)
 
 
 def whole_groups(parts: Iterator[pa.RecordBatch], keys: list[str], most: int = 50_000) -> Iterator[pa.Table]:

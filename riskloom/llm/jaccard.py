@@ -5,31 +5,35 @@ bucket; large buckets are cut into blocks, and every pair of blocks is a job of
 bounded size. In a job, pairs are compared a few MinHash values at a time and dropped
 once the posterior probability of reaching the threshold is below a tolerance; the rest
 are checked on the shingles themselves. A pair is handled in the first band it shares only.
-Jobs return a row per node, never one per pair.
+Jobs run twice: on sketches alone, to name the nodes of surviving pairs, and for these with their
+shingles, where the same pairs survive and are checked. Pairs exist a bounded number at a time and are never
+stored; jobs return a row per node.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.batches import binary_numbers, group_starts, whole_groups
+from riskloom.llm.batches import binary_numbers, bounded_rows, group_starts, whole_groups
 from riskloom.llm.components import components
+from riskloom.llm.shingles import BAND_ROWS, BANDS, HASHES, minhashes, set_digest, shingles
 from riskloom.llm.spread import seen_filter, with_seen
-from riskloom.llm.shingles import BANDS, HASHES, minhashes, set_digest, shingles
 from riskloom.plans.materialise import stored
 
 THRESHOLD = 0.8
-TOLERANCE = 1e-5
+# With six steps it costs less than 2e-6 of the pairs at the threshold (see ``lost_share``).
+TOLERANCE = 3e-7
 # MinHash values compared at a time.
 STEP = 16
-# Shingles that a block holds on average: 8 bytes each, two blocks in a job.
-BLOCK_SHINGLES = 1 << 20
+# Shingles (8 bytes each) and nodes that a block holds on average; a job holds two blocks.
+BLOCK_SHINGLES, BLOCK_NODES = 1 << 20, 1 << 11
 _PAIRS = 1 << 16
 JOB = ["band", "bucket", "low", "high"]
 
@@ -70,95 +74,116 @@ def _pairs(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         first = last
 
 
+def lost_share(similarity: float, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> float:
+    """Share of the pairs of a similarity that are dropped at some step or share no band."""
+    once = [comb(STEP, k) * similarity ** k * (1 - similarity) ** (STEP - k) for k in range(STEP + 1)]
+    alive, lost = np.array([1.0]), (1 - similarity ** BAND_ROWS) ** BANDS
+    for least in least_matches(threshold, tolerance):
+        alive = np.convolve(alive, once)
+        lost += alive[:least].sum()
+        alive[:least] = 0
+    return float(lost)
+
+
+def _survivors(whole: pa.Table, threshold: float, keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (a, b), a < b, of the same job that survive the comparison, a bounded number at a time."""
+    starts = group_starts(whole, JOB)
+    ends = np.append(starts[1:], whole.num_rows)
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    values = binary_numbers(whole.column("sketch"), "<u2").reshape(-1, HASHES)
+    bands = np.ascontiguousarray(values).view("<u8")
+    n = whole.column("n").to_numpy()
+    block, band = whole.column("block").to_numpy(), whole.column("band").to_numpy()
+    apart = whole.column("low").to_numpy() != whole.column("high").to_numpy()
+    for a, b in _pairs(ends[group]):
+        ok = ~(apart[a] & (block[a] == block[b]))
+        ok &= np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
+        a, b = a[ok], b[ok]
+        ok = (bands[a] == bands[b]).argmax(axis=1) == band[a]
+        a, b = a[ok], b[ok]
+        equal = np.zeros(len(a), np.int64)
+        for k, least in enumerate(keep):
+            at = slice(k * STEP, (k + 1) * STEP)
+            equal += (values[a, at] == values[b, at]).sum(axis=1)
+            ok = equal >= least
+            a, b, equal = a[ok], b[ok], equal[ok]
+        if len(a):
+            yield a, b
+
+
 def _candidates(threshold: float, tolerance: float) -> Callable:
-    """Job rows to the nodes of surviving pairs with the positions of their partners."""
+    """Job rows to those of nodes with a surviving pair, without their sketches."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = least_matches(threshold, tolerance)
-        for whole in whole_groups(parts, JOB):
-            starts = group_starts(whole, JOB)
-            ends = np.append(starts[1:], whole.num_rows)
-            group = np.repeat(np.arange(len(starts)), ends - starts)
-            values = binary_numbers(whole.column("sketch"), "<u2").reshape(-1, HASHES)
-            bands = np.ascontiguousarray(values).view("<u8")
-            n = whole.column("n").to_numpy()
-            block, band = whole.column("block").to_numpy(), whole.column("band").to_numpy()
-            apart = whole.column("low").to_numpy() != whole.column("high").to_numpy()
-            kept = []
-            for a, b in _pairs(ends[group]):
-                ok = ~(apart[a] & (block[a] == block[b]))
-                ok &= np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
-                a, b = a[ok], b[ok]
-                shared = bands[a] == bands[b]
-                ok = shared.argmax(axis=1) == band[a]
-                a, b = a[ok], b[ok]
-                equal = np.zeros(len(a), np.int64)
-                for k, least in enumerate(keep):
-                    at = slice(k * STEP, (k + 1) * STEP)
-                    equal += (values[a, at] == values[b, at]).sum(axis=1)
-                    ok = equal >= least
-                    a, b, equal = a[ok], b[ok], equal[ok]
-                kept.append((a, b))
-            a = np.concatenate([p[0] for p in kept] or [np.zeros(0, np.int64)])
-            b = np.concatenate([p[1] for p in kept] or [np.zeros(0, np.int64)])
-            if len(a) == 0:
-                continue
-            used = np.unique(np.concatenate([a, b]))
-            first_used = np.searchsorted(used, starts)
-            place = np.searchsorted(used, np.arange(whole.num_rows + 1)) - np.append(first_used[group], 0)
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], b[order]
-            offsets = np.append(np.searchsorted(a, used), len(a))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place[b], pa.int32()))
-            rows = whole.select([*JOB, "node"]).take(pa.array(used))
-            yield from pa.table(
-                [*rows.columns, pa.array(place[used], pa.int32()), lists], [*JOB, "node", "place", "partners"]
-            ).combine_chunks().to_batches()
+        for whole in whole_groups(parts, JOB, 2 * BLOCK_NODES):
+            used = np.zeros(whole.num_rows, bool)
+            for a, b in _survivors(whole, threshold, keep):
+                used[a] = used[b] = True
+            if used.any():
+                rows = whole.select([*JOB, "block", "node"]).filter(pa.array(used))
+                yield from rows.combine_chunks().to_batches()
 
     return batches
 
 
-def _check(threshold: float) -> Callable:
-    """Job rows with shingles to a row per linked node: root, texts and documents linked."""
+class _Sets:
+    """Shingle sets of some rows, and the sizes of their common parts, one row against many."""
+
+    def __init__(self, packed: list[bytes]):
+        self.sizes = np.array([len(p) // 8 for p in packed])
+        _, self.codes = np.unique(np.frombuffer(b"".join(packed), "<u8"), return_inverse=True)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.marked = np.zeros(int(self.codes.max(initial=0)) + 1, bool)
+
+    def common(self, a: int, b: np.ndarray) -> np.ndarray:
+        """Shingles that row ``a`` shares with each of the rows ``b``."""
+        own = self.codes[self.at[a]:self.at[a + 1]]
+        self.marked[own] = True
+        low, high = int(b.min()), int(b.max()) + 1
+        if len(b) * 2 > high - low:
+            hits = self.marked[self.codes[self.at[low]:self.at[high]]].astype(np.int64)
+            shared = np.add.reduceat(hits, self.at[low:high] - self.at[low])[b - low]
+        else:
+            shared = np.array([np.count_nonzero(self.marked[self.codes[self.at[k]:self.at[k + 1]]]) for k in b])
+        self.marked[own] = False
+        return shared
+
+
+def _check(threshold: float, tolerance: float) -> Callable:
+    """Job rows with sketches and shingles to a row per linked node: root, texts and documents linked."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_groups(parts, [*JOB], 2_000):
-            starts = group_starts(whole, JOB)
-            for begin, end in zip(starts, np.append(starts[1:], whole.num_rows)):
-                job = whole.slice(begin, end - begin)
-                order = np.argsort(job.column("place").to_numpy())
-                job = job.take(pa.array(order)).combine_chunks()
-                sets = [np.frombuffer(x, "<u8") for x in job.column("shingles").to_pylist()]
-                copies = job.column("copies").to_numpy()
-                sizes = np.array([len(s) for s in sets])
-                _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                marked = np.zeros(int(codes.max()) + 1, bool)
-                texts = np.zeros(len(sets), np.int64)
-                docs = np.zeros(len(sets), np.int64)
-                root = np.arange(len(sets))
-                for a, partners in enumerate(job.column("partners").to_pylist()):
-                    if not partners:
-                        continue
-                    b = np.array(partners)
-                    own = codes[at[a]:at[a + 1]]
-                    marked[own] = True
-                    if len(b) * 2 > len(sets):
-                        shared = np.add.reduceat(marked[codes].astype(np.int64), at[:-1])[b]
-                    else:
-                        shared = np.array([np.count_nonzero(marked[codes[at[k]:at[k + 1]]]) for k in b])
-                    marked[own] = False
-                    linked = b[shared >= threshold * (sizes[a] + sizes[b] - shared) - 1e-9]
+        keep = least_matches(threshold, tolerance)
+        for whole in whole_groups(parts, JOB, BLOCK_NODES):
+            sets, copies = _Sets(whole.column("shingles").to_pylist()), whole.column("copies").to_numpy()
+            texts, docs = np.zeros(whole.num_rows, np.int64), np.zeros(whole.num_rows, np.int64)
+            # Rows of a class point to an earlier one of it, the first to itself.
+            root = list(range(whole.num_rows))
+
+            def top(k: int) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            for firsts, seconds in _survivors(whole, threshold, keep):
+                heads = np.flatnonzero(np.diff(firsts, prepend=-1))
+                for begin, end in zip(heads, np.append(heads[1:], len(firsts))):
+                    a, b = int(firsts[begin]), seconds[begin:end]
+                    shared = sets.common(a, b)
+                    linked = b[shared >= threshold * (sets.sizes[a] + sets.sizes[b] - shared) - 1e-9]
                     texts[a] += len(linked)
                     docs[a] += copies[linked].sum()
                     texts[linked] += 1
                     docs[linked] += copies[a]
-                    if len(linked):
-                        joined = np.unique(root[np.append(linked, a)])
-                        root[np.isin(root, joined[1:])] = joined[0]
-                used = pa.array(np.flatnonzero(texts))
-                nodes = job.column("node").combine_chunks()
+                    for k in linked.tolist():
+                        x, y = sorted((top(a), top(k)))
+                        root[y] = x
+            used = np.flatnonzero(texts)
+            if len(used):
+                nodes = whole.column("node").combine_chunks()
                 yield pa.RecordBatch.from_arrays([
-                    nodes.take(used), nodes.take(pa.array(root)).take(used),
-                    pa.array(texts).take(used), pa.array(docs).take(used),
+                    nodes.take(pa.array(used)), nodes.take(pa.array([top(k) for k in used.tolist()])),
+                    pa.array(texts[used]), pa.array(docs[used]),
                 ], ["node", "root", "texts", "docs"])
 
     return batches
@@ -167,7 +192,7 @@ def _check(threshold: float) -> Callable:
 def _sketches(key: str, with_sets: bool) -> Callable:
     """Rows (key, mark, text) to node, number of shingles and sketch (or the shingles)."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in bounded_rows(parts, 2):
             sets = [shingles(t) for t in part.column(2).to_pylist()]
             nodes = pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary())
             if with_sets:
@@ -184,7 +209,7 @@ def _sketches(key: str, with_sets: bool) -> Callable:
 
 def similar_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
-    tolerance: float = TOLERANCE, block_shingles: int = BLOCK_SHINGLES,
+    tolerance: float = TOLERANCE, block_shingles: int = BLOCK_SHINGLES, block_nodes: int = BLOCK_NODES,
 ) -> DataFrame:
     """One row per row of ``docs``: key, mark, class_id, links, linked_texts, copies, stays.
 
@@ -193,8 +218,8 @@ def similar_documents(
     ``linked_texts`` those among them with other shingles, each set of shingles once; ``copies`` the rows
     with the same shingles, this one included; ``stays`` marks the row that
     stands for its class; ``mark`` is a hash of the text. Texts without a word (null, empty,
-    signs only) link to nothing: each is its own class. Links are lost with a
-    probability below 3e-6 (no shared band at the threshold) plus the tolerance.
+    signs only) link to nothing: each is its own class. A link at the threshold is lost with a
+    probability of ``lost_share``, below 6e-6: 3.3e-6 without a shared band, the rest dropped by a step.
     """
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("__text"))
@@ -213,7 +238,7 @@ def similar_documents(
     ))
     banded = nodes.select("node", "n", F.explode(cut).alias("b")).select("b.band", "b.bucket", "node", "n")
     shared = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
-    blocks = F.ceil(F.col("total") / block_shingles)
+    blocks = F.greatest(F.ceil(F.col("total") / block_shingles), F.ceil(F.col("m") / block_nodes))
     members = banded.join(shared, ["band", "bucket"]).withColumn("blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks"))
     ).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -221,13 +246,12 @@ def similar_documents(
         "band", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         "block", "node", "n",
     ).join(nodes.select("node", "sketch"), "node")
-    job_types = "band int, bucket binary, low long, high long, node binary"
-    pairs = stored(
-        jobs.repartition(*JOB).sortWithinPartitions(*JOB)
-        .mapInArrow(_candidates(threshold, tolerance), f"{job_types}, place int, partners array<int>"),
-        "jaccard-pairs",
+    job_types = "band int, bucket binary, low long, high long, block long, node binary"
+    kept = stored(
+        jobs.repartition(*JOB).sortWithinPartitions(*JOB).mapInArrow(_candidates(threshold, tolerance), job_types),
+        "jaccard-candidates",
     )
-    reps = stored(pairs.select("node").distinct().join(nodes.select("node", "rep", "copies"), "node"), "jaccard-reps")
+    reps = stored(kept.select("node").distinct().join(nodes, "node"), "jaccard-reps")
     wanted = reps.select(F.col("rep.key").alias("__k"), F.col("rep.mark").alias("__m")).distinct()
     sets = (
         source.join(wanted, source["key"].eqNullSafe(F.col("__k")) & (source["mark"] == F.col("__m")), "left_semi")
@@ -235,10 +259,10 @@ def similar_documents(
         .where("node is not null").dropDuplicates(["node"]).select("node", "shingles")
     )
     linked = stored(
-        pairs.join(reps.select("node", "copies"), "node").join(sets, "node")
-        .select(*JOB, "node", "place", "partners", "copies", "shingles")
+        kept.join(reps.select("node", "n", "sketch", "copies"), "node").join(sets, "node")
+        .select(*JOB, "block", "node", "n", "sketch", "copies", "shingles")
         .repartition(*JOB).sortWithinPartitions(*JOB)
-        .mapInArrow(_check(threshold), "node binary, root binary, texts long, docs long"),
+        .mapInArrow(_check(threshold, tolerance), "node binary, root binary, texts long, docs long"),
         "jaccard-links",
     )
     found = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.batches import bounded_rows
 from riskloom.llm.quality import is_held_out
 
 UNKNOWN = "und"
@@ -199,7 +200,7 @@ def languages(docs: DataFrame, model: LanguageFilter, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in bounded_rows(parts, 1):
             found = [sent.value.predict(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],

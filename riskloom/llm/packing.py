@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.batches import bounded_rows
 from riskloom.llm.bins import Filling, pack_counts
 from riskloom.llm.spread import hashed_at, running_sums
 from riskloom.llm.tokens import token_ids
@@ -33,7 +34,7 @@ def token_pieces(
     extra = ", ids binary" if with_ids else ""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in bounded_rows(parts, 1):
             row, piece, start, length, crc, content = [], [], [], [], [], []
             for k, value in enumerate(part.column(1).to_pylist()):
                 ids = np.append(token_ids(value or ""), end_id).astype("<u4").tobytes()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.alignment import common_lines
-from riskloom.llm.batches import group_starts, whole_groups
+from riskloom.llm.batches import bounded_rows, group_starts, whole_groups
 from riskloom.operators.ordering import global_rank
 from riskloom.plans.materialise import stored
 
@@ -282,7 +282,7 @@ def _decisions(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _outlines(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
+    for part in bounded_rows(parts, 4):
         seen = [outline(p) for p in part.column(4).to_pylist()]
         yield pa.RecordBatch.from_arrays([
             *[part.column(k) for k in range(4)],
@@ -330,7 +330,7 @@ def shared_with_neighbours(pages: DataFrame, url: str = "url", page: str = "html
 def _wanted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages to their lines that can be main text, packed for the way to the decisions."""
     press = zstandard.ZstdCompressor(level=3)
-    for part in parts:
+    for part in bounded_rows(parts, 4):
         n_lines, places, packed = [], [], []
         for page in part.column(4).to_pylist():
             lines = page_lines(page)

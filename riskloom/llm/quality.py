@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.batches import bounded_rows
 from riskloom.llm.features import FEATURES, text_features
 from riskloom.llm.gam import AdditiveModel, fit_additive
 
@@ -20,7 +21,7 @@ KEEP_AT = 0.3
 def with_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, features) of every row; texts are read whole."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in bounded_rows(parts, 1):
             values = np.array([text_features(t) for t in part.column(1).to_pylist()]).reshape(-1)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(values, pa.float64()), len(FEATURES))
             yield pa.RecordBatch.from_arrays([part.column(0), lists.cast(pa.list_(pa.float64()))], [key, "features"])
@@ -73,7 +74,7 @@ def quality_scores(
     schema = docs.select(*columns).schema.add(names[0], "double").add(names[1], "integer")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in bounded_rows(parts, len(columns)):
             x = np.array([text_features(t) for t in part.column(part.num_columns - 1).to_pylist()])
             score = model.score(x.reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays(

@@ -64,10 +64,10 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("block", [1 << 20, 1500])
-def test_join_equals_brute_force(docs_of, block):
+@pytest.mark.parametrize("block, nodes", [(1 << 20, 1 << 11), (1500, 1 << 11), (1 << 20, 16)])
+def test_join_equals_brute_force(docs_of, block, nodes):
     rows = planted()
-    got = jaccard.similar_documents(docs_of(rows), block_shingles=block)
+    got = jaccard.similar_documents(docs_of(rows), block_shingles=block, block_nodes=nodes)
     found = sorted((r.doc_id, r.class_id, r.links, r.linked_texts, r.copies) for r in got.collect())
     assert found == brute_force(rows)
 
@@ -97,6 +97,38 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert (np.cumsum(far.sum(2), axis=1) >= least).all(1).mean() < 0.01
 
 
+def test_lost_links_are_as_few_as_stated():
+    assert jaccard.lost_share(0.8) < 6e-6 and jaccard.lost_share(0.8) - (1 - 0.8 ** 4) ** 24 < 2e-6
+    assert jaccard.lost_share(0.82) < 1e-6 and jaccard.lost_share(0.85) < 4e-8
+    assert jaccard.lost_share(0.8, tolerance=1e-5) > 7e-5
+
+
+def test_a_large_group_of_near_copies_needs_little_memory():
+    """Every pair of a job survives: pairs are checked as they come, and no list of them is kept."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n = 3_000
+    base = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:97], rng.integers(0, 1 << 63, 3).astype(np.uint64)])) for _ in range(n)]
+    same = lambda v, kind: pa.array([v] * n, kind)
+    rows = pa.record_batch([
+        same(0, pa.int32()), same(b"bucket00", pa.binary()), same(0, pa.int64()), same(0, pa.int64()), same(0, pa.int64()),
+        pa.array([k.to_bytes(16, "little") for k in range(n)]), pa.array([len(s) for s in sets], pa.int32()),
+        pa.array([np.r_[minhashes(base[:97])[:4], minhashes(s)[4:]].astype("<u2").tobytes() for s in sets]), same(1, pa.int64()),
+        pa.array([s.astype("<u8").tobytes() for s in sets]),
+    ], [*jaccard.JOB, "block", "node", "n", "sketch", "copies", "shingles"])
+    tracemalloc.start()
+    used = sum(b.num_rows for b in jaccard._candidates(0.8, jaccard.TOLERANCE)(iter([rows])))
+    found = pa.Table.from_batches(jaccard._check(0.8, jaccard.TOLERANCE)(iter([rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used == n and set(found.column("texts").to_pylist()) == {n - 1}
+    assert len(set(found.column("root").to_pylist())) == 1 and peak < 60e6
+
+
 def test_minhash_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 64, 2000, dtype=np.uint64)
