@@ -16,6 +16,7 @@ from riskloom.operators.daily import (
     daily_with_diversity, device_rows, diversity_rows, monthly_diversity, stack, web_rows,
 )
 from riskloom.operators.sessions import host_session_days
+from riskloom.plans.materialise import stored
 from riskloom.sources.event_xml import device_events, security_events
 from riskloom.sources.logs import browser_events, union_sources
 
@@ -70,9 +71,10 @@ def exported_host_log(
 ) -> DataFrame:
     """Exported device XML, session XML (with its ``source``) and browser visits as one host log.
 
-    Rows without a time belong to no day and are left out; ``days`` limits the visits.
+    Rows without a time belong to no day and are left out; ``days`` limits the visits. The log is written once: XML
+    is parsed here and by none of the steps that follow.
     """
     log = union_sources(
         device_events(device_xml), security_events(session_xml), browser_events(visits, as_of, days)
     )
-    return log.where(F.col("ts").isNotNull())
+    return stored(log.where(F.col("ts").isNotNull()), "exported-log")

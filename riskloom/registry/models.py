@@ -13,6 +13,7 @@ from riskloom.operators.isolation import fit_isolation
 from riskloom.operators.labels import insider_users
 from riskloom.plans.host import host_report_days
 from riskloom.plans.materialise import new_path, stored
+from riskloom.plans import runs
 from riskloom.plans.training import deploy, train
 from riskloom.registry import views
 from riskloom.registry.core import query, rounded
@@ -22,6 +23,12 @@ from riskloom.registry.sql_views import with_steps
 from riskloom.sources import stores
 
 FEATURES = list(MODEL_FEATURES)
+_DAYS = 'select usr as "user", day'
+
+
+def _gap(value):
+    """A difference as whole millionths, so that rounding noise is nothing."""
+    return F.round(value * 1_000_000).cast("long")
 
 
 def _stored_days(spark, sf):
@@ -114,18 +121,98 @@ def training_run(spark, sf):
     return result.users
 
 
+def _host_days(spark, sf):
+    return host_report_days(
+        views.host_events(spark, sf), views.DEVICE_VIEW_PATTERN, views.HOST_VIEW, views.CLEANING_VIEW
+    ).withColumn("day", F.col("date")).drop("date")
+
+
 @query()
 def deployment_run(spark, sf):
     """A training run's models applied to the host user-days: the ranked user report."""
     result = train(corpus(spark, sf), views.incidents(spark, sf), views.VERSION)
     limits = result.thresholds.first()  # one row
-    days = host_report_days(
-        views.host_events(spark, sf), views.DEVICE_VIEW_PATTERN, views.HOST_VIEW, views.CLEANING_VIEW
-    ).withColumn("day", F.col("date")).drop("date")
+    days = _host_days(spark, sf)
     _, users, _ = deploy(days, result.models, (limits["iso_score_min"], limits["iso_score_max"]))
     return users
 
 
+def _saved(spark, sf, evaluated=False):
+    """A small training run, written to a folder of its own."""
+    small = ForestSettings(trees=20, min_leaf=10)
+    result = train(corpus(spark, sf), views.incidents(spark, sf), views.VERSION, small, evaluated=evaluated, seeds=range(2), folds=2)
+    return result, runs.save_run(result, new_path(spark, "run"))
+
+
+@query(with_steps("""select 'days' as name, count(*) as rows, count(*) as rows_now from labelled
+    union all select 'users', count(distinct usr), count(distinct usr) from labelled
+    union all select 'attributions', sum(least(n, 3))::bigint, sum(least(n, 3))::bigint from (select count(*) as n from labelled group by usr)
+    union all select 'explanations', 5 * sum(least(n, 3))::bigint, 5 * sum(least(n, 3))::bigint from (select count(*) as n from labelled group by usr)
+    union all select 'thresholds', 1, 1 union all select 'run', 1, 1""", "labelled"))
+def saved_run_parts(spark, sf):
+    """Tables of a saved run, as its manifest and its folder have them."""
+    _, run = _saved(spark, sf)
+    return runs.rows_by_part(runs.open_run(spark, run.path, verify=True))
+
+
+@query(with_steps(f"""select '{views.VERSION}' as version, count(*) as rows, count(distinct usr) as users,
+    count(*) filter (insider_label = 1) as insider_days,
+    count(distinct case when insider_label = 1 then usr end) as insider_users from labelled""", "labelled"))
+def saved_run_summary(spark, sf):
+    """The run's own line, read from its folder."""
+    _, run = _saved(spark, sf)
+    return run.table("run").select("version", "rows", "users", "insider_days", "insider_users")
+
+
+@query()
+def saved_run_explanations(spark, sf):
+    """The five largest contributions to each explained day of a saved run, for readers."""
+    _, run = _saved(spark, sf)
+    return run.table("explanations")
+
+
+@query(with_steps("""select sum(least(n, 3))::bigint as days, 0::bigint as differing
+    from (select count(*) as n from labelled group by usr)""", "labelled"))
+def explanations_agree(spark, sf):
+    """Explained days, and those whose listed contributions are not the five largest, in order, with their direction."""
+    _, run = _saved(spark, sf)
+    said = run.table("explanations").groupBy("user", "day").agg(
+        F.sort_array(F.collect_list(F.struct("feature_rank", "contribution", "direction"))).alias("said")
+    )
+    sizes = F.sort_array(F.array(*[F.abs(F.col(c)) for c in FEATURES]), asc=False)
+    largest = run.table("attributions").select("user", "day", F.slice(sizes, 1, 5).alias("largest"))
+    gap = F.aggregate(
+        F.arrays_zip("largest", "said"), F.lit(0.0),
+        lambda total, x: total + F.abs(x["largest"] - F.abs(x["said"]["contribution"]))
+        + F.when((x["said"]["contribution"] > 0) == (x["said"]["direction"] == "up"), 0.0).otherwise(1.0),
+    )
+    return largest.join(said, ["user", "day"], "left").agg(
+        F.count(F.lit(1)).alias("days"), F.count_if(F.coalesce(_gap(gap) != 0, F.lit(True))).alias("differing")
+    )
+
+
+@query()
+def training_evaluation(spark, sf):
+    """Holdout and cross-validation inside a training run."""
+    result, _ = _saved(spark, sf, evaluated=True)
+    return result.evaluation.metrics
+
+
+@query(with_steps("select count(distinct usr) as users, 0::bigint as differing from host_clean_days", "host_clean_days"))
+def saved_run_deploys_alike(spark, sf):
+    """Users whose report differs when the models and limits come from the folder."""
+    result, run = _saved(spark, sf)
+    days = stored(_host_days(spark, sf), "host-days")
+    limits = result.thresholds.first()  # one row
+    _, users, _ = deploy(days, result.models, (limits["iso_score_min"], limits["iso_score_max"]))
+    _, again, _ = runs.deploy_run(run, days)
+    both = users.join(again.select("user", F.col("final_risk_score").alias("again")), "user", "full")
+    return both.agg(
+        F.count(F.lit(1)).alias("users"),
+        F.count_if(F.coalesce(_gap(F.col("final_risk_score") - F.col("again")) != 0, F.lit(True))).alias("differing"),
+    )
+
+
 # One tree of one split on 0/1 columns: small enough for SQL to find the same split and the same leaves. Two leaves that
 # name the same class are one leaf.
 SWITCHES = ["weekend_session_flag", "usb_after_hours_flag", "usb_on_weekend_flag", "job_site_visits_flag", "job_search_plus_usb_week"]
@@ -169,14 +256,6 @@ def stump_importances(spark, sf):
 
 # Properties that hold for every row, whatever was drawn: Spark computes them from the
 # models' results, the SQL names the rows and the value that each must have.
-_DAYS = 'select usr as "user", day'
-
-
-def _gap(value):
-    """A difference as whole millionths, so that rounding noise is nothing."""
-    return F.round(value * 1_000_000).cast("long")
-
-
 @query(with_steps(f"{_DAYS}, insider_label, true as bounded from labelled", "labelled"))
 def forest_scores_bounded(spark, sf):
     """Every labelled day has a probability."""
