@@ -11,10 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 
 Filling = tuple[int, ...]  # sizes, largest first
-# Fillings tried around one largest piece, and steps of the whole search. The best packing
-# found so far is the answer when the steps are used up; no piece is ever left out.
-BRANCHES = 4
-WIDTH = 48
+# Steps of the whole search, whatever the input. The best packing found so far is the answer when they are used up;
+# no piece is ever left out.
 STEPS = 3000
 
 
@@ -49,60 +47,58 @@ def best_fit(counts: np.ndarray, room: int) -> list[tuple[Filling, int]]:
     return [(filling, times) for held in spare.values() for filling, times in held.items()]
 
 
-def completions(counts: np.ndarray, room: int, most: int = BRANCHES) -> Iterator[tuple[int, ...]]:
-    """Fillings of ``room`` around a largest piece: least waste first, then fewest pieces.
+def _reachable(sizes: list[int], most: list[int], room: int) -> list[int]:
+    """For every place in ``sizes``, the sums up to ``room`` that the sizes from there on can have, as bits."""
+    mask = (1 << (room + 1)) - 1
+    sums = [1] * (len(sizes) + 1)
+    for i in range(len(sizes) - 1, -1, -1):
+        now, n, times = sums[i + 1], most[i], 1
+        while n > 0:
+            times = min(times, n)
+            now |= now << (sizes[i] * times) & mask
+            n, times = n - times, times * 2
+        sums[i] = now
+    return sums
 
-    One piece that fills the room dominates every other filling and is the only one given.
-    Otherwise the best single piece, pairs and triples are compared; in a pair or triple the
-    last piece is the largest that still fits, as any smaller one would be dominated.
+
+def completions(counts: np.ndarray, room: int, most_waste: int | None = None) -> Iterator[Filling]:
+    """All undominated fillings of ``room`` with the pieces that are left, least waste first, found as they are asked for.
+
+    A filling is dominated if a piece left over would still fit beside it, or in the place of a smaller
+    one of its pieces. One piece that fills the room dominates every other filling. Fillings of any number of
+    pieces are given; those of equal waste come largest piece first. Only ``most_waste`` ends the list early.
     """
-    if room <= 0 or not counts[1:room + 1].any():
-        yield ()
-        return
-    if counts[room] > 0:
+    if room > 0 and counts[room] > 0:
         yield (room,)
         return
-    fitting = np.maximum.accumulate(np.where(counts[:room + 1] > 0, np.arange(room + 1), 0))
-    sizes = np.flatnonzero(counts[:room + 1])[::-1]
-    sizes = sizes[sizes > 0]
-    a = sizes
-    b = fitting[np.minimum(a, room - a)]
-    b = np.where((b == a) & (counts[a] < 2), fitting[np.maximum(a - 1, 0)], b)
-    found = [(room - int(fitting[room]), 1, (int(fitting[room]),))]
-    pairs = np.flatnonzero(b > 0)
-    for k in pairs[np.argsort(a[pairs] * -1 - b[pairs], kind="stable")[:most]]:
-        found.append((room - int(a[k] + b[k]), 2, (int(a[k]), int(b[k]))))
-    if min(found)[0] > 0:
-        a, b = sizes[:WIDTH, None], sizes[None, :]
-        left = room - a - b
-        c = fitting[np.clip(np.minimum(b, left), 0, room)]
-        ok = (
-            (b <= a) & (left > 0) & (c > 0) & (counts[c] >= 1 + (c == b) + (c == a)) & (counts[b] >= 1 + (a == b))
-        )
-        wasted = np.where(ok, left - c, room)
-        for k in np.argsort(wasted, axis=None, kind="stable")[:most]:
-            i, j = divmod(int(k), wasted.shape[1])
-            if ok[i, j]:
-                found.append((int(wasted[i, j]), 3, (int(a[i, 0]), int(b[0, j]), int(c[i, j]))))
-    for _, _, filling in sorted(found, key=lambda f: (f[0], f[1], tuple(-s for s in f[2])))[:most]:
-        yield filling
-
-
-def _whole(filling: tuple[int, ...], counts: np.ndarray, room: int) -> tuple[Filling, int]:
-    """The filling with its leftover room filled greedily, and how often the counts allow it."""
-    need: dict[int, int] = {}
-    for size in filling:
-        need[size] = need.get(size, 0) + 1
-    left = room - sum(filling)
-    for size in np.flatnonzero(counts[:left + 1])[::-1]:
-        size = int(size)
-        if 0 < size <= left:
-            extra = min(left // size, int(counts[size]) - need.get(size, 0))
-            if extra > 0:
-                need[size] = need.get(size, 0) + extra
-                left -= extra * size
-    times = min(int(counts[s]) // k for s, k in need.items())
-    return tuple(s for s in sorted(need, reverse=True) for _ in range(need[s])), times
+    sizes = [int(s) for s in np.flatnonzero(counts[:max(0, room) + 1])[::-1] if s > 0]
+    most = [min(int(counts[s]), room // s) for s in sizes]
+    sums = _reachable(sizes, most, max(0, room))
+    held = {s: int(counts[s]) for s in sizes}
+
+    def exact(i: int, total: int) -> Iterator[list[tuple[int, int]]]:
+        if total == 0:
+            yield []
+            return
+        for j in range(i, len(sizes)):
+            if not sums[j] >> total & 1:
+                return
+            for times in range(min(most[j], total // sizes[j]), 0, -1):
+                rest = total - times * sizes[j]
+                if sums[j + 1] >> rest & 1:
+                    for more in exact(j + 1, rest):
+                        yield [(sizes[j], times), *more]
+
+    def dominated(used: dict[int, int], waste: int) -> bool:
+        spare = [s for s in sizes if held[s] > used.get(s, 0)]
+        return any(s <= waste or any(0 < s - own <= waste for own in used) for s in spare)
+
+    last = max(0, room) if most_waste is None else min(max(0, room), most_waste)
+    for waste in range(last + 1):
+        if sums[0] >> (room - waste) & 1:
+            for chosen in exact(0, room - waste):
+                if not waste or not dominated(dict(chosen), waste):
+                    yield tuple(s for s, times in chosen for _ in range(times))
 
 
 def least_bins(counts: np.ndarray, room: int) -> int:
@@ -128,8 +124,9 @@ def pack_counts(counts: np.ndarray, room: int, steps: int = STEPS) -> list[tuple
     """Fillings of at most ``room`` and how often each is used, in as few bins as found.
 
     ``counts[s]`` pieces have size s (1..room). Depth-first: the largest piece left is
-    completed in each undominated way, least waste first; a branch ends when its waste exceeds
-    what a packing better than the best one could have. Best fit gives the first best one.
+    completed in each undominated way, least waste first, as often as the counts allow and then once; a branch ends
+    when its waste exceeds what a packing better than the best one could have. Best fit gives the first
+    best one, and the search ends at ``least_bins``, when nothing is left to try, or after ``steps``.
     """
     counts = np.asarray(counts, np.int64)
     total = int((counts * np.arange(len(counts))).sum())
@@ -142,48 +139,52 @@ def pack_counts(counts: np.ndarray, room: int, steps: int = STEPS) -> list[tuple
     path: list[tuple[Filling, int]] = []
     waste = 0
 
-    def ways() -> Iterator[tuple[int, ...]]:
+    def spare() -> int:
+        """Waste that a packing better than the best one may still add."""
+        return (n_best - 1) * room - total - waste
+
+    def ways() -> Iterator[tuple[Filling, int]]:
         top = int(np.flatnonzero(left)[-1])
-        left[top] -= 1
-        found = [(top, *c) for c in completions(left, room - top)]
-        left[top] += 1
-        return iter(found)
+        now = left.copy()
+        now[top] -= 1
+        for rest in completions(now, room - top, spare()):
+            filling = (top, *rest)
+            need = np.bincount(filling)
+            times = int((left[:len(need)][need > 0] // need[need > 0]).min())
+            yield filling, times
+            if times > 1:
+                yield filling, 1
 
     def apply(filling: Filling, times: int) -> None:
         for size in filling:
             left[size] -= times
 
-    stack = [ways()]
+    stack = [ways()] if spare() >= 0 else []
     while stack and steps > 0 and n_best > least:
         steps -= 1
         way = next(stack[-1], None)
-        if way is None:
+        filling, times = way or ((), 0)
+        each = room - sum(filling)
+        # Ways come with growing waste: none that follows one too wasteful can be better.
+        if way is None or each > spare():
             stack.pop()
             if path:
                 filling, times = path.pop()
                 apply(filling, -times)
                 waste -= (room - sum(filling)) * times
             continue
-        filling, times = _whole(way, left, room)
-        each = room - sum(filling)
-        # The best packing may have improved since: then there may be no waste left to spend.
-        spare = (n_best - 1) * room - total - waste
-        if spare < 0 or each > spare:
+        if each * times > spare():
             continue
-        if each * times > spare:
-            # One such bin at a time may still be affordable where many are not.
-            times = 1
-        lost = each * times
         apply(filling, times)
         path.append((filling, times))
-        waste += lost
+        waste += each * times
         if left.any():
             stack.append(ways())
             continue
         n = sum(t for _, t in path)
         if n < n_best:
             best, n_best = list(path), n
-        filling, times = path.pop()
+        path.pop()
         apply(filling, -times)
-        waste -= lost
+        waste -= each * times
     return best

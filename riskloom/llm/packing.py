@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -11,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.batches import bounded_rows
-from riskloom.llm.bins import Filling, pack_counts
+from riskloom.llm.bins import Filling, least_bins, pack_counts
 from riskloom.llm.spread import hashed_at, running_sums
 from riskloom.llm.tokens import token_ids
 from riskloom.plans.materialise import stored
 
+_LOG = logging.getLogger(__name__)
 SEQUENCE_TOKENS = 1024
 END_ID = 2
 
@@ -105,7 +107,9 @@ def pack(pieces: DataFrame, key: str = "doc_id", room: int = SEQUENCE_TOKENS) ->
     counts = np.zeros(room + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():
         counts[length] = n
-    places = _Places(pack_counts(counts, room), room)
+    plan = pack_counts(counts, room)
+    _LOG.info("packing: %d sequences, at least %d are needed", sum(times for _, times in plan), least_bins(counts, room))
+    places = _Places(plan, room)
     ranked = running_sums(
         pieces, ["length"], hashed_at(key, "piece", "start"),
         [F.col(key), F.col("piece"), F.col("start"), F.col("ids_crc32")],

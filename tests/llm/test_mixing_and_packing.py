@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import defaultdict
 from math import gcd
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 
 from riskloom.llm import mixing, packing
-from riskloom.llm.bins import best_fit, least_bins, pack_counts
+from riskloom.llm.bins import best_fit, completions, least_bins, pack_counts
 from riskloom.llm.tokens import token_ids
 
 
@@ -81,6 +82,25 @@ def test_mixed_documents_keep_columns(docs_of):
     assert mixing.mixed_documents(docs.where("false")).count() == 0
 
 
+def test_rows_without_keys_are_told_apart_by_their_texts(spark, docs_of):
+    """Null keys, one source, equal sizes: each text is given as often as the mix takes it."""
+    rows = [(None, f"a{k} b{k} c{k}", None, "s") for k in range(40)] + [(None, "same words here", None, "s")] * 5 + [(7, "x " * 2000, None, "t")]
+    docs = docs_of(rows)
+    mix = mixing.mix_sources(docs, block_words=32)
+    given = defaultdict(int)
+    for r in mixing.mixed_documents(docs).collect():
+        given[r.text] += 1
+    want = {}
+    marks = {hashlib.md5(t.encode()).hexdigest(): t for _, t, _, _ in rows}
+    taken = {(r.position, r.start): r.taken for r in mixing.words_taken(mix).select("position", "start", "taken").collect()}
+    for r in mix.documents.collect():
+        if r.turn == 1:
+            want[marks[r.mark]] = int(taken[r.position, r.start] / r["size"] + 0.5)
+    assert {t: n for t, n in want.items() if n and t != "same words here"} == {t: n for t, n in given.items() if t != "same words here"}
+    assert given["same words here"] == 5 * want["same words here"]
+    assert len({n for n in want.values()}) > 1
+
+
 def checked(counts, room, plan):
     used = np.zeros_like(counts)
     for filling, times in plan:
@@ -125,6 +145,54 @@ def test_bins_against_the_optimum():
     assert off == 0
 
 
+def plain_fillings(counts, room):
+    """Undominated fillings by trying all."""
+    sizes = [s for s in range(1, room + 1) if counts[s]]
+    out = set()
+
+    def go(k, left, used):
+        if k == len(sizes):
+            spare = [s for s in sizes if counts[s] > used.count(s)]
+            if not any(s <= left or any(0 < s - own <= left for own in used) for s in spare):
+                out.add((left, tuple(sorted(used, reverse=True))))
+            return
+        for n in range(min(int(counts[sizes[k]]), left // sizes[k]) + 1):
+            go(k + 1, left - n * sizes[k], used + [sizes[k]] * n)
+
+    go(0, room, [])
+    return out
+
+
+def test_completions_are_all_undominated_fillings_by_waste():
+    rng = np.random.default_rng(8)
+    most = 0
+    for _ in range(60):
+        room = int(rng.integers(1, 18))
+        counts = np.bincount(rng.integers(1, room + 1, int(rng.integers(0, 9))), minlength=room + 1)
+        got = list(completions(counts, room))
+        want = plain_fillings(counts, room)
+        if counts[room]:
+            assert got == [(room,)]
+            continue
+        assert [room - sum(f) for f in got] == sorted(w for w, _ in want)
+        assert {(room - sum(f), f) for f in got} == want and len(got) == len(want)
+        assert list(completions(counts, room, 1)) == [f for f in got if room - sum(f) <= 1]
+        most = max([most, *map(len, got)])
+    assert most >= 3
+
+
+def test_many_short_pieces_fill_bins_whole():
+    """Full bins need five to seven pieces of many sizes; no packing with fewer bins exists."""
+    rng = np.random.default_rng(4)
+    room, counts = 1024, np.zeros(1025, np.int64)
+    for _ in range(400):
+        cuts = np.sort(rng.choice(np.arange(1, 1024), int(rng.integers(4, 7)), replace=False))
+        for size in np.diff([0, *cuts, 1024]):
+            counts[size] += 1
+    n = checked(counts, room, pack_counts(counts, room))
+    assert n <= least_bins(counts, room) + 1
+
+
 @pytest.mark.parametrize("text", ["", "a", "word " * 3000, "<|endoftext|> x", "a  b\n\n c", "é ß ñ 12345", "\x00\x1c\x85"])
 def test_ids_equal_those_of_the_json_vocabulary(text):
     import public_tokenizers
