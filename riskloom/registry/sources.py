@@ -85,6 +85,32 @@ def security_event_xml(spark, sf):
     )
 
 
+def _event_files(spark, sf, *sources):
+    """Exported files of a log: the XML text of its events, many to a file."""
+    path = new_path(spark, "event-files")
+    views.event_xml(spark, sf).where(F.col("source").isin(*sources)).select("xml").write.text(path)
+    return event_xml.readable_events(event_xml.read_event_files(spark, path))
+
+
+@query(with_steps("""select event_id, epoch_us(ts) as unix_us,
+    case when k % 4 <> 3 then device else 'N/A' end as device from v_host where source = 'UMDF'""", "v_host"))
+def device_event_files(spark, sf):
+    """Device events read from exported XML files."""
+    events = event_xml.device_events(_event_files(spark, sf, "UMDF"))
+    return events.select("event_id", F.unix_micros("ts").alias("unix_us"), "device")
+
+
+@query(with_steps("""select source, coalesce(event_id, 9999) as event_id, epoch_us(ts) as unix_us,
+    coalesce(activity, 'OTHER') as activity, case when k % 5 <> 0 then '0x' || k else 'n/a' end as logon_id
+    from v_host where source in ('Security', 'System')""", "v_host"))
+def security_event_files(spark, sf):
+    """Security and system events read from the exported files of each log."""
+    logs_of = [_event_files(spark, sf, log).withColumn("source", F.lit(log)) for log in ("Security", "System")]
+    return event_xml.security_events(logs_of[0].unionByName(logs_of[1])).select(
+        "source", "event_id", F.unix_micros("ts").alias("unix_us"), "activity", "logon_id"
+    )
+
+
 @query(with_steps(f"""select b.id, {U.replace('usr', 'b.usr')}, browser, url, coalesce(title, '') as title,
     visit_count, case when visit_us <> 0 then epoch_us(e.ts) end as unix_us
     from v_browser b join ev e on e.id = b.id

@@ -87,3 +87,36 @@ def test_days_since_last_usb(spark):
     days = spark.createDataFrame([(u, at(86400 * d).date()) for u, d in (("a", 1), ("a", 2), ("a", 5), ("b", 3))], "user string, day date")
     got = rows(declared.days_since_last_usb(days, connects(used)), "user", "days_since_last_usb")
     assert got == [("a", 0), ("a", 3), ("a", 999), ("b", 999)]
+
+
+def test_exported_files_of_events(spark, tmp_path):
+    from riskloom.sources.event_xml import broken_events, device_events, read_event_files, readable_events, security_events
+
+    def event(body, number=2003):
+        return f"<Event xmlns='urn:e'><System><EventID>{number}</EventID><TimeCreated SystemTime='2024-01-02T03:04:05.000000Z'/></System>{body}</Event>"
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.xml").write_text(
+        "<?xml version='1.0'?>\n<Events>\n" + event("<UserData><A xmlns='urn:d'><InstanceId>USB\\VID_1&amp;2</InstanceId></A></UserData>")
+        + event("<UserData><R><S><T><d:InstanceId xmlns:d='urn:d'>deep</d:InstanceId></T></S></R></UserData>", 2100)
+        + "\n\n" + event("<UserData><R/></UserData>", 2101) + event("", 2102) + "</Events>"
+    )
+    (tmp_path / "in" / "two.xml").write_text(event("", 1) + "<Event><System><EventID>number</EventID></System></Event><Event><Sys" + event("", 2) + "<Event><System>")
+    (tmp_path / "in" / "empty.xml").write_text("")
+    (tmp_path / "in" / "none.xml").write_text("<Events></Events>")
+    events = read_event_files(spark, str(tmp_path / "in"))
+    found = sorted((r["event_id"], r["device"], str(r["ts"]), r["file"][-7:]) for r in device_events(readable_events(events)).collect())
+    when = "2024-01-02 03:04:05"
+    assert found == [
+        (1, "N/A", when, "two.xml"), (2, "N/A", when, "two.xml"), (2003, "USB\\VID_1&2", when, "one.xml"), (2100, "deep", when, "one.xml"),
+        (2101, "N/A", when, "one.xml"), (2102, "N/A", when, "one.xml"),
+    ]
+    broken = broken_events(events).collect()
+    assert [(r["file"][-7:], r["rows"]) for r in broken] == [("two.xml", 3)]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "s.xml").write_text(
+        event("<EventData><Data Name='TargetLogonId'>0x1</Data><Data Name='TargetLogonId'>0x2</Data></EventData>", 4624) + event("", 4800) + event("", 7)
+    )
+    session = security_events(read_event_files(spark, str(tmp_path / "log")).withColumn("source", F.lit("Security"))).collect()
+    assert sorted((r["event_id"], r["activity"], r["logon_id"], r["source"]) for r in session) == [
+        (7, "OTHER", "n/a", "Security"), (4624, "LOGON", "0x2", "Security"), (4800, "LOCK", "n/a", "Security")]
