@@ -27,6 +27,8 @@ LIST_RECALL, TRIAL_QUERIES = 0.98, 256
 # Candidates and queries of one job, columns added at a time, candidates scanned at a time.
 JOB_ROWS, JOB_QUERIES = 4096, 2048
 COLUMNS, CHUNK = 16, 512
+# Queries whose lists one task finds.
+PROBED_QUERIES = 1024
 # Queries whose nearest rows a task holds before it passes them on.
 HELD_QUERIES = 100_000
 # Strength of the test: the chance of a wrong drop falls as exp(-c * STRICTNESS^2).
@@ -59,18 +61,15 @@ def _usable(vector: Column) -> Column:
     return F.coalesce(sound & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def usable_vectors(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """Rows (key, vector of doubles) that take part, and their dimension.
+def usable_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """Rows (key, vector of doubles) that take part.
 
     Null and zero vectors, and those with a null or non-finite component, take no part, nor do
-    rows without a key. Of several dimensions the commonest counts, the smallest of those.
+    rows without a key.
     """
-    found = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")).where(
+    return vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where(
         F.col("key").isNotNull() & _usable(F.col("vector"))
     )
-    sizes = found.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    width = sizes[0]["size"] if sizes else 0
-    return found.where(F.size("vector") == width), width
 
 
 def _centres(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
@@ -101,7 +100,9 @@ def probes_needed(index: ListIndex, x: np.ndarray, nearest: int) -> int:
     return int(ranks[min(len(ranks) - 1, int(np.ceil(LIST_RECALL * len(ranks))))]) + 1
 
 
-def fit_lists(rows: DataFrame, width: int, n_rows: int, nearest: int = NEAREST) -> ListIndex:
+def fit_lists(
+    rows: DataFrame, width: int, n_rows: int, nearest: int = NEAREST, list_rows: int = LIST_ROWS
+) -> ListIndex:
     """Index fitted on at most ``SAMPLE_ROWS`` rows; the largest norm is that of all rows."""
     norm = rows.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     sample = rows.orderBy(F.xxhash64("key"), "key").limit(SAMPLE_ROWS).select("key", "vector").toArrow()
@@ -110,7 +111,7 @@ def fit_lists(rows: DataFrame, width: int, n_rows: int, nearest: int = NEAREST)
     square = np.random.default_rng(7).standard_normal((width + 1, width + 1))
     rotation = np.linalg.qr(square)[0]
     bare = ListIndex(rotation, norm * (1 + 1e-12), np.zeros((1, width + 1), np.float32))
-    lists = max(1, min(MOST_LISTS, n_rows // LIST_ROWS, len(x) // 8))
+    lists = max(1, min(MOST_LISTS, n_rows // list_rows, len(x) // 8))
     index = ListIndex(rotation, bare.norm, _centres(bare.rotated(x), lists))
     return replace(index, probes=probes_needed(index, x, nearest))
 
@@ -265,39 +266,51 @@ def _scanned(index_sent, width: int, nearest: int):
 
 def nearest_neighbours(
     vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding",
-    nearest: int = NEAREST,
+    nearest: int = NEAREST, list_rows: int = LIST_ROWS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``nearest`` rows of ``vectors`` found for each query.
 
     Rows with the query's own key are not candidates. Ties go to the smaller key. Keys are
     whole numbers; a repeated key is a candidate each time, and as a query once, with its smallest
-    vector. Lists and their queries are cut into jobs of bounded size, so a list with a
-    third of all rows is shared by many tasks. An empty side gives no rows.
+    vector. A query is compared with the vectors of its own dimension; each dimension has an index of its own. Lists and
+    their queries are cut into jobs of bounded size, so a list with a third of all rows is shared by many
+    tasks. An empty side gives no rows.
     """
     spark = vectors.sparkSession
-    usable, width = usable_vectors(vectors, key, vector)
-    rows = stored(usable.select(F.col("key").cast("long").alias("key"), "vector"), "vectors")
-    n_rows = rows.count()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if n_rows == 0:
-        return empty
-    index = fit_lists(rows, width, n_rows, nearest)
+    size = F.size("vector")
+    rows = stored(usable_vectors(vectors, key, vector).withColumn("width", size), "vectors")
+    asked = stored(
+        usable_vectors(queries, key, vector).groupBy("key").agg(F.min(F.struct(size, "vector")).alias("v"))
+        .select("key", "v.vector", F.size("v.vector").alias("width")), "vectors-asked",
+    )
+    # A row per dimension.
+    held = {r["width"]: r["count"] for r in rows.groupBy("width").count().collect()}
+    turned = {r["width"]: r["count"] for r in asked.groupBy("width").count().collect()}
+    best = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for width in sorted(set(held) & set(turned)):
+        mine = F.col("width") == width
+        best = best.unionByName(_nearest_of_width(
+            rows.where(mine).drop("width"), held[width], asked.where(mine).drop("width"), turned[width], width, nearest, list_rows
+        ))
+    return best
+
+
+def _nearest_of_width(
+    rows: DataFrame, n_rows: int, asked: DataFrame, n_asked: int, width: int, nearest: int, list_rows: int
+) -> DataFrame:
+    """The nearest rows to each query, all of one dimension."""
+    spark = rows.sparkSession
+    index = fit_lists(rows, width, n_rows, nearest, list_rows)
     listed = stored(_listed(rows, index, width), "vectors-listed")
     # At most MOST_LISTS counts.
     sizes = {r[0]: r[1] for r in listed.groupBy("list").count().collect()}
-    asked = (
-        usable_vectors(queries, key, vector)[0].where(F.size("vector") == width)
-        .groupBy(F.col("key").cast("long").alias("key")).agg(F.min("vector").alias("vector"))
-    )
-    probed = stored(_probed(asked, index, sizes, nearest, width), "vectors-probed")
+    spread_asks = asked.repartition(-(-n_asked // PROBED_QUERIES), F.xxhash64("key"))
+    probed = stored(_probed(spread_asks, index, sizes, nearest, width), "vectors-probed")
     wanted = {r[0]: r[1] for r in probed.groupBy("list").count().collect()}
-    if not wanted:
-        return empty
-    cut = spark.createDataFrame(
+    cut = F.broadcast(spark.createDataFrame(
         [(k, -(-n // JOB_ROWS), -(-wanted[k] // JOB_QUERIES)) for k, n in sizes.items() if k in wanted],
         "list int, parts int, turns int",
-    )
-    cut = F.broadcast(cut)
+    ))
     spread = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asks = probed.join(cut, "list").withColumn("turn", spread(F.col("turns"))).withColumn("part", every(F.col("parts")))

@@ -25,8 +25,11 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.spread import join_groups
 from riskloom.plans.materialise import new_path, stored
 
+# Keys that one task looks up and reads.
+KEYS_OF_A_TASK = 4096
 # Payloads below this size are stored again each time.
 LEAST_SHARED = 1000
 BLOCK_LINES = 256
@@ -271,11 +274,14 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", html
     light = pages.where(F.col(key).isNotNull() & (F.octet_length(payload) >= LEAST_SHARED)).select(
         F.col(key).alias("page"), digest.alias("digest"), F.col(url).alias("url")
     )
-    groups = (
-        light.groupBy("digest").agg(F.max(F.struct("page", "url")).alias("to"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("digest", "to")
+    groups = stored(
+        light.groupBy("digest").agg(F.max(F.struct("page", "url")).alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "warc-payloads",
     )
-    plan = stored(light.join(groups, "digest").select("page", "digest", "to").distinct(), "warc-revisits")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # A payload that fills a third of the pages is joined where its rows are.
+    met = join_groups(light.select("page", "digest"), groups, ["digest"], "n", total).where("to is not null")
+    plan = stored(met.select("page", "digest", "to").distinct(), "warc-revisits")
     named = plan.select(
         F.col("page").alias("__p"), F.col("digest").alias("__d"), F.col("to.page").cast("string").alias("refers"),
         F.col("to.url").alias("refers_url"), capture_key(F.col("to.url"), F.col("to.page")).alias("refers_key"),
@@ -333,6 +339,9 @@ def read_archive(archive: Archive, keys: DataFrame) -> DataFrame:
                 )
         reader.close()
 
-    return keys.select("capture").distinct().repartitionByRange("capture").sortWithinPartitions("capture").mapInArrow(
+    wanted = stored(keys.select("capture").distinct(), "warc-keys")
+    # A key costs the read of a payload: tasks are cut by keys, not by the bytes of the keys.
+    parts = max(1, -(-wanted.count() // KEYS_OF_A_TASK))
+    return wanted.repartitionByRange(parts, "capture").sortWithinPartitions("capture").mapInArrow(
         batches, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string"
     )

@@ -37,9 +37,23 @@ def test_few_rows_and_no_rows(spark):
     assert neighbours.nearest_neighbours(df, df.where("false")).count() == 0
 
 
-def test_recall_on_the_given_vectors(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    got = neighbours.nearest_neighbours(df, df.where("vec_id % 100 = 0")).toPandas()
+def test_each_dimension_is_searched(spark):
+    """The queries' commonest dimension is not the table's; no valid vector is left out."""
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.standard_normal(3 if i % 20 == 0 and i < 400 else 2).tolist()) for i in range(600)] + [(1000, [1.0, 2.0, 3.0]), (1020, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest_neighbours(df, df.where("vec_id % 20 = 0")).collect())
+    want = []
+    for width in (2, 3):
+        want += [w[:3] for w in brute_force([r for r in rows if len(r[1]) == width], 20)]
+    assert got == sorted(want) and 1020 not in {q for q, _, _ in got} and 1000 in {q for q, _, _ in got}
+
+
+@pytest.mark.parametrize("list_rows", [neighbours.LIST_ROWS, 64])
+def test_recall_on_the_given_vectors(spark, list_rows):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert df.count() // list_rows >= 7  # several lists
+    got = neighbours.nearest_neighbours(df, df.where("vec_id % 100 = 0"), list_rows=list_rows).toPandas()
     table = df.toPandas()
     x, ids = np.stack(table.embedding.to_numpy()).astype(float), table.vec_id.to_numpy()
     recall = []
