@@ -7,9 +7,10 @@ capacity is checked greedily, each shard taking groups while they fit.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +20,8 @@ from riskloom.plans.materialise import stored
 SHARDS = 16
 # Leading part of the order that is totalled apart: 4096 cells at every size.
 _CELLS, _CELL_BITS = 4096, 12
-# Bytes of groups near cuts that may be finished in one place (at least one byte a group).
-WINDOW_BYTES = 1 << 18
-_CAPACITIES = 24
+# Group ends that one pass brings to the driver at most.
+PARTS = 1 << 14
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,66 +61,106 @@ def ordered_groups(rows: DataFrame) -> DataFrame:
     )
 
 
-def _greedy(order: DataFrame, capacities: Sequence[int], shards: int, total: int, largest: int) -> np.ndarray:
-    """Cuts (capacity, 0..shards): ends of greedily filled shards, for many capacities at once.
+class _Ends:
+    """Some group ends, in order, and where between two of them there may be others."""
 
-    Each step is one aggregate over the rows near the next cuts; parquet statistics skip the others.
-    """
-    cuts = np.zeros((len(capacities), shards + 1), np.int64)
-    for k in range(1, shards + 1):
-        reach = [min(total, int(c) + int(capacity)) for c, capacity in zip(cuts[:, k - 1], capacities)]
-        open_ = [i for i, r in enumerate(reach) if r < total]
-        cuts[:, k] = reach
-        if open_:
-            found = order.where(
-                (F.col("end") > min(reach[i] for i in open_) - largest) & (F.col("end") <= max(reach[i] for i in open_))
-            ).agg(*[F.max(F.when(F.col("end") <= reach[i], F.col("end"))).alias(f"c{i}") for i in open_]).first()
-            for i in open_:
-                cuts[i, k] = found[f"c{i}"]
-    return cuts
-
-
-def fewest_bytes(order: DataFrame, shards: int = SHARDS, window_bytes: int = WINDOW_BYTES) -> list[int]:
+    def __init__(self):
+        self.ends = np.zeros(1, np.int64)
+        # Whether other ends lie between this end and the one before it.
+        self.more = np.zeros(1, bool)
+
+    def add(self, ends: np.ndarray, counts: np.ndarray, gaps: list[tuple[int, int]]) -> None:
+        """Learn the last end of each part of some gaps, and how many ends the part has."""
+        kept = ~np.isin(self.ends, [b for _, b in gaps])
+        every = np.concatenate([self.ends[kept], ends])
+        more = np.concatenate([self.more[kept], counts > 1])
+        order = np.argsort(every, kind="stable")
+        self.ends, self.more = every[order], more[order]
+
+    def cuts(self, capacity: int, shards: int, latest: bool) -> list[int]:
+        """Cuts of greedily filled shards: no later than the true ones, or with ``latest`` no earlier."""
+        found = [0]
+        for _ in range(shards):
+            reach = min(int(self.ends[-1]), found[-1] + capacity)
+            k = int(np.searchsorted(self.ends, reach, "right")) - 1
+            inside = latest and k + 1 < len(self.ends) and self.more[k + 1]
+            found.append(reach if inside else int(self.ends[k]))
+        return found
+
+
+def _least(enough, low: int, high: int) -> int:
+    """The smallest number in (low, high] for which ``enough`` holds; it does for ``high``."""
+    while high > low + 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high
+
+
+def fewest_bytes(order: DataFrame, shards: int = SHARDS, parts: int = PARTS) -> list[int]:
     """Cuts of the partition with the smallest largest shard: 0, the end of each shard.
 
-    Capacities are tried many at a time, first in doubling steps above the smallest
-    thinkable one. Every cut lies between the cuts of a capacity that is too small and one that is enough;
-    once the groups between them hold few bytes, their ends alone decide the rest.
+    The search for the smallest capacity runs on a bounded number of group ends. Greedy cuts over these ends alone are
+    no later than the true ones, and cuts that stop anywhere where an end may lie are no earlier: the first prove a
+    capacity enough, the second prove one too small. What lies between is decided by looking closer: one pass
+    brings the last end of each part of the gaps in which the cuts in question lie. Every pass looks at about
+    ``parts`` ends, so passes grow with the logarithm of the number of groups.
     """
-    total, largest = order.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+    total, largest, n = order.agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0)), F.count(F.lit(1))
+    ).first()
     if total == 0:
         return [0] * (shards + 1)
-    low = max(-(-total // shards), largest) - 1
-    high = -(-total // shards) + largest
-    tried = sorted({min(high, low + (1 << k)) for k in range(0, max(1, (high - low).bit_length()) + 1)})
-    below = None
+    known = _Ends()
+    gaps = [(0, int(total))]
+    floor, ceiling = max(-(-total // shards), largest) - 1, -(-total // shards) + largest
     while True:
-        cuts = _greedy(order, tried, shards, total, largest)
-        enough = int(np.argmax(cuts[:, -1] >= total))
-        high, above = tried[enough], cuts[enough]
-        if enough:
-            low, below = tried[enough - 1], cuts[enough - 1]
-        if high == low + 1:
-            return above.tolist()
-        if below is not None and int((above - below).sum()) <= window_bytes:
-            break
-        step = max(1, (high - low) // _CAPACITIES)
-        tried = sorted({*range(low + step, high, step), high})
-    near = [(int(a), int(b)) for a, b in zip(below[1:], above[1:])]
-    inside = F.lit(False)
-    for a, b in near:
-        inside = inside | F.col("end").between(a, b)
-    ends = np.sort(np.array([r[0] for r in order.where(inside).select("end").collect()], np.int64))
-    while high > low + 1:
-        middle = (low + high) // 2
-        cuts = [0]
-        for _ in range(shards):
-            cuts.append(int(ends[np.searchsorted(ends, min(total, cuts[-1] + middle), "right") - 1]))
-        if cuts[-1] >= total:
-            high, above = middle, np.array(cuts)
+        known.add(*_looked(order, gaps, parts), gaps)
+        high = _least(lambda c: known.cuts(c, shards, False)[-1] >= total, floor, int(total))
+        low = _least(lambda c: known.cuts(c, shards, True)[-1] >= total, floor, min(high, ceiling))
+        if low == high:
+            return known.cuts(high, shards, False)
+        first, last = known.cuts(low, shards, False), known.cuts(high, shards, True)
+        k = np.flatnonzero(known.more)
+        touched = np.zeros(len(k), bool)
+        for a, b in zip(first[1:], last[1:]):
+            touched |= (known.ends[k - 1] < b) & (known.ends[k] > a)
+        gaps = [(int(known.ends[i - 1]), int(known.ends[i])) for i in k[touched]]
+
+
+def _looked(order: DataFrame, gaps: list[tuple[int, int]], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last end of each part of the gaps (low, high], and the number of ends in it.
+
+    Gaps share the parts by their width, at least two each. Those side by side are one condition for the scan; a
+    task sends one row for each part that it meets.
+    """
+    lows, highs = (np.array(x, np.int64) for x in zip(*gaps))
+    step = max(1, int((highs - lows).sum()) // max(2 * len(gaps), parts))
+    steps = np.minimum(step, np.maximum(1, (highs - lows) // 2))
+    runs: list[list[int]] = []
+    for a, b in gaps:
+        if runs and runs[-1][1] == a:
+            runs[-1][1] = b
         else:
-            low = middle
-    return above.tolist()
+            runs.append([a, b])
+    end = F.col("end")
+    inside = F.lit(False)
+    for a, b in runs:
+        inside = inside | ((end > a) & (end <= b))
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in found:
+            ends = np.sort(part.column(0).to_numpy())
+            gap = np.searchsorted(highs, ends)
+            place = (ends - lows[gap] - 1) // steps[gap]
+            last = np.flatnonzero(np.append((np.diff(gap) != 0) | (np.diff(place) != 0), True)) if len(ends) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (gap[last], place[last], ends[last], np.diff(last, prepend=-1))], ["gap", "part", "end", "n"]
+            )
+
+    rows = order.where(inside).select("end").mapInArrow(batches, "gap long, part long, end long, n long")
+    # At most about ``parts`` rows.
+    found = rows.groupBy("gap", "part").agg(F.max("end").alias("end"), F.sum("n").alias("n")).select("end", "n").toArrow()
+    return np.asarray(found.column("end")), np.asarray(found.column("n"))
 
 
 def shard_of(before: Column, cuts: Sequence[int]) -> Column:
@@ -135,14 +175,18 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
     as itself. Slots count a shard's rows from 0 without a gap, in the order of group and key. Repeated
     rows get slots of their own; null texts have size 1. An empty table gives no rows.
     """
-    rows = stored(grouped(docs, key, text), "shard-rows")
+    rows = stored(
+        # Equal rows are merged before they are spread again by their turns: none of them owns a task.
+        grouped(docs, key, text).groupBy("key", "size", "text_crc32", "group").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n"), "shard-rows",
+    )
     order = ordered_groups(rows)
     cuts = fewest_bytes(order, shards)
     placed = order.select("group", "rows_before", shard_of(F.col("bytes_before"), cuts).alias("shard"))
     firsts = {r[0]: r[1] for r in placed.groupBy("shard").agg(F.min("rows_before")).collect()}
     first = F.coalesce(*[F.when(F.col("shard") == s, n) for s, n in firsts.items()], F.lit(0))
     return running_sums(
-        rows, ["group"], hashed_at("key"), [F.col("key")], {"turn": F.lit(1).cast("long")}, rows.count(),
+        rows, ["group"], hashed_at("key", "copy"), [F.col("key"), F.col("copy")], {"turn": F.lit(1).cast("long")}, rows.count(),
         placed.select("group", "shard", (F.col("rows_before") - first).alias("slot_before")),
     ).select(
         F.col("key").alias(key), "size", "text_crc32", "shard",

@@ -61,8 +61,8 @@ def smallest_capacity(sizes, n):
     return low
 
 
-@pytest.mark.parametrize("window", [0, 1 << 18])
-def test_shards_are_minimax(spark, docs_of, window):
+@pytest.mark.parametrize("parts", [3, 40, 1 << 14])
+def test_shards_are_minimax(spark, docs_of, parts):
     rng = np.random.default_rng(3)
     rows = [(i, "t%d" % rng.integers(0, 150) * int(rng.integers(1, 40))) for i in range(300)] + [(900 + i, "hot") for i in range(150)]
     rows += [(5000, None), (5001, ""), (5002, None), (7, "again"), (7, "again")]
@@ -84,7 +84,7 @@ def test_shards_are_minimax(spark, docs_of, window):
             if key == r.doc_id and key != 7:
                 assert where.setdefault(text or "", r.shard) == r.shard
     order = shards.ordered_groups(shards.grouped(docs))
-    cuts = shards.fewest_bytes(order, 7, window)
+    cuts = shards.fewest_bytes(order, 7, parts)
     assert max(np.diff(cuts)) == max(by_shard.values())
 
 
