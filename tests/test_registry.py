@@ -55,3 +55,21 @@ def test_query_equals_its_sql(spark, base, name):
     answer = base.sql(entry_module.oracle_sql()[name])
     assert sorted(df.columns) == sorted(answer.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(answer.columns, answer.fetchall())
+
+
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_entry_imports_without_the_text_operators(tmp_path, with_pipeline):
+    """A copy without the optional folders keeps every other query, whether or not the pipeline file is there."""
+    import shutil
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "riskloom"), tmp_path / "riskloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * with_pipeline:
+        if os.path.exists(os.path.join(root, name)):
+            shutil.copy(os.path.join(root, name), tmp_path)
+    code = "import re, __spark_entry__ as e; print(sum(bool(re.match(r'op\\d+_|pipeline', k)) for k in e.queries()), len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert out.returncode == 0, out.stderr
+    text, every = map(int, out.stdout.split()[-2:])
+    assert text == 0 and every >= 130
