@@ -252,11 +252,14 @@ def similar_documents(
         "jaccard-candidates",
     )
     reps = stored(kept.select("node").distinct().join(nodes, "node"), "jaccard-reps")
-    wanted = reps.select(F.col("rep.key").alias("__k"), F.col("rep.mark").alias("__m")).distinct()
+    # Texts are not moved: rows that a filter of the wanted names may hold give their shingles, and only those of
+    # wanted nodes meet the jobs.
+    names = stored(seen_filter(reps.select(F.col("rep.key").alias("__k"), F.col("rep.mark").alias("__m")), F.xxhash64("__k", "__m")), "jaccard-wanted")
     sets = (
-        source.join(wanted, source["key"].eqNullSafe(F.col("__k")) & (source["mark"] == F.col("__m")), "left_semi")
+        with_seen(source, F.xxhash64("key", "mark"), "__hit", names).where("__hit").select("key", "mark", "__text")
         .mapInArrow(_sketches("key", True), f"key {kind}, mark long, node binary, n int, shingles binary")
-        .where("node is not null").dropDuplicates(["node"]).select("node", "shingles")
+        .where("node is not null").select("node", "shingles")
+        .join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
     )
     linked = stored(
         kept.join(reps.select("node", "n", "sketch", "copies"), "node").join(sets, "node")
