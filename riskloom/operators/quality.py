@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,33 +57,42 @@ def check_shape(table: DataFrame, minimum_rows: int = 3) -> DataFrame:
     ])
 
 
-def check_columns(table: DataFrame, required: Sequence[str]) -> DataFrame:
-    """Filled rows of each required column; FAIL for a column the table lacks."""
-    one = table.agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.count(c).alias(c) for c in required if c in table.columns],
-    )
-    return _rows(one, [
-        _row("columns", c, "filled_rows", F.col(c), "PASS") if c in table.columns
+# Aggregates of one row, and the report rows made of them. They serve a pass of their own or the write of the table.
+Parts = tuple[list[Column], list[Column]]
+
+
+def _columns_parts(table: DataFrame, required: Sequence[str]) -> Parts:
+    held = [c for c in required if c in table.columns]
+    return [F.count(c).alias(f"filled_{c}") for c in held] or [F.count(F.lit(1)).alias("filled")], [
+        _row("columns", c, "filled_rows", F.col(f"filled_{c}"), "PASS") if c in held
         else _row("columns", c, "filled_rows", F.lit(0), "FAIL")
         for c in required
-    ])
+    ]
+
+
+def check_columns(table: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Filled rows of each required column; FAIL for a column the table lacks."""
+    aggregates, rows = _columns_parts(table, required)
+    return _rows(table.agg(*aggregates), rows)
+
+
+def _dates_parts(day: Column, off_days: Sequence[int], limit_percent: float) -> Parts:
+    return [
+        F.count_if(day.isNull()).alias("bad_days"), _share(F.weekday(day).isin(*off_days)).alias("off_days"),
+        *[F.count_if(F.weekday(day) == w).alias(f"weekday_{w}") for w in range(7)],
+    ], [
+        _row("dates", "day", "unparseable", F.col("bad_days"), _status(F.col("bad_days") > 0, "FAIL")),
+        *[_row("dates", "day", f"weekday_{w}", F.col(f"weekday_{w}")) for w in range(7)],
+        _row("dates", "day", "off_day_percent", F.col("off_days"), _status(F.col("off_days") > limit_percent, "INFO")),
+    ]
 
 
 def check_dates(
     table: DataFrame, day: Column, off_days: Sequence[int] = (5, 6), limit_percent: float = 0.05
 ) -> DataFrame:
     """Unparseable days, rows per weekday (0 is Monday) and the share on the given days."""
-    counted = table.select(day.alias("d"))
-    one = counted.agg(
-        F.count_if(F.col("d").isNull()).alias("bad"), _share(F.weekday("d").isin(*off_days)).alias("off"),
-        *[F.count_if(F.weekday("d") == w).alias(f"w{w}") for w in range(7)],
-    )
-    return _rows(one, [
-        _row("dates", "day", "unparseable", F.col("bad"), _status(F.col("bad") > 0, "FAIL")),
-        *[_row("dates", "day", f"weekday_{w}", F.col(f"w{w}")) for w in range(7)],
-        _row("dates", "day", "off_day_percent", F.col("off"), _status(F.col("off") > limit_percent, "INFO")),
-    ])
+    aggregates, rows = _dates_parts(F.col("d"), off_days, limit_percent)
+    return _rows(table.select(day.alias("d")).agg(*aggregates), rows)
 
 
 def check_zscores(table: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -107,34 +116,40 @@ def check_zscores(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _rows(one, rows)
 
 
-def check_flags(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Values outside {0, 1} fail; a rate of 0 or above 80 percent warns."""
-    one = table.agg(*[
-        F.struct(
-            F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(0, 1)).alias("bad"),
-            (F.avg(c) * 100).alias("rate"),
-        ).alias(c) for c in columns
-    ])
-    rows = []
+def _flags_parts(columns: Sequence[str]) -> Parts:
+    aggregates, rows = [], []
     for c in columns:
-        s = F.col(c)
+        bad, rate = F.col(f"bad_{c}"), F.col(f"rate_{c}")
+        aggregates += [
+            F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(0, 1)).alias(f"bad_{c}"), (F.avg(c) * 100).alias(f"rate_{c}")
+        ]
         rows += [
-            _row("flag", c, "outside_domain", s["bad"], _status(s["bad"] > 0, "FAIL")),
-            _row("flag", c, "rate_percent", s["rate"],
-                 _status((s["rate"] == 0) | (s["rate"] > 80), "WARN")),
+            _row("flag", c, "outside_domain", bad, _status(bad > 0, "FAIL")),
+            _row("flag", c, "rate_percent", rate, _status((rate == 0) | (rate > 80), "WARN")),
         ]
-    return _rows(one, rows)
+    return aggregates, rows
+
+
+def check_flags(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Values outside {0, 1} fail; a rate of 0 or above 80 percent warns."""
+    aggregates, rows = _flags_parts(columns)
+    return _rows(table.agg(*aggregates), rows)
+
+
+def _recency_parts(column: str) -> Parts:
+    negative, zeros = F.col(f"negative_{column}"), F.col(f"zeros_{column}")
+    return [
+        F.count_if(F.col(column) < 0).alias(f"negative_{column}"), _share(F.col(column) == 0).alias(f"zeros_{column}")
+    ], [
+        _row("recency", column, "negative", negative, _status(negative > 0, "FAIL")),
+        _row("recency", column, "zero_percent", zeros, _status(zeros > 50, "FAIL")),
+    ]
 
 
 def check_recency(table: DataFrame, column: str) -> DataFrame:
     """Negative values fail, and so does a share of zeros above 50 percent."""
-    one = table.agg(
-        F.count_if(F.col(column) < 0).alias("negative"), _share(F.col(column) == 0).alias("zeros")
-    )
-    return _rows(one, [
-        _row("recency", column, "negative", F.col("negative"), _status(F.col("negative") > 0, "FAIL")),
-        _row("recency", column, "zero_percent", F.col("zeros"), _status(F.col("zeros") > 50, "FAIL")),
-    ])
+    aggregates, rows = _recency_parts(column)
+    return _rows(table.agg(*aggregates), rows)
 
 
 def most_common(table: DataFrame, column: str, n: int = 5) -> DataFrame:
@@ -150,12 +165,28 @@ def first_values(table: DataFrame, column: str, n: int = 10) -> DataFrame:
     return value_counts(table, {column: column}).select("value", "n").orderBy("value").limit(n)
 
 
+def _padding_parts(columns: Sequence[str]) -> Parts:
+    empty = all_of([F.coalesce(F.col(c) == 0, F.lit(False)) for c in columns])
+    return [_share(empty).alias("all_zero")], [
+        _row("padding", "", "all_zero_percent", F.col("all_zero"), _status(F.col("all_zero") > 50, "WARN"))
+    ]
+
+
 def check_padding(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of rows in which every feature is 0 (null is not 0)."""
-    empty = all_of([F.coalesce(F.col(c) == 0, F.lit(False)) for c in columns])
-    one = table.agg(_share(empty).alias("share"))
-    return _rows(one, [_row("padding", "", "all_zero_percent", F.col("share"),
-                            _status(F.col("share") > 50, "WARN"))])
+    aggregates, rows = _padding_parts(columns)
+    return _rows(table.agg(*aggregates), rows)
+
+
+def written_with_checks(table: DataFrame, parts: Sequence[Parts], name: str) -> tuple[DataFrame, DataFrame]:
+    """Write the table, and the report rows of some checks observed on the way: they cost no pass of their own."""
+    aggregates, rows = [a for p in parts for a in p[0]], [r for p in parts for r in p[1]]
+    spark = table.sparkSession
+    seen = Observation()
+    written = stored(table.observe(seen, *aggregates), name)
+    shape = table.limit(0).agg(*aggregates).schema
+    one = spark.createDataFrame([tuple(seen.get[f.name] for f in shape)], shape)
+    return written, _rows(one, rows)
 
 
 def check_constant(table: DataFrame, columns: Sequence[str], share: float = 0.95) -> DataFrame:
@@ -202,13 +233,14 @@ def quality_report(table: DataFrame, roles: Mapping[str, Sequence[str]]) -> Data
     def have(role: str) -> list[str]:
         return [c for c in roles.get(role, ()) if c in table.columns]
 
-    # The table is computed once; the checks read the columns they need from the written one.
-    table = stored(table, "quality-table")
-    parts = [
-        check_shape(table), check_columns(table, roles.get("required", ())),
-        check_dates(table, F.col("day")), check_zscores(table, have("zscores")),
-        check_flags(table, have("flags")), *[check_recency(table, c) for c in have("recency")],
-        check_padding(table, have("padding")),
-        check_constant(table, numeric_columns(table)),
-    ]
+    # The table is computed once. What one row of aggregates can say is observed while it is written; the other
+    # checks read the columns they need from the written one.
+    observed = [_columns_parts(table, roles.get("required", ())), _dates_parts(F.col("day"), (5, 6), 0.05)]
+    observed += [_flags_parts(have("flags"))] if have("flags") else []
+    observed += [_recency_parts(c) for c in have("recency")]
+    observed += [_padding_parts(have("padding"))] if have("padding") else []
+    table, said = written_with_checks(table, observed, "quality-table")
+    parts = [said, check_shape(table)]
+    parts += [check_zscores(table, have("zscores"))] if have("zscores") else []
+    parts.append(check_constant(table, numeric_columns(table)))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -3,7 +3,7 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
-from helpers import rows
+from helpers import at, rows
 from pyspark.sql import functions as F
 
 from riskloom.operators import labels, quality, reports, scenarios, scoring, supervised
@@ -169,3 +169,22 @@ def test_quality_statuses(spark):
     assert status["padding", "", "all_zero_percent"] == "WARN"
     recency = table.select(F.lit(-1).alias("days"))
     assert "FAIL" in {r["status"] for r in quality.check_recency(recency, "days").collect()}
+
+
+def test_observed_checks_equal_those_of_their_own_pass(spark):
+    rows = [("a", at(0).date(), 1, 0.0, 3), ("a", None, 0, -1.0, 0), ("b", at(9e5).date(), 2, None, 0), ("b", at(5e5).date(), None, 0.0, 0)]
+    table = spark.createDataFrame(rows, "user string, day date, flag int, since double, n int").repartition(3)
+    parts = [
+        quality._columns_parts(table, ["flag", "missing"]), quality._dates_parts(F.col("day"), (5, 6), 0.05),
+        quality._flags_parts(["flag"]), quality._recency_parts("since"), quality._padding_parts(["since", "n"]),
+    ]
+    written, said = quality.written_with_checks(table, parts, "observed")
+    alone = [
+        quality.check_columns(table, ["flag", "missing"]), quality.check_dates(table, F.col("day")), quality.check_flags(table, ["flag"]),
+        quality.check_recency(table, "since"), quality.check_padding(table, ["since", "n"]),
+    ]
+    want = [r for part in alone for r in part.collect()]
+    assert sorted(map(str, said.collect())) == sorted(map(str, want)) and len(want) == 2 + 9 + 2 + 2 + 1
+    assert written.count() == 4
+    _, empty = quality.written_with_checks(table.where("false"), parts, "observed")
+    assert len(empty.collect()) == len(want)
