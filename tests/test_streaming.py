@@ -47,6 +47,21 @@ def test_rows_out_of_order_are_judged_in_order_and_late_ones_left_out(spark):
     assert sorted(i for (i,) in rows(got, "id")) == [1, 2, 5, 6, 9]
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_keys_of_one_bucket_share_a_state(spark, buckets):
+    """More keys than buckets: every key is still judged by its own rows, and Python is called for buckets alone."""
+    rng = random.Random(17)
+    data = [(i, f"u{rng.randrange(9)}", f"d{rng.randrange(2)}", at(rng.randrange(0, 400)), rng.random() < 0.5) for i in range(900)]
+    table = spark.createDataFrame(data, "id long, user string, device string, ts timestamp, connect boolean")
+    keys = ["user", "device"]
+    want = keep_spaced(table, keys, F.col("connect"), 1.5, 1.0)
+    got = replay.replayed(
+        spark, replay.lay_out(table, slices=4),
+        lambda live: spaced.stream_spaced(live, keys, F.col("connect"), RULE, "20 seconds", buckets=buckets), "buckets"
+    )
+    assert rows(got, *keys, "id") == rows(want, *keys, "id") and 0 < got.count() < 900
+
+
 def test_state_is_removed_once_it_can_drop_nothing(spark):
     kept, last = spaced.kept_in_order([(0, 1, 1), (1_000_000, 2, 1), (1_600_000, 3, 1), (1_700_000, 4, 0), (9_000_000, 5, 0)], None, RULE)
     assert kept == [1, 3, 5] and last == (9_000_000, 0)
