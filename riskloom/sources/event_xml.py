@@ -31,7 +31,8 @@ def log_activity(source: Column, event_id: Column) -> Column:
 
 
 def _parsed(raw: DataFrame, xml: str) -> DataFrame:
-    return raw.withColumn("__x", F.from_xml(F.col(xml), EVENT_XML))
+    # As an element of an array, which conditions on what was parsed are not pushed through: they would parse again.
+    return raw.withColumn("__x", F.explode(F.array(F.from_xml(F.col(xml), EVENT_XML))))
 
 
 def device_events(raw: DataFrame, xml: str = "xml") -> DataFrame:

@@ -120,3 +120,14 @@ def test_exported_files_of_events(spark, tmp_path):
     session = security_events(read_event_files(spark, str(tmp_path / "log")).withColumn("source", F.lit("Security"))).collect()
     assert sorted((r["event_id"], r["activity"], r["logon_id"], r["source"]) for r in session) == [
         (7, "OTHER", "n/a", "Security"), (4624, "LOGON", "0x2", "Security"), (4800, "LOCK", "n/a", "Security")]
+
+
+@pytest.mark.parametrize("events", [event_xml.device_events, event_xml.security_events])
+def test_conditions_on_parsed_events_do_not_parse_again(spark, events):
+    rows = [("System", "<Event><System><EventID>42</EventID><TimeCreated SystemTime='2024-01-02T03:04:05Z'/></System></Event>"),
+            ("System", "<Event><System>"), ("System", None), (None, None)]
+    raw = spark.createDataFrame(rows, "source string, xml string").drop(*(["source"] if events is event_xml.device_events else []))
+    parsed = events(raw)
+    assert parsed.count() == 4 and parsed.where("ts is not null").count() == 1
+    plan = parsed.where("ts is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") + plan.count("xmltostructs(") == 1
