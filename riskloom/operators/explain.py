@@ -3,8 +3,9 @@
 A leaf answers with its value when the row meets the leaf's path, so the forest is a
 sum of leaf terms and its Shapley values are the sum of the leaves' own. A path of
 depth d tests at most d features; which of them the row meets is one of 2^d patterns.
-The values of every leaf and pattern are tabulated once from the node table, and a row
-needs one lookup per leaf. The table's size depends on the forest alone.
+The values of every leaf and pattern are tabulated once from the node table, and so is what each
+interval between a feature's cuts adds to the patterns; a row needs one lookup per feature and one per
+leaf. The tables' size depends on the forest alone.
 """
 
 from __future__ import annotations
@@ -81,6 +82,23 @@ def _pattern_values(values: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bits(feature: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each tested feature: its cuts, and what each interval between them adds to the patterns of all leaves.
+
+    An interval ends with its cut. The last rows are for values above all cuts, no number, and minus infinity.
+    """
+    found = {}
+    for f in np.unique(feature):
+        mine = feature == f
+        cuts = np.unique(np.concatenate([low[mine], high[mine]]))
+        cuts = cuts[np.isfinite(cuts)]
+        seen = np.concatenate([cuts, [np.inf, np.nan, -np.inf]])[:, None, None]
+        met = mine & (seen > low) & (seen <= high)
+        place = (met * (1 << np.arange(feature.shape[1]))).sum(axis=2)
+        found[int(f)] = (cuts, place.astype(np.uint8 if feature.shape[1] <= 8 else np.int64))
+    return found
+
+
 def _tables(nodes: pd.DataFrame):
     """Leaves grouped by the number of tested features, and the mean score."""
     trees = nodes["tree"].nunique()
@@ -92,10 +110,10 @@ def _tables(nodes: pd.DataFrame):
             grouped.setdefault(len(tests), []).append((value / trees, tests))
     tables = []
     for k, members in grouped.items():
+        feature = np.array([list(t) for _, t in members])
+        low, high = (np.array([[b[side] for b in t.values()] for _, t in members]) for side in (0, 1))
         tables.append({
-            "feature": np.array([list(t) for _, t in members]),
-            "low": np.array([[b[0] for b in t.values()] for _, t in members]),
-            "high": np.array([[b[1] for b in t.values()] for _, t in members]),
+            "feature": feature, "bits": _bits(feature, low, high),
             "values": _pattern_values(
                 np.array([v for v, _ in members]), np.array([[b[2] for b in t.values()] for _, t in members])
             ),
@@ -103,20 +121,28 @@ def _tables(nodes: pd.DataFrame):
     return tables, base
 
 
-def _attribute(x: np.ndarray, tables) -> np.ndarray:
-    """Attributions of each row and feature."""
+def _attribute(x: np.ndarray, tables, rows: int = 128) -> np.ndarray:
+    """Attributions of each row and feature, ``rows`` rows at a time."""
     out = np.zeros(x.shape)
     for table in tables:
         feature, values = table["feature"], table["values"]
         leaves, k = feature.shape
-        seen = x[:, feature]
-        met = (seen > table["low"]) & (seen <= table["high"])
-        pattern = (met * (1 << np.arange(k))).sum(axis=2)
-        picked = values[np.arange(leaves), pattern]
-        for i in range(k):
-            into = np.zeros((leaves, x.shape[1]))
-            into[np.arange(leaves), feature[:, i]] = 1.0
-            out += picked[:, :, i] @ into
+        patterns = values.shape[1]
+        flat = values.reshape(leaves * patterns, k)
+        first = np.arange(leaves) * patterns
+        into = np.zeros((leaves * k, x.shape[1]))
+        into[np.arange(leaves * k), feature.ravel()] = 1.0
+        found = []
+        for f, (cuts, bits) in table["bits"].items():
+            v = x[:, f]
+            interval = np.searchsorted(cuts, v)
+            interval[np.isnan(v)] = len(cuts) + 1
+            interval[v == -np.inf] = len(cuts) + 2
+            found.append((interval, bits))
+        for begin in range(0, len(x), rows):
+            pattern = sum(bits[interval[begin:begin + rows]] for interval, bits in found)
+            picked = flat.take(first + pattern, axis=0)
+            out[begin:begin + rows] += picked.reshape(len(pattern), leaves * k) @ into
     return out
 
 
@@ -130,8 +156,7 @@ def with_attributions(table: DataFrame, model: PipelineModel, base: str = "base_
     @F.pandas_udf("array<double>")
     def attribute(*columns: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        parts = [_attribute(x[i:i + 128], shared.value) for i in range(0, len(x), 128)]
-        return pd.Series(list(np.concatenate(parts))) if parts else pd.Series([], dtype=object)
+        return pd.Series(list(_attribute(x, shared.value)), dtype=object)
 
     values = attribute(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
     return (

@@ -3,6 +3,7 @@ import math
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,31 @@ def test_isolation_samples_draw_each_row_alike(spark):
     assert max(r["count"] for r in picked) <= 6 and len(picked) > 3_000
     few = isolation.keyed_samples(table.limit(30), ["x"], ("user", "day"), 30, settings).groupBy("tree").count().collect()
     assert len(few) == 50 and {r["count"] for r in few} == {30}
+
+
+def test_tabled_intervals_give_the_patterns_of_every_leaf():
+    nodes = pd.DataFrame([
+        (0, 0, 1, 2, 0, 0.5, 8.0, 0.4), (0, 1, -1, -1, -1, 0.0, 5.0, 0.1), (0, 2, 3, 4, 1, 2.0, 3.0, 0.9),
+        (0, 3, 5, 6, 0, 1.5, 2.0, 0.7), (0, 4, -1, -1, -1, 0.0, 1.0, 1.0), (0, 5, -1, -1, -1, 0.0, 1.0, 0.6), (0, 6, -1, -1, -1, 0.0, 1.0, 0.2),
+        (1, 0, -1, -1, -1, 0.0, 8.0, 0.3),
+    ], columns=["tree", "node", "left", "right", "feature", "threshold", "cover", "value"])
+    tables, base = explain._tables(nodes)
+    edges = [-math.inf, 0.4, 0.5, 0.6, 1.5, 1.6, 2.0, 2.1, math.inf, math.nan]
+    x = np.array([(a, b, 0.0) for a in edges for b in edges])
+    expected = np.zeros(x.shape)
+    for table in tables:
+        members = [(v, t) for v, t in explain._leaf_paths(nodes) if len(t) == table["values"].shape[2]]
+        for leaf, (_, tests) in enumerate(members):
+            for i, row in enumerate(x):
+                pattern = sum(1 << at for at, (f, (low, high, _)) in enumerate(tests.items()) if low < row[f] <= high)
+                for at, f in enumerate(tests):
+                    expected[i, f] += table["values"][leaf, pattern, at]
+    assert np.allclose(explain._attribute(x, tables), expected)
+    assert np.allclose(explain._attribute(x, tables, rows=7), expected)
+    walk = {(0.5, 0.4): 0.1, (0.6, 2.0): 0.6, (1.6, 2.0): 0.2, (0.6, 2.1): 1.0}
+    for (a, b), value in walk.items():
+        at = np.flatnonzero((x[:, 0] == a) & (x[:, 1] == b))[0]
+        assert explain._attribute(x, tables)[at].sum() + base == pytest.approx((value + 0.3) / 2)
+    assert explain._attribute(x[:0], tables).shape == (0, 3)
+    # A row costs no comparison of its own with a leaf's bounds.
+    assert all("low" not in table and "high" not in table for table in tables)
