@@ -3,7 +3,8 @@
 A step adds up counts, sums and products of the d features by classes of distance: tasks
 reduce their Arrow batches to those sums, Spark adds them up, and the driver inverts one d x d
 matrix per start. All rows take part at every size, and their layout does not matter.
-Rows are never collected. Scoring is a plain column expression.
+Rows are never collected. Scoring is one Arrow function of the features, as a column expression of
+d * d / 2 terms makes a generated method too long for the virtual machine to compile.
 """
 
 from __future__ import annotations
@@ -84,9 +85,11 @@ def chi2_quantile(p: float, d: int) -> float:
     return (low + high) / 2
 
 
-def moments(rows: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean, population covariance and row count of the columns."""
-    return _moments(_sums(rows, names, lambda x: np.zeros((len(x), 1), np.int64), 1)[0, 0], len(names))
+def moments(
+    rows: DataFrame, names: Sequence[str], change: Callable[[np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean, population covariance and row count of the columns, after ``change`` if one is given."""
+    return _moments(_sums(rows, names, lambda x: np.zeros((len(x), 1), np.int64), 1, change=change)[0, 0], len(names))
 
 
 def _moments(sums: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -97,7 +100,8 @@ def _moments(sums: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _sums(
-    rows: DataFrame, names: Sequence[str], classes: Callable[[np.ndarray], np.ndarray], n_ways: int, n_classes: int = 1
+    rows: DataFrame, names: Sequence[str], classes: Callable[[np.ndarray], np.ndarray], n_ways: int, n_classes: int = 1,
+    change: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> np.ndarray:
     """Count, sums and products of the columns by class, [way, class, 1 + d + d * d], in one pass.
 
@@ -110,6 +114,7 @@ def _sums(
         sums = np.zeros((n_ways, n_classes, 1 + d + d * d))
         for batch in batches:
             x = batch.to_numpy(dtype=float)
+            x = change(x) if change else x
             found = classes(x)
             for way in range(n_ways):
                 order = np.argsort(found[:, way], kind="stable")
@@ -149,23 +154,39 @@ def log_volume(covariance: np.ndarray) -> tuple[int, float]:
     return len(values), float(np.log(values).sum())
 
 
-def squared_distance(columns: Sequence[Column], mean: np.ndarray, precision: np.ndarray) -> Column:
-    """Squared Mahalanobis distance as one column expression."""
-    centred = [c - float(m) for c, m in zip(columns, mean)]
-    total = F.lit(0.0)
-    for i, row in enumerate(precision):
-        total = total + float(row[i]) * centred[i] * centred[i]
-        for j in range(i + 1, len(row)):
-            if row[j]:
-                total = total + 2 * float(row[j]) * centred[i] * centred[j]
+def _squared_distance(x: np.ndarray, mean: np.ndarray, precision: np.ndarray) -> np.ndarray:
+    """Squared Mahalanobis distance of rows, term by term: the same sum whatever rows come together."""
+    centred = [x[:, i] - float(m) for i, m in enumerate(mean)]
+    total = np.zeros(len(x))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for i, row in enumerate(precision):
+            total += float(row[i]) * centred[i] * centred[i]
+            for j in range(i + 1, len(row)):
+                if row[j]:
+                    total += 2 * float(row[j]) * centred[i] * centred[j]
     return total
 
 
+def squared_distance(columns: Sequence[Column], mean: np.ndarray, precision: np.ndarray) -> Column:
+    """Squared Mahalanobis distance as one column."""
+    @F.pandas_udf("double")
+    def distance(*values: pd.Series) -> pd.Series:
+        return pd.Series(_squared_distance(np.column_stack([v.to_numpy(dtype=float) for v in values]), mean, precision))
+
+    return distance(*columns)
+
+
 def _directions(rows: DataFrame, names: Sequence[str], mean: np.ndarray) -> np.ndarray:
     """Covariance of the rows' directions from the mean: far rows count no more than near ones."""
-    length = F.sqrt(sum(((F.col(n) - float(m)) * (F.col(n) - float(m)) for n, m in zip(names, mean)), F.lit(0.0)))
-    unit = [F.when(length > 0, (F.col(n) - float(m)) / length).otherwise(0.0).alias(n) for n, m in zip(names, mean)]
-    return moments(rows.select(*unit), names)[1]
+    def unit(x: np.ndarray) -> np.ndarray:
+        centred = x - mean
+        length = np.zeros(len(x))
+        for i in range(centred.shape[1]):
+            length += centred[:, i] * centred[:, i]
+        length = np.sqrt(length)[:, None]
+        return np.divide(centred, length, out=np.zeros_like(centred), where=length > 0)
+
+    return moments(rows, names, unit)[1]
 
 
 def _concentrate(rows: DataFrame, names: Sequence[str], starts, support: float, steps: int = _STEPS):

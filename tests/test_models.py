@@ -303,3 +303,21 @@ def test_tabled_intervals_give_the_patterns_of_every_leaf():
     assert explain._attribute(x[:0], tables).shape == (0, 3)
     # A row costs no comparison of its own with a leaf's bounds.
     assert all("low" not in table and "high" not in table for table in tables)
+
+
+def test_the_distance_is_one_function_of_the_features(spark):
+    rng = np.random.default_rng(5)
+    names = [f"x{i}" for i in range(9)]
+    x = rng.normal(size=(50, 9))
+    mean, root = rng.normal(size=9), rng.normal(size=(9, 9))
+    precision = root @ root.T
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["id", *names])
+    placed = rows.withColumn("d", envelope.squared_distance([F.col(n) for n in names], mean, precision))
+    # The plan grows with the features, not with their square.
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("*") < 9
+    got = np.array([r["d"] for r in placed.orderBy("id").collect()])
+    assert np.allclose(got, (((x - mean) @ precision) * (x - mean)).sum(axis=1))
+    unit = (x - mean) / np.sqrt(((x - mean) ** 2).sum(axis=1))[:, None]
+    assert np.allclose(envelope._directions(rows, names, mean), np.cov(unit.T, bias=True))
+    # A row at the mean has no direction.
+    assert not envelope._directions(rows.where("id = 0"), names, x[0]).any()
