@@ -121,6 +121,61 @@ def fit_trees(
     )
 
 
+def _complete(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trees as complete binary trees: feature and threshold of inner places, length of the lowest ones, a row a tree.
+
+    Place p has its children at 2p + 1 and 2p + 2. Whichever way a row takes below a leaf, it ends at the leaf's length.
+    """
+    trees = []
+    for _, part in nodes.groupby("tree"):
+        own = {c: part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "length")}
+        placed, pending = [], [(0, 0, 0)]
+        while pending:
+            node, place, depth = pending.pop()
+            placed.append((node, place, depth))
+            if own["feature"][node] >= 0:
+                pending += [(own["left"][node], 2 * place + 1, depth + 1), (own["right"][node], 2 * place + 2, depth + 1)]
+        trees.append((own, placed))
+    deepest = max(depth for _, placed in trees for _, _, depth in placed)
+    feature = np.zeros((len(trees), (1 << deepest) - 1), np.int64)
+    threshold = np.zeros(feature.shape)
+    length = np.zeros((len(trees), 1 << deepest))
+    for t, (own, placed) in enumerate(trees):
+        for node, place, depth in placed:
+            if own["feature"][node] >= 0:
+                feature[t, place], threshold[t, place] = own["feature"][node], own["threshold"][node]
+            else:
+                first = (place + 1 << deepest - depth) - (1 << deepest)
+                length[t, first:first + (1 << deepest - depth)] = own["length"][node]
+    return feature, threshold, length
+
+
+def _total_length(x: np.ndarray, trees: tuple[np.ndarray, np.ndarray, np.ndarray], block: int = 16_384) -> np.ndarray:
+    """Path lengths of rows, summed over complete trees in their order; all rows of a block go down a tree together."""
+    out = np.zeros(len(x))
+    for begin in range(0, len(x), block):
+        values = np.ascontiguousarray(x[begin:begin + block]).ravel()
+        total = out[begin:begin + block]
+        base = np.arange(len(total)) * x.shape[1]
+        at, cell = np.empty(len(total), np.int64), np.empty(len(total), np.int64)
+        seen, cut, left = np.empty(len(total)), np.empty(len(total)), np.empty(len(total), bool)
+        for feature, threshold, length in zip(*trees):
+            at.fill(0)
+            for _ in range((len(length) - 1).bit_length()):
+                np.take(feature, at, out=cell, mode="clip")
+                np.add(cell, base, out=cell)
+                np.take(values, cell, out=seen, mode="clip")
+                np.take(threshold, at, out=cut, mode="clip")
+                np.less_equal(seen, cut, out=left)
+                np.add(at, 1, out=at)
+                np.multiply(at, 2, out=at)
+                np.subtract(at, left, out=at)
+            np.subtract(at, len(feature), out=at)
+            np.take(length, at, out=seen, mode="clip")
+            total += seen
+    return out
+
+
 @dataclass
 class IsolationModel:
     """Node table (at most trees x (2 sample - 1) rows), sample size and offset."""
@@ -133,28 +188,14 @@ class IsolationModel:
     def with_raw_score(self, table: DataFrame) -> DataFrame:
         """Add the negated anomaly score in (-1, 0); low is anomalous."""
         nodes = self.nodes.toPandas().sort_values(["tree", "node"])  # bounded, see the class
-        trees = [
-            {c: part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "length")}
-            for _, part in nodes.groupby("tree")
-        ]
-        shared = table.sparkSession.sparkContext.broadcast(trees)
+        shared = table.sparkSession.sparkContext.broadcast(_complete(nodes))
         scale = float(mean_depth(self.sample)) or 1.0
 
         @F.pandas_udf("double")
         def score(*columns: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            total, every = np.zeros(len(x)), np.arange(len(x))
-            for tree in shared.value:
-                at = np.zeros(len(x), dtype=np.int64)
-                while True:
-                    feature = tree["feature"][at]
-                    inner = feature >= 0
-                    if not inner.any():
-                        break
-                    left = x[every, np.maximum(feature, 0)] <= tree["threshold"][at]
-                    at = np.where(inner, np.where(left, tree["left"][at], tree["right"][at]), at)
-                total += tree["length"][at]
-            return pd.Series(-np.power(2.0, -total / len(shared.value) / scale))
+            total = _total_length(x, shared.value)
+            return pd.Series(-np.power(2.0, -total / len(shared.value[0]) / scale))
 
         return table.withColumn(RAW, score(*[
             F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in self.features

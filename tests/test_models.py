@@ -321,3 +321,25 @@ def test_the_distance_is_one_function_of_the_features(spark):
     assert np.allclose(envelope._directions(rows, names, mean), np.cov(unit.T, bias=True))
     # A row at the mean has no direction.
     assert not envelope._directions(rows.where("id = 0"), names, x[0]).any()
+
+
+def test_complete_trees_end_where_a_walk_ends():
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 4)), 1)
+    x[:3, 0], x[3, 1], x[4, 2] = np.nan, np.inf, -np.inf
+    names = ["tree", "node", "feature", "threshold", "left", "right", "length"]
+    nodes = pd.DataFrame(
+        [(t, *n) for t in range(12) for n in isolation._grow(x[rng.choice(np.arange(5, 400), 1 if t == 3 else 30)], t)], columns=names
+    )
+    expected = np.zeros(len(x))
+    for _, tree in nodes.groupby("tree"):
+        by_id = tree.set_index("node").to_dict("index")
+        for i, row in enumerate(x):
+            node = by_id[0]
+            while node["feature"] >= 0:
+                node = by_id[node["left"] if row[int(node["feature"])] <= node["threshold"] else node["right"]]
+            expected[i] += node["length"]
+    trees = isolation._complete(nodes)
+    assert (isolation._total_length(x, trees) == expected).all()
+    assert (isolation._total_length(x, trees, block=7) == expected).all()
+    assert isolation._total_length(x[:0], trees).tolist() == []
