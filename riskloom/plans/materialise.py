@@ -40,13 +40,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def even_parts(rows: int, cores: int) -> int:
+    """The least multiple of the cores that leaves at most ``PART_ROWS`` rows to a part."""
+    return cores * max(1, -(-rows // (PART_ROWS * cores)))
+
+
 def stored(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write the rows as parquet in the shared folder and read them back.
 
     Later passes prune columns and push filters into the written table. ``spread``
-    cuts it into parts of at most about ``PART_ROWS`` rows, and one per core at least, for
+    cuts it into parts of at most about ``PART_ROWS`` rows, as many for each core, for
     tables that fits go through many times: adaptive execution would merge a narrow
-    table into few large parts.
+    table into few large parts, and a part more than the cores have room for at once makes every pass wait
+    for a second round of tasks.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -54,7 +60,7 @@ def stored(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     written = spark.read.schema(df.schema).parquet(path)
     if not spread:
         return written
-    parts = max(spark.sparkContext.defaultParallelism, -(-written.count() // PART_ROWS))
+    parts = even_parts(written.count(), spark.sparkContext.defaultParallelism)
     again = new_path(spark, name)
     written.repartition(parts).write.parquet(again)
     return spark.read.schema(df.schema).parquet(again)

@@ -24,3 +24,11 @@ def test_spread_tables_follow_their_size(spark, monkeypatch):
     monkeypatch.setattr(materialise, "PART_ROWS", 50)
     table = materialise.stored(spark.range(1000), "spread-test", spread=True)
     assert len(table.inputFiles()) >= 20 and table.count() == 1000
+
+
+def test_every_core_gets_as_many_parts():
+    for rows in (0, 1, 250_000, 2_241_000, 13_446_000):
+        for cores in (1, 8, 12):
+            parts = materialise.even_parts(rows, cores)
+            assert parts % cores == 0 and parts * materialise.PART_ROWS >= rows
+            assert parts == cores or (parts - cores) * materialise.PART_ROWS < rows
