@@ -288,3 +288,80 @@ def test_gradients_of_the_network():
         down = loss()
         w[at] += 1e-5
         assert abs((up - down) / 2e-5 - gradient[at]) < 1e-3 * max(1, abs(gradient[at]))
+
+
+def test_every_candidate_teaches_and_sets_thresholds(docs_of, monkeypatch):
+    draw = draws(np.random.default_rng(12))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{draw(letters, 9)} token={draw('0123456789abcdef' if i % 4 else letters, 14)} then {draw(letters, 8)} or {draw('0123456789', 9)}") for i in range(240)]
+    rows += [(1000, "see " + "aB3/" * 5000), (1001, None), (1002, "")]
+    for bound in ("KIND_ROWS", "ALIKE_ROWS", "OTHER_ROWS"):
+        monkeypatch.setattr(secrets, bound, 100)
+    docs = docs_of(rows)
+    tables, models, starts = [], [], []
+    for name, kept in (("lessons", tables), ("fit_secrets", models), ("descend", starts)):
+        run = getattr(secrets, name)
+        monkeypatch.setattr(secrets, name, lambda *a, run=run, kept=kept, **k: (kept.append((a, r := run(*a, **k))), r)[1])
+    # A narrow leeway and margin, and weak surroundings, leave candidates without rows of their own.
+    for name, value in (("MARGIN", 0.2), ("LEEWAY", 0.2), ("AROUND_DECAY", 50.0)):
+        monkeypatch.setattr(secrets, name, value)
+    spans = {r.doc_id: r.spans for r in secrets.secrets(docs).collect()}
+    (_, table), (_, model), ((start, _), after) = tables[0], models[0], starts[0]
+    texts = {k: t or "" for k, t in rows}
+    everyone = [(texts[k], *c) for k in texts for c in (
+        *secrets.labelled(texts[k], secrets.base_spans(texts[k])), *((*c, 0) for c in secrets.candidates(texts[k], secrets.base_spans(texts[k]))))]
+    part = np.array([secrets.dealt(t[a:b]) for t, a, b, _ in everyone])
+    label = np.array([y for *_, y in everyone])
+    got = table.toPandas()
+    for p in range(3):
+        mine = got[got.part == p]
+        assert mine.seen.sum() == (part == p).sum() and mine[mine.label == 1].seen.sum() == (label[part == p] == 1).sum()
+        assert mine.n.sum() == sum(len(secrets.pieces(a, b)) for (_, a, b, _), q in zip(everyone, part) if q == p)
+    assert model.tested[0] == (label[part == 2] == 1).sum() > 12
+    assert got[got.window.isna()].n.sum() > 0
+
+    def loss(net):
+        windows, y = zip(*[(secrets.window(t, *piece), label) for (t, a, b, label), p in zip(everyone, part) if p == 0 for piece in secrets.pieces(a, b)])
+        y = secrets._truth(np.array(y))
+        share = y.sum(0)
+        weight = np.where(y, 0.5 / np.maximum(share, 1), 0.5 / (len(y) - share)) * (share > 0)
+        return net.lesson(secrets.encoded(list(windows)), y, weight)[0]
+
+    assert start.most_moved(after) <= 0.2 and loss(after) < loss(start)
+
+    def best(net, t, a, b):
+        x = secrets.encoded([secrets.window(t, *piece) for piece in secrets.pieces(a, b)])
+        return [net.logits(v)[:, 0].max() for v in (x, secrets._bare(x))]
+
+    held = np.array([best(after, *e[:3]) for e, p in zip(everyone, part) if p == 1 and e[3] == 1]).ravel()
+    least = model._least_logits()[0]
+    cut = np.sort(held)[int(np.floor((1 - secrets.LEAST_RECALL) * len(held)))]
+    assert cut - 2e-3 - 1 / secrets.SCORE_GRID <= least <= cut and (held >= least).mean() >= secrets.LEAST_RECALL
+    assert all(plain_spans(t) == ",".join(x for x in spans[k].split(",") if x and not x.startswith("learned")) for k, t in texts.items())
+
+
+def test_scores_move_no_further_than_said():
+    rng = np.random.default_rng(13)
+    net, other = secrets.CharacterNetwork(), secrets.CharacterNetwork()
+    other.weights = [w + 0.02 * rng.standard_normal(w.shape).astype(np.float32) for w in net.weights]
+    x = rng.integers(0, secrets._SYMBOLS, (400, secrets.LENGTH))
+    x[:, secrets.BEFORE:secrets.OWN] = x[:, secrets.OWN + secrets.TOKEN:secrets.OWN + secrets.TOKEN + secrets.GAP] = 0
+    moved = np.abs(net.logits(x) - other.logits(x)).max()
+    assert 0 < moved <= net.most_moved(other) + 1e-4 and net.most_moved(net) == 0
+
+
+def test_slopes_of_what_candidates_teach():
+    rng = np.random.default_rng(14)
+    net = secrets.CharacterNetwork()
+    net.weights = [w.astype(np.float64) for w in net.weights]
+    x = rng.integers(0, secrets._SYMBOLS, (6, secrets.LENGTH))
+    y, weight = rng.integers(0, 2, (6, 3)).astype(bool), rng.random((6, 3))
+    _, gradients = net.lesson(x, y, weight)
+    for k, at in ((0, (4, 2)), (1, (7, 3)), (2, (5,)), (3, (30, 1)), (4, (2,))):
+        kept = net.weights[k][at]
+        net.weights[k][at] = kept + 1e-5
+        up = net.lesson(x, y, weight)[0]
+        net.weights[k][at] = kept - 1e-5
+        down = net.lesson(x, y, weight)[0]
+        net.weights[k][at] = kept
+        assert np.isclose((up - down) / 2e-5, gradients[k][at], rtol=1e-3, atol=1e-5)
