@@ -12,8 +12,7 @@ import hashlib
 import logging
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,9 +67,12 @@ LOOKS, STEP = 10, 0.02
 WEIGHT_GRID, SCORE_GRID = 1 << 16, 1 << 10
 # Pieces that a task remembers.
 REMEMBERED = 1 << 18
+# Bytes of text whose candidates a task looks for at a time, windows that it scores and texts that it reads by place at a time.
+RUN_BYTES, WINDOWS, TEXTS = 1 << 20, 4096, 512
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=.:\"' "
 _CODES = np.full(128, len(_ALPHABET) + 1, np.int64)
 _CODES[[ord(c) for c in _ALPHABET]] = np.arange(1, len(_ALPHABET) + 1)
+_IN_CANDIDATE = np.array([CANDIDATE.fullmatch(chr(c) * LEAST["assign"]) is not None for c in range(256)])
 _LOG = logging.getLogger(__name__)
 _SYMBOLS = len(_ALPHABET) + 2  # 0 is "nothing there", the last one any other character
 
@@ -93,10 +95,14 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def spans_of(texts: list[str], column: pa.Array) -> list[list[tuple[int, str, int]]]:
+def spans_of(column: pa.Array) -> list[list[tuple[int, str, int]]]:
     """The rules' findings in every text of a column; only texts with a word or a long run are looked at by the rules."""
     there = pc.or_(pc.match_substring_regex(column, "[A-Za-z0-9+/_-]{20}"), pc.match_substring_regex(column, "(?i)password|passwd|secret|token|api_?key"))
-    return [base_spans(value) if some else [] for value, some in zip(texts, pc.fill_null(there, False).to_pylist())]
+    rows = np.flatnonzero(pc.fill_null(there, False).to_numpy(zero_copy_only=False))
+    spans: list[list[tuple[int, str, int]]] = [[] for _ in range(len(column))]
+    for k, value in zip(rows, column.take(pa.array(rows)).to_pylist()):
+        spans[k] = base_spans(value)
+    return spans
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
@@ -136,14 +142,86 @@ def candidates(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[int,
     return out
 
 
-def outside(text: str, spans: list[tuple[int, str, int]]) -> list[str]:
-    """The candidates' own texts, in order."""
-    out, at = [], 0
-    for start, end in (*sorted((s[0], s[2]) for s in spans), (len(text), len(text))):
-        if start > at:
-            out += CANDIDATE.findall(text, at, start)
-        at = max(at, end)
-    return out
+@dataclass(frozen=True)
+class Found:
+    """Candidates of a column of texts, in order: number of the text, place in code points, bytes of a candidate with its
+    surroundings, and which of the distinct ones it is."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    context: tuple[np.ndarray, np.ndarray]
+    data: np.ndarray
+    which: np.ndarray
+    distinct: pa.Array
+
+    def marks(self) -> np.ndarray:
+        """Checksums of each candidate with its surroundings."""
+        raw = self.data.tobytes()
+        return np.array([zlib.crc32(raw[a:b]) for a, b in zip(*(c.tolist() for c in self.context))], np.int64)
+
+    def parts(self) -> np.ndarray:
+        """``dealt`` of the distinct ones."""
+        bounds, raw = _bytes(self.distinct)
+        raw = raw.tobytes()
+        ends = np.minimum(bounds[1:], bounds[:-1] + TOKEN).tolist()
+        return np.array(DEALT)[np.array([zlib.crc32(raw[a:b]) for a, b in zip(bounds.tolist(), ends)], np.int64) % len(DEALT)]
+
+    def texts(self) -> tuple[list[str], list[int]]:
+        """The distinct ones, and the numbers of those longer than a piece."""
+        bounds, raw = _bytes(self.distinct)
+        whole, cuts = raw.tobytes().decode("ascii"), bounds.tolist()
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:])], np.flatnonzero(np.diff(bounds) > TOKEN).tolist()
+
+    def alike(self) -> np.ndarray:
+        """Which of the distinct ones are numbers, dates or addresses, as ``_strata`` says."""
+        return pc.match_substring_regex(pc.utf8_slice_codeunits(self.distinct, 0, 4 * TOKEN), f"^(?:{ALIKE.pattern})$").to_numpy(zero_copy_only=False)
+
+    def of(self, chosen: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Places of the chosen ones by their text."""
+        places: dict[int, list[tuple[int, int]]] = {}
+        for row, start, end in zip(*(c[chosen].tolist() for c in (self.row, self.start, self.end))):
+            places.setdefault(row, []).append((start, end))
+        return places
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of texts and their UTF-8 bytes."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    return bounds - bounds[0], np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]
+
+
+def found_in(column: pa.Array, spans: list[list[tuple[int, str, int]]]) -> Found:
+    """``candidates`` of every text of a column, from the bytes of the column. They are ASCII, which no other character's bytes are."""
+    bounds, data = _bytes(pc.fill_null(column, "").cast(pa.large_string()))
+    # Bytes at which code points begin, and the code points before a byte.
+    plain = not (data & 128).any()
+    lead = np.arange(len(data) + 1) if plain else np.append(np.flatnonzero((data & 192) != 128), len(data))
+    point = (lambda at: at) if plain else (lambda at: np.searchsorted(lead, at))
+    first = point(bounds)
+    inside = _IN_CANDIDATE[data]
+    for k, row in enumerate(spans):
+        for start, _, end in row:
+            inside[lead[first[k] + start]:lead[first[k] + end]] = False
+    full = np.diff(bounds) > 0
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    begins[bounds[:-1][full]] = inside[bounds[:-1][full]]
+    ends[bounds[1:][full] - 1] = inside[bounds[1:][full] - 1]
+    a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    long = b - a >= LEAST["assign"]
+    a, b = a[long], b[long]
+    row = np.searchsorted(bounds, a, "right") - 1
+    step = np.zeros(len(data) + 1, np.int8)
+    step[a] += 1
+    step[b] -= 1
+    own = data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    own = pa.Array.from_buffers(pa.large_string(), len(a), [None, *map(pa.py_buffer, (np.append(0, np.cumsum(b - a)), own))]).dictionary_encode()
+    start = point(a)
+    end = start + (b - a)
+    context = lead[np.maximum(first[row], start - BEFORE)], lead[np.minimum(first[row + 1], end + AFTER)]
+    return Found(row, start - first[row], end - first[row], context, data, own.indices.to_numpy(), own.dictionary)
 
 
 def dealt(own: str) -> int:
@@ -185,25 +263,42 @@ class CharacterNetwork:
         seen = self.weights[0][np.lib.stride_tricks.sliding_window_view(padded, self.width, 1)]
         return padded, seen.reshape(x.size, -1)
 
-    def _forward(self, x: np.ndarray) -> tuple:
+    def _short(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows without places that are empty and out of reach of the convolution in all of them, and the places kept."""
+        used = x.any(0)
+        used[OWN] = True
+        half = self.width // 2
+        kept = np.unique(np.clip(np.flatnonzero(used)[:, None] + np.arange(-half, half + 1), 0, LENGTH - 1))
+        return x[:, kept], kept
+
+    def _forward(self, x: np.ndarray, kept: np.ndarray | None = None) -> tuple:
         _, kernel, bias, out, shift = self.weights
         n = len(x)
+        inside = self.inside if kept is None else self.inside[kept]
         padded, columns = self._columns(x)
-        active = np.maximum(columns @ kernel + bias, 0).reshape(n, LENGTH, -1)
+        active = columns @ kernel
+        active += bias
+        active = np.maximum(active, 0, out=active).reshape(n, len(inside), -1)
         there = (x > 0).astype(np.float32)[:, :, None]
-        own, near = there * self.inside, there * (1 - self.inside)
+        active *= there
+        own, near = there * inside, there * (1 - inside)
         sizes = np.maximum(own.sum(1), 1), np.maximum(near.sum(1), 1)
-        top_own, top_near = (active * own).argmax(1), (active * near).argmax(1)
+        begin, end = np.flatnonzero(inside)[[0, -1]] + (0, 1)
+        mine, rest = active[:, begin:end], active.copy()
+        rest[:, begin:end] = 0
+        top_own, top_near = mine.argmax(1) + begin, rest.argmax(1)
         pooled = np.concatenate([
-            np.take_along_axis(active * own, top_own[:, None], 1)[:, 0], np.take_along_axis(active * near, top_near[:, None], 1)[:, 0],
-            (active * own).sum(1) / sizes[0], (active * near).sum(1) / sizes[1],
+            np.take_along_axis(active, top_own[:, None], 1)[:, 0], np.take_along_axis(rest, top_near[:, None], 1)[:, 0],
+            mine.sum(1) / sizes[0], rest.sum(1) / sizes[1],
         ], axis=1)
         return padded, columns, active, own, near, sizes, top_own, top_near, pooled, pooled @ out + shift
 
     def logits(self, x: np.ndarray, batch: int = 512) -> np.ndarray:
         """Scores of encoded windows."""
-        parts = [self._forward(x[k:k + batch])[-1] for k in range(0, len(x), batch)]
-        return np.concatenate(parts) if parts else np.zeros((0, self.classes), np.float32)
+        scores = np.zeros((len(x), self.classes), self.weights[-1].dtype)
+        for rows in _alike_long(x, batch):
+            scores[rows] = self._forward(*self._short(x[rows]))[-1]
+        return scores
 
     def own_logits(self, own: list[str], batch: int = 4096) -> np.ndarray:
         """What pieces of candidates add to their scores, the constant included."""
@@ -261,15 +356,16 @@ class CharacterNetwork:
         """Weighted squares of what scores lack to ``MARGIN``, with and without surroundings, and their gradients, summed."""
         loss, sums = 0.0, [np.zeros(w.shape) for w in self.weights]
         for shown in (x, _bare(x)):
-            for k in range(0, len(x), batch):
-                rows = slice(k, k + batch)
-                forward = self._forward(shown[rows])
-                side = np.where(y[rows], 1.0, -1.0)
-                lack = np.maximum(MARGIN - side * forward[-1], 0)
-                loss += float((weight[rows] * lack ** 2).sum())
-                if lack.any():
-                    for total, part in zip(sums, self._back(forward, (-2 * weight[rows] * lack * side).astype(np.float32))):
-                        total += part
+            side = np.where(y, 1.0, -1.0)
+            lack = np.maximum(MARGIN - side * self.logits(shown, batch), 0) * (weight > 0)
+            loss += float((weight * lack ** 2).sum())
+            # Windows that lack nothing have no slope.
+            some = np.flatnonzero(lack.any(1))
+            for rows in _alike_long(shown[some], batch):
+                rows = some[rows]
+                forward = self._forward(*self._short(shown[rows]))
+                for total, part in zip(sums, self._back(forward, (-2 * weight[rows] * lack[rows] * side[rows]).astype(np.float32))):
+                    total += part
         return loss, sums
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 16, batch: int = 128, rate: float = 0.004) -> None:
@@ -310,10 +406,10 @@ class CharacterNetwork:
         d_active[n, top_own, cols] += d_pooled[:, :f] * own[n, top_own, 0]
         d_active[n, top_near, cols] += d_pooled[:, f:2 * f] * near[n, top_near, 0]
         d_active = (d_active * (active > 0)).reshape(-1, f)
-        d_columns = (d_active @ kernel.T).reshape(len(d_logits), LENGTH, self.width, self.depth)
+        d_columns = (d_active @ kernel.T).reshape(*active.shape[:2], self.width, self.depth)
         d_emb = np.zeros_like(emb)
         for k in range(self.width):
-            seen = padded[:, k:k + LENGTH].ravel()
+            seen = padded[:, k:k + active.shape[1]].ravel()
             one = d_columns[:, :, k].reshape(-1, self.depth)
             for d in range(self.depth):
                 d_emb[:, d] += np.bincount(seen, one[:, d], _SYMBOLS).astype(emb.dtype)
@@ -363,9 +459,10 @@ class SecretModel:
                     owner.append((t, c))
                     split.append((t, *piece))
         own = [texts[t][a:b] for t, a, b in split]
-        remember(self.network, set(own), self._least_logits(), known)
-        open_ = [k for k, piece in enumerate(own) if known[piece]]
-        if open_:
+        remember(self.network, dict.fromkeys(own), self._least_logits(), known)
+        reached = [k for k, piece in enumerate(own) if known[piece]]
+        for begin in range(0, len(reached), WINDOWS):
+            open_ = reached[begin:begin + WINDOWS]
             logits = self.network.logits(encoded([window(texts[split[k][0]], *split[k][1:]) for k in open_]))
             for k in np.flatnonzero((self.probabilities(logits) >= self.thresholds).any(1)):
                 t, c = owner[open_[k]]
@@ -373,15 +470,22 @@ class SecretModel:
         return out
 
 
-def remember(network: CharacterNetwork, own: set[str], least: np.ndarray, known: dict[str, bool]) -> None:
-    """Note of pieces whether their score can reach the least with the most that surroundings can add."""
-    new = own.difference(known)
+def remember(network: CharacterNetwork, own: Iterable[str], least: np.ndarray, known: dict[str, bool]) -> None:
+    """Note of distinct pieces whether their score can reach the least with the most that surroundings can add."""
+    own = list(own)
+    new = [piece for piece in own if piece not in known]
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = own
-    pieces_ = sorted(new)
-    reachable = (network.own_logits(pieces_) + network.most_around() + SLACK >= least).any(1)
-    known.update(zip(pieces_, reachable.tolist()))
+    reachable = (network.own_logits(new) + network.most_around() + SLACK >= least).any(1)
+    known.update(zip(new, reachable.tolist()))
+
+
+def _alike_long(x: np.ndarray, batch: int) -> Iterator[np.ndarray]:
+    """Batches of windows with candidates of about one length."""
+    order = np.argsort((x[:, OWN:OWN + TOKEN] > 0).sum(1), kind="stable")
+    for begin in range(0, len(x), batch):
+        yield order[begin:begin + batch]
 
 
 def _bare(x: np.ndarray) -> np.ndarray:
@@ -491,41 +595,38 @@ def lessons(docs: DataFrame, network: CharacterNetwork, text: str = "text") -> D
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
-        dealt_to: dict[str, int] = {}
         beyond = np.zeros((max(DEALT) + 1, 2), np.int64)
-        for batch in bounded_rows(parts, 0):
+        for batch in bounded_rows(parts, 0, RUN_BYTES):
             rows: list[tuple] = []
-            texts = [value or "" for value in batch.column(0).to_pylist()]
-            spans = spans_of(texts, batch.column(0))
-            own = [outside(value, row) for value, row in zip(texts, spans)]
-            times = Counter(piece for row in own for piece in row)
-            split = {long: [long[a:b] for a, b in pieces(0, len(long))] for long in times if len(long) > TOKEN}
-            remember(network, {p for p in times if len(p) <= TOKEN}.union(*split.values()), least, known)
-            if len(dealt_to) > REMEMBERED:
-                dealt_to.clear()
-            open_ = set()
-            for piece, n in times.items():
-                if (part := dealt_to.get(piece[:TOKEN])) is None:
-                    part = dealt_to[piece[:TOKEN]] = dealt(piece)
-                cut = split.get(piece)
-                shut = 1 - known[piece] if cut is None else sum(not known[p] for p in cut)
-                beyond[part, 0] += n * shut
-                if shut == (1 if cut is None else len(cut)):
-                    beyond[part, 1] += n
-                else:
-                    open_.add(piece)
-            for value, row, mine in zip(texts, spans, own):
-                found = labelled(value, row)
-                if not open_.isdisjoint(mine):
-                    found += [(a, b, 0) for a, b in candidates(value, row) if value[a:b] in open_]
-                for a, b, label in found:
+            spans = spans_of(batch.column(0))
+            found = found_in(batch.column(0), spans)
+            distinct, long = found.texts()
+            times = np.bincount(found.which, minlength=len(distinct))
+            split = {k: [distinct[k][a:b] for a, b in pieces(0, len(distinct[k]))] for k in long}
+            remember(network, dict.fromkeys([own for k, own in enumerate(distinct) if k not in split] + [p for cut in split.values() for p in cut])
+                     if long else distinct, least, known)
+            part = found.parts()
+            open_ = np.array([*map(known.get, distinct)], bool)
+            shut = (~open_).astype(np.int64)
+            for k, cut in split.items():
+                shut[k] = sum(not known[p] for p in cut)
+                open_[k] = shut[k] < len(cut)
+            np.add.at(beyond, (part, 0), times * shut)
+            np.add.at(beyond, (part, 1), times * ~open_)
+            places = found.of(open_[found.which])
+            looked = [k for k, row in enumerate(spans) if row or k in places]
+            for k, value in zip(looked, batch.column(0).take(pa.array(looked, pa.int64())).to_pylist()):
+                for a, b, label in (*labelled(value, spans[k]), *((*place, 0) for place in places.get(k, ()))):
                     around = value[max(0, a - BEFORE):b + AFTER].encode("utf-8", "replace")
                     mark = int.from_bytes(hashlib.blake2b(b"%d %d " % (min(a, BEFORE), b - a) + around, digest_size=8).digest(), "little", signed=True)
-                    part, first = dealt(value[a:b]), 1
+                    mine, first = dealt(value[a:b]), 1
                     for p in pieces(a, b):
                         if label or known[value[p[0]:p[1]]]:
-                            rows.append((part, label, mark, window(value, *p), 1, first))
+                            rows.append((mine, label, mark, window(value, *p), 1, first))
                             first = 0
+                    if len(rows) >= 16 * WINDOWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                        rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
@@ -681,13 +782,14 @@ def training_rows(docs: DataFrame, text: str = "text") -> tuple[list[str], np.nd
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[dict[tuple[int, int, tuple[str, ...]], None]] = [{} for _ in most]
         limits = [1 << 32] * len(most)
-        for part in bounded_rows(parts, 0):
-            texts = [value or "" for value in part.column(0).to_pylist()]
-            for value, spans in zip(texts, spans_of(texts, part.column(0))):
-                for start, end, label in (*labelled(value, spans), *((*c, 0) for c in candidates(value, spans))):
+        for part in bounded_rows(parts, 0, RUN_BYTES):
+            spans = spans_of(part.column(0))
+            found = found_in(part.column(0), spans)
+            places = found.of(found.marks() <= np.where(found.alike()[found.which], limits[1], limits[0]))
+            looked = [k for k, row in enumerate(spans) if row or k in places]
+            for k, value in zip(looked, part.column(0).take(pa.array(looked, pa.int64())).to_pylist()):
+                for start, end, label in (*labelled(value, spans[k]), *((*c, 0) for c in places.get(k, ()))):
                     mark = zlib.crc32(value[max(0, start - BEFORE):end + AFTER].encode("utf-8", "replace"))
-                    if label == 0 and mark > limits[0] and mark > limits[1]:
-                        continue
                     for stratum in _strata(label, value[start:end] if label == 0 else ""):
                         if mark > limits[stratum]:
                             continue
@@ -733,23 +835,24 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
-        for part in bounded_rows(parts, 1):
-            texts = [value or "" for value in part.column(1).to_pylist()]
-            spans = spans_of(texts, part.column(1))
+        for part in bounded_rows(parts, 1, RUN_BYTES):
+            spans = spans_of(part.column(1))
             counts = [pa.array([sum(s[1] == k for s in row) for row in spans], pa.int64()) for k in KINDS]
             digests = [hashlib.sha256(joined(row).encode()).hexdigest() for row in spans]
             if model:
-                own = [outside(value, row) for value, row in zip(texts, spans)]
-                all_ = set().union(*own)
-                remember(model.network, {p for p in all_ if len(p) <= TOKEN}, least, known)
-                # Only texts with a piece that can be accepted, or with longer candidates, are looked at by place.
-                reach = {p for p in all_ if len(p) > TOKEN or known[p]}
-                open_ = [k for k, row in enumerate(own) if not reach.isdisjoint(row)]
-                found = [candidates(texts[k], spans[k]) for k in open_]
-                for row, places, taken in zip([spans[k] for k in open_], found, model.accepted([texts[k] for k in open_], found, known)):
-                    for k in np.flatnonzero(taken):
-                        row.append((places[k][0], LEARNED, places[k][1]))
-                    row.sort(key=lambda s: (s[0], (*KINDS, LEARNED).index(s[1])))
+                found = found_in(part.column(1), spans)
+                distinct, long = found.texts()
+                remember(model.network, [own for own in distinct if len(own) <= TOKEN] if long else distinct, least, known)
+                # Only candidates that can be accepted, and longer ones, are looked at by place.
+                reach = np.array([*map(known.get, distinct)], bool)
+                reach[long] = True
+                places = found.of(reach[found.which])
+                for begin in range(0, len(places), TEXTS):
+                    rows = [*places][begin:begin + TEXTS]
+                    texts = part.column(1).take(pa.array(rows, pa.int64())).to_pylist()
+                    for k, taken in zip(rows, model.accepted(texts, [places[k] for k in rows], known)):
+                        spans[k] += [(places[k][c][0], LEARNED, places[k][c][1]) for c in np.flatnonzero(taken)]
+                        spans[k].sort(key=lambda s: (s[0], (*KINDS, LEARNED).index(s[1])))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *counts, pa.array(digests, pa.string()), pa.array(map(joined, spans), pa.string())], names
             )

@@ -2,6 +2,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskloom.llm import language, quality, secrets
@@ -365,3 +366,51 @@ def test_slopes_of_what_candidates_teach():
         down = net.lesson(x, y, weight)[0]
         net.weights[k][at] = kept
         assert np.isclose((up - down) / 2e-5, gradients[k][at], rtol=1e-3, atol=1e-5)
+
+
+def test_candidates_of_a_column_are_those_of_its_texts():
+    rng = np.random.default_rng(15)
+    some = ["password=", "AKIA", "é", "😀", " ", "\n", "deadbeef" * 4, "A1/b-", "0123456789", '"', ",", "a" * 30, "\0", "ABCDEFGH" * 9, "u@host.com"]
+    rows = ["dropped", None, "", *("".join(rng.choice(some, rng.integers(0, 25))) for _ in range(300)), "abcdef", "ghijkl", None]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(rows, kind).slice(1)
+        texts = [t or "" for t in rows[1:]]
+        spans = secrets.spans_of(column)
+        assert spans == [secrets.base_spans(t) for t in texts]
+        found = secrets.found_in(column, spans)
+        places = found.of(np.ones(len(found.row), bool))
+        each = [(t, a, b) for t, s in zip(texts, spans) for a, b in secrets.candidates(t, s)]
+        assert [p for k in range(len(texts)) for p in places.get(k, [])] == [(a, b) for _, a, b in each]
+        distinct, long = found.texts()
+        own = [t[a:b] for t, a, b in each]
+        assert [distinct[k] for k in found.which] == own and len(distinct) == len(set(own)) and 0 < len(long) == sum(len(d) > secrets.TOKEN for d in distinct)
+        assert found.parts().tolist() == [secrets.dealt(d) for d in distinct]
+        assert found.alike().tolist() == [1 in secrets._strata(0, d) for d in distinct] and found.alike().any()
+        assert found.marks().tolist() == [zlib.crc32(t[max(0, a - secrets.BEFORE):b + secrets.AFTER].encode()) for t, a, b in each]
+    assert not len(secrets.found_in(pa.array([None, ""], pa.string()), [[], []]).row)
+
+
+def test_empty_places_of_windows_cost_nothing(monkeypatch):
+    rng = np.random.default_rng(16)
+    net = secrets.CharacterNetwork()
+    own = ["".join(rng.choice(list("abZ09/"), rng.integers(6, 50))) for _ in range(600)]
+    x = secrets.encoded([secrets.window(f"{'some words ' * (k % 4)}{t} {'and more ' * (k % 3)}", 11 * (k % 4), 11 * (k % 4) + len(t)) for k, t in enumerate(own)])
+    whole = [net._forward(v)[-1] for v in (x, secrets._bare(x))]
+    places = []
+    columns = secrets.CharacterNetwork._columns
+    monkeypatch.setattr(secrets.CharacterNetwork, "_columns", lambda self, v: (places.append(v.size), columns(self, v))[1])
+    assert np.allclose(net.logits(x), whole[0], atol=1e-4)
+    places.clear()
+    assert np.allclose(net.logits(secrets._bare(x), 50), whole[1], atol=1e-4)
+    assert sum(places) < 1.5 * sum(map(len, own))
+    # Windows that lack nothing to the margin are not gone through for a slope.
+    monkeypatch.setattr(secrets, "MARGIN", 0.0)
+    backs = []
+    back = secrets.CharacterNetwork._back
+    monkeypatch.setattr(secrets.CharacterNetwork, "_back", lambda self, f, d: (backs.append(len(d)), back(self, f, d))[1])
+    right = np.flatnonzero(((whole[0] > 0) == (whole[1] > 0)).all(1))
+    y = whole[0] > 0
+    loss, sums = net.lesson(x[right], y[right], np.ones((len(right), 3)))
+    assert loss == 0 and not backs and not any(g.any() for g in sums)
+    y[right[0]] = ~y[right[0]]
+    assert net.lesson(x[right], y[right], np.ones((len(right), 3)))[0] > 0 and backs == [1, 1]
