@@ -88,7 +88,8 @@ class CleaningSettings:
 class ForestSettings:
     """Supervised forest. ``weight_power`` 2 applies the class balance twice.
 
-    A fit reads every insider day and at most ``fit_rows`` other days; scores cover all days.
+    A fit reads every day. Only a caller that sets ``fit_rows`` has at most so many days that are no insider's fitted;
+    scores cover all days.
     """
 
     trees: int = 300
@@ -97,7 +98,7 @@ class ForestSettings:
     feature_subset: str = "all"
     weight_power: int = 2
     seed: int = 42
-    fit_rows: int = 2_000_000
+    fit_rows: int | None = None
     # Whether each tree draws its rows with replacement.
     bootstrap: bool = True
 

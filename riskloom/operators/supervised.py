@@ -31,17 +31,19 @@ def assembler(features: Sequence[str]) -> VectorAssembler:
 def fitting_rows(
     table: DataFrame, settings: ForestSettings, keys: Sequence[str] = ("user", "day"), share: Column | None = None
 ) -> DataFrame:
-    """Weighted rows that a fit reads: every insider day, and at most ``fit_rows`` others.
+    """Weighted rows that a fit reads: every row, unless ``fit_rows`` bounds the days that are no insider's.
 
-    Class weights come from all rows. Of the other days those with the largest priority stay: a seeded hash in (0, 1]
-    to the power 1 / ``share`` (1 for all rows by default), so a row is drawn in proportion to its share; the
-    cut is the exact order statistic, whatever the layout. Their weights grow by what was left out, which
+    Class weights come from all rows. Under a bound every insider day stays, and of the other days those with the largest
+    priority: a seeded hash in (0, 1] to the power 1 / ``share`` (1 for all rows by default), so a row is drawn in proportion
+    to its share; the cut is the exact order statistic, whatever the layout. Their weights grow by what was left out, which
     keeps the balance of the classes. Up to ``fit_rows`` other days nothing changes.
     """
     rows = with_class_weights(table, settings.weight_power)
+    k = settings.fit_rows
+    if k is None:
+        return rows
     insider = F.col("insider_label") == 1
     n = table.agg(F.count_if(~insider)).first()[0]
-    k = settings.fit_rows
     if n <= k:
         return rows
     even = (F.pmod(F.xxhash64(*keys, F.lit(settings.seed)), F.lit(1 << 53)) + 1) / float(1 << 53)

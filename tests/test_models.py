@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.config import DetectorSettings, ForestSettings
+from riskloom.config import DetectorSettings, ForestSettings, HOLDOUT_FOREST
 from riskloom.operators import envelope, explain, isolation, supervised
 from riskloom.sources import stores
 
@@ -259,6 +259,21 @@ def test_a_bounded_fit_keeps_every_insider_day_and_the_balance(table):
     assert supervised.with_forest_score(table, model).count() == table.count()
 
 
+def test_a_fit_reads_every_day_of_a_table_of_any_size(spark):
+    n, insiders = 2_400_000, 60_000
+    day = F.date_add(F.lit(D), (F.col("id") % 400).cast("int"))
+    label = (F.col("id") % 40 == 0).cast("int").alias("insider_label")
+    table = spark.range(n).select(F.col("id").cast("string").alias("user"), day.alias("day"), label)
+    weight = {1: (n / (2 * insiders)) ** 2, 0: (n / (2 * (n - insiders))) ** 2}
+    for settings in (ForestSettings(), HOLDOUT_FOREST):
+        rows = supervised.fitting_rows(table, settings).groupBy("insider_label").agg(
+            F.count("user").alias("n"), F.min("weight").alias("least"), F.max("weight").alias("most")
+        )
+        got = {r["insider_label"]: r for r in rows.collect()}
+        assert {c: r["n"] for c, r in got.items()} == {1: insiders, 0: n - insiders}
+        assert all(r["least"] == r["most"] == pytest.approx(weight[c]) for c, r in got.items())
+
+
 def test_a_share_makes_rows_likelier_to_be_fitted(table):
     heavy = F.when(F.col("f2") > 0, 20.0).otherwise(1.0)
     rows = supervised.fitting_rows(table, ForestSettings(fit_rows=120), share=heavy).where("insider_label = 0").collect()
