@@ -68,7 +68,8 @@ def fit_forest(
     )
     rows = imputed(fitting_rows(table, settings, keys), features)
     vectors = assembler(features).transform(rows).select("features", "insider_label", "weight")
-    return PipelineModel([assembler(features), forest.fit(vectors)])
+    # A copy leaves the training summary behind: its table would go along with every task, with a session that need not serialize.
+    return PipelineModel([assembler(features), forest.fit(vectors).copy()])
 
 
 def forest_of(model: PipelineModel) -> RandomForestClassificationModel:

@@ -5,6 +5,7 @@ from datetime import date, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from riskloom.config import DetectorSettings, ForestSettings, HOLDOUT_FOREST
@@ -274,6 +275,14 @@ def test_a_fit_reads_every_day_of_a_table_of_any_size(spark):
         assert all(r["least"] == r["most"] == pytest.approx(weight[c]) for c, r in got.items())
 
 
+def test_a_forest_scores_in_a_session_that_observed_a_table(table):
+    seen = Observation("seen")
+    table.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 600}
+    model = supervised.fit_forest(table, NAMES, SMALL)
+    assert supervised.with_forest_score(table, model).where(F.col(supervised.SCORE).between(0, 1)).count() == 600
+
+
 def test_a_share_makes_rows_likelier_to_be_fitted(table):
     heavy = F.when(F.col("f2") > 0, 20.0).otherwise(1.0)
     rows = supervised.fitting_rows(table, ForestSettings(fit_rows=120), share=heavy).where("insider_label = 0").collect()
